@@ -7,16 +7,28 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barwright.llm import bpe_codec
+from barwright.llm import bpe_codec, prefix_counts, toxicity
 from barwright.llm.common import table
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_counts.budgets(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), budget=512)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    grammar = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, grammar).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op7_token_counts": op7_token_counts,
+        "op9_toxicity": op9_toxicity,
         "op10_bpe_codec": op10_bpe_codec,
     }
 
