@@ -43,8 +43,8 @@ CLASSES = {w: c for c, words in (("insult", INSULTS), ("threat", THREATS), ("tar
 LETTER = r"[^\W\d_]"
 WORD = re.compile(rf"{LETTER}+(?:['’]{LETTER}+)?|[\"“”«»]")
 ENDS = re.compile(r"[.!?;:\n|]")
-#: Clause scores to a probability where no label is at hand: bias, then a weight for each feature.
-DEFAULT = (-3.0, 1.0, 0.5, 1.0, 0.0)
+#: The curve before any label is seen, and what a fit is drawn towards: bias, then a weight for each feature.
+DEFAULT = (-4.0, 2.5, 0.5, 0.5)
 BEGINNINGS = range(3, 9)
 
 
@@ -113,7 +113,7 @@ class Scorer:
         return total
 
     def features(self, text: str | None) -> tuple[float, ...]:
-        """Log of the summed clause scores, the highest, log of the matched clauses, score to a hundred characters."""
+        """Log of the summed clause scores, the highest, score to a hundred characters."""
         low = (text or "").lower()
         scores, done = [], -1
         for end, n in self.found.iter(low):
@@ -125,7 +125,7 @@ class Scorer:
                 scores.append(score)
             done = max(done, stop)
         total = sum(scores)
-        return math.log1p(total), min(max(scores, default=0.0), 20.0) / 4, math.log1p(len(scores)), math.log1p(100 * total / (len(low) + 20))
+        return math.log1p(total), min(max(scores, default=0.0), 20.0) / 4, math.log1p(100 * total / (len(low) + 20))
 
     def score(self, text: str | None) -> float:
         bias, *weights = self.grammar.curve
@@ -179,20 +179,26 @@ def lexicons(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     for k in "01":
         n, t = F.col(f"n{k}"), F.col(f"t{k}")
         rate = (t + 0.1) / (n + 1.0)
-        top = counts.where((t >= 4) & (rate >= 0.7)).select("entry", F.log(rate / (1 - rate)).alias("w"), t.alias("t")).orderBy(F.desc("t"), "entry").limit(ENTRIES)
-        out.append({r["entry"]: round(min(4.0, r["w"]), 6) for r in top.collect()})
+        top = counts.where((t >= 3) & (rate >= 0.6)).select("entry", F.log(rate / (1 - rate)).alias("w"), t.alias("t")).orderBy(F.desc("t"), "entry").limit(ENTRIES)
+        found = {r["entry"]: (round(min(4.0, r["w"]), 6), r["t"]) for r in top.collect()}
+        alone = Counter()  # a beginning that stands for one word only says no more than the word
+        for entry, (_, seen) in found.items():
+            if not entry.endswith("*"):
+                for m in BEGINNINGS:
+                    alone[f"{entry[:m]}*"] = max(alone[f"{entry[:m]}*"], seen)
+        out.append({e: w for e, (w, seen) in found.items() if not e.endswith("*") or seen > 1.1 * alone[e]})
     return out[0], out[1]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, ...]:
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, ...]:
     x = np.column_stack([np.ones(len(x)), x])
-    w = np.zeros(x.shape[1])
+    prior = w = np.array(DEFAULT)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + ridge * w
+        grad = x.T @ (p - y) + ridge * (w - prior)
         hess = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
         step = np.linalg.solve(hess, grad)
-        w -= step
+        w = w - step
         if np.abs(step).max() < 1e-8:
             break
     return tuple(float(v) for v in w)
@@ -207,13 +213,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = _scorer(lexicon, DEFAULT)
         for batch in batches:
-            yield pd.DataFrame([(*own.features(t), float(y)) for t, y in zip(batch["text"], batch["toxic"])], columns=["a", "b", "c", "d", "y"])
+            yield pd.DataFrame([(*own.features(t), float(y)) for t, y in zip(batch["text"], batch["toxic"])], columns=["a", "b", "c", "y"])
 
-    got = rows.where("part = 3").select("text", "toxic").mapInPandas(measured, "a double, b double, c double, d double, y double").toPandas().to_numpy(float)
-    if len(got) < 20 or len(set(got[:, 4])) < 2:
+    got = rows.where("part = 3").select("text", "toxic").mapInPandas(measured, "a double, b double, c double, y double").toPandas().to_numpy(float)
+    if len(got) < 20 or len(set(got[:, 3])) < 2:
         return Grammar(full)
     got = got[np.lexsort(got.T)]  # one order, so that sums come out alike in every run
-    return Grammar(full, _logistic(got[:, :4], got[:, 4]))
+    return Grammar(full, _logistic(got[:, :3], got[:, 3]))
 
 
 def score(docs: DataFrame, grammar: Grammar, threshold: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:
