@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barwright.llm import bpe_codec, ngram_join, prefix_counts, toxicity
+from barwright.llm import bpe_codec, embedding_dedup, ngram_join, prefix_counts, toxicity
 from barwright.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_groups(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_counts.budgets(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), budget=512)
 
@@ -32,6 +36,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_ngram_jaccard": op2_ngram_jaccard,
+        "op6_embedding_dedup": op6_embedding_dedup,
         "op7_token_counts": op7_token_counts,
         "op9_toxicity": op9_toxicity,
         "op10_bpe_codec": op10_bpe_codec,
