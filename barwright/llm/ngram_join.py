@@ -25,11 +25,11 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barwright.llm.common import cut, stored
-from barwright.llm.graph import components, maybe_in
+from barwright.llm.graph import linked_components, maybe_in
 
 #: Ratio of a size band's ends.
 BAND = 1.6
@@ -105,6 +105,11 @@ def block_keys(tokens: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
+def class_of(tokens: np.ndarray) -> int:
+    """Signed 64-bit hash of a set: equal sets are one class."""
+    return int.from_bytes(xxhash.xxh3_64_digest(tokens.tobytes()), "big", signed=True)
+
+
 def parity(tokens: np.ndarray) -> np.ndarray:
     """One bit toggled for each token."""
     odd = np.bincount((mix(tokens, 5) >> U64(40)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
@@ -128,7 +133,7 @@ def sketches(docs: DataFrame, n: int, percent: int, key: str, text: str) -> Data
                 if not len(tokens):
                     rows.append((i, 0, None, [], []))
                     continue
-                cls = int(np.array([xxhash.xxh3_64_intdigest(tokens.tobytes())], U64).view(np.int64)[0])
+                cls = class_of(tokens)
                 known = cls in seen
                 if len(seen) < 2_000_000:
                     seen.add(cls)
@@ -148,23 +153,24 @@ def _plausible(percent: int, a: str, b: str) -> F.Column:
 
 
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int, key: str, text: str) -> DataFrame:
-    """The pairs (a, b) of classes whose sets reach the threshold."""
-    ends = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-    reps = cut(classes.join(ends, "cls").select("cls", F.col("rep").alias(key)))
-    texts = maybe_in(docs.select(key, text).where(F.col(key).isNotNull()), key, reps.select(key))
-    texts = texts.join(reps, key).dropDuplicates(["cls"]).select("cls", text)
+    """The pairs (a, b) of classes whose sets reach the threshold; each set is made from the text of a row of its class."""
+    reps = classes.select("cls", "rep")
+    named = cut(pairs.join(reps.toDF("a", "ra"), "a").join(reps.toDF("b", "rb"), "b"))
+    ends = named.select(F.col("ra").alias(key)).union(named.select("rb"))
+    # an id may have several texts: the class tells which of them is meant
+    texts = maybe_in(docs.select(key, text).where(F.col(key).isNotNull()), key, ends).repartition(F.col(key)).dropDuplicates()
 
     @F.pandas_udf("boolean")
-    def linked(left: pd.Series, right: pd.Series) -> pd.Series:
+    def linked(a: pd.Series, b: pd.Series, left: pd.Series, right: pd.Series) -> pd.Series:
         out = []
-        for x, y in zip(left, right):
+        for i, j, x, y in zip(a, b, left, right):
             u, v = _remembered(x, n), _remembered(y, n)
             both = len(np.intersect1d(u, v, assume_unique=True))
-            out.append(100 * both >= percent * (len(u) + len(v) - both))
+            out.append(100 * both >= percent * (len(u) + len(v) - both) and class_of(u) == i and class_of(v) == j)
         return pd.Series(out, dtype=bool)
 
-    ta, tb = texts.toDF("a", "ta"), texts.toDF("b", "tb")
-    return cut(pairs.join(tb, "b").join(ta, "a").where(linked("ta", "tb")).select("a", "b"))
+    ta, tb = texts.toDF("ra", "ta"), texts.toDF("rb", "tb")
+    return cut(named.join(tb, "rb").join(ta, "ra").where(linked("a", "b", "ta", "tb")).select("a", "b"))
 
 
 def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -181,37 +187,15 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "d
         .select("cls", "rep", "n", *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)))
         .where("rep IS NOT NULL")
     )
-    turn = F.lit(0x5555555555555555)
-    w = Window.partitionBy("key")
-    shared = stored(
-        heads.select(F.explode("keys").alias("key"), "cls")
-        .select("key", "cls", F.min("cls").over(w).alias("low"), F.max("cls").over(w).alias("high"), F.min(F.col("cls").bitwiseXOR(turn)).over(w).bitwiseXOR(turn).alias("mid"))
-        .where("low < high")
-        .dropDuplicates(["key", "cls"])
+    joined = linked_components(
+        heads.select(F.explode("keys").alias("key"), "cls"),
+        classes,
+        lambda a, b: _plausible(percent, a, b),
+        lambda pairs: _links(pairs, classes, docs, n, percent, key, text),
     )
-    leads = shared.select("cls", F.explode(F.array_distinct(F.array("low", "high", "mid"))).alias("lead")).where("cls <> lead")
-    pairs = leads.select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct()
-    ca, cb = classes.alias("x"), classes.alias("y")
-    pairs = cut(pairs.join(ca, F.col("a") == F.col("x.cls")).join(cb, F.col("b") == F.col("y.cls")).where(_plausible(percent, "x", "y")).select("a", "b"))
-    links = _links(pairs, classes, docs, n, percent, key, text)
-    joined = components(links)
-
-    # what is still apart within a group: everything outside the group's largest component meets the group
-    placed = shared.select("key", "cls").join(joined.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("rows"))
-    open_keys = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("rows", "component")).alias("most")).where("parts > 1")
-    rest = cut(placed.join(open_keys, "key").join(classes, "cls").select("key", "cls", "component", (F.col("component") != F.col("most")).alias("outside"), "n", *(f"s{i}" for i in range(SKETCH))))
-    # of two rows outside, one order is enough
-    apart = (F.col("x.component") != F.col("y.component")) & (~F.col("y.outside") | (F.col("x.cls") < F.col("y.cls")))
-    more = rest.where("outside").alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & apart & _plausible(percent, "x", "y"))
-    more = more.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
-    more = cut(more.join(pairs, ["a", "b"], "left_anti"))
-    links = links.union(_links(more, classes, docs, n, percent, key, text))
-    joined = components(links)
-
-    named = joined.join(classes.select(F.col("cls").alias("node"), "rep"), "node")
+    named = joined.join(classes.select("cls", "rep"), "cls")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    ids = classes.select("cls", "rep").join(joined.withColumnRenamed("node", "cls"), "cls", "left").join(least, "component", "left").select("cls", F.coalesce("component_id", "rep").alias("component_id"))
+    ids = classes.select("cls", "rep").join(joined, "cls", "left").join(least, "component", "left").select("cls", F.coalesce("component_id", "rep").alias("component_id"))
     empty = members.where("cls IS NULL").select("id", "n_shingles", F.col("id").alias("component_id"))
     full = members.where("cls IS NOT NULL").join(ids, "cls", "left").select("id", "n_shingles", "component_id")
     return full.union(empty).withColumnRenamed("id", key)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barwright.llm import bpe_codec, embedding_dedup, ngram_join, prefix_counts, toxicity
+from barwright.llm import bpe_codec, embedding_dedup, line_dedup, ngram_join, prefix_counts, toxicity
 from barwright.llm.common import table
 
 
@@ -15,6 +15,11 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_groups(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
@@ -36,6 +41,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_ngram_jaccard": op2_ngram_jaccard,
+        "op5_line_dedup": op5_line_dedup,
         "op6_embedding_dedup": op6_embedding_dedup,
         "op7_token_counts": op7_token_counts,
         "op9_toxicity": op9_toxicity,
