@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barwright.llm import bpe_codec, embedding_dedup, line_dedup, ngram_join, prefix_counts, toxicity
+from barwright.llm import bpe_codec, decontamination, embedding_dedup, line_dedup, ngram_join, prefix_counts, toxicity
 from barwright.llm.common import table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_groups(table(spark, sf_dir, "documents"), n=4, percent=85)
 
@@ -40,6 +44,7 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": op1_decontamination,
         "op2_ngram_jaccard": op2_ngram_jaccard,
         "op5_line_dedup": op5_line_dedup,
         "op6_embedding_dedup": op6_embedding_dedup,
