@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from barwright.llm import bpe_codec, decontamination, embedding_dedup, line_dedup, ngram_join, prefix_counts, toxicity
+from barwright.llm import bpe_codec, decontamination, embedding_dedup, line_dedup, ngram_join, pii, prefix_counts, toxicity
 from barwright.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_counts.budgets(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), budget=512)
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     grammar = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -49,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_line_dedup": op5_line_dedup,
         "op6_embedding_dedup": op6_embedding_dedup,
         "op7_token_counts": op7_token_counts,
+        "op8_pii": op8_pii,
         "op9_toxicity": op9_toxicity,
         "op10_bpe_codec": op10_bpe_codec,
     }
