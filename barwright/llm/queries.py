@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from barwright.llm import bpe_codec, decontamination, embedding_dedup, line_dedup, ngram_join, pii, prefix_counts, toxicity
+from barwright.llm import bpe_codec, decontamination, embedding_dedup, licences, line_dedup, ngram_join, pii, prefix_counts, quality, toxicity
 from barwright.llm.common import table
 
 
@@ -19,6 +20,17 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_groups(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"))
+
+
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents has no paths: a document lies in a directory of its source, language and block of 64 ids."""
+    docs = table(spark, sf_dir, "documents")
+    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 64).cast("string"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")))
+    return licences.scan(docs.select("doc_id", "text", path.alias("path")))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
@@ -50,6 +62,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_ngram_jaccard": op2_ngram_jaccard,
+        "op3_quality": op3_quality,
+        "op4_licences": op4_licences,
         "op5_line_dedup": op5_line_dedup,
         "op6_embedding_dedup": op6_embedding_dedup,
         "op7_token_counts": op7_token_counts,
