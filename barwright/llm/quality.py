@@ -1,7 +1,7 @@
 """Quality classifier: weak labels whose accuracies EM estimates, and a hashed linear scorer trained on their posteriors.
 
 Overlapping heuristics vote good, bad or abstain on every document. The counts of vote patterns over all
-documents (at most 3 ** 8) go to an expectation-maximisation that estimates each labeller's vote chances in
+documents (at most 3 ** 9) go to an expectation-maximisation that estimates each labeller's vote chances in
 either class, without any given label; it gives every pattern a posterior. A logistic scorer over hashed
 word shapes and binned text statistics is trained on the posteriors of at most SAMPLE documents, chosen by a
 hash of the id, and scores all documents.
@@ -25,34 +25,36 @@ from barwright.llm.bpe import WordCache
 
 #: Documents that the scorer is trained on, at most; features; bins of a statistic.
 SAMPLE, DIM, BINS = 4_000, 1024, 8
-LABELLERS = ("symbols", "capitals", "variety", "stutter", "word_length", "repeated_lines", "sentences", "words")
+LABELLERS = ("symbols", "marked", "capitals", "variety", "stutter", "word_length", "repeated_lines", "sentences", "words")
 SYMBOLS = b"#$%&*|!~^<>{}=\\"
 ENDINGS = (".", "!", "?")
+MARKS = tuple(SYMBOLS.decode())
 
 
 def statistics(text: str | None) -> tuple[list[str], tuple[float, ...]]:
-    """Words, and shares: symbols, capitals, distinct words, repeats of the word before, mean word length, repeated lines, sentence ends."""
+    """Words, and shares: symbols, words that end in one, capitals, distinct words, repeats of the word before, mean word length, repeated lines, sentence ends."""
     text = text or ""
     words, raw = text.split(), text.encode()
     n = len(words)
     if not n:
-        return words, (0.0,) * 7
+        return words, (0.0,) * 8
     capitals = len(raw) - len(raw.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
     symbols = len(raw) - len(raw.translate(None, SYMBOLS))
     lines = text.split("\n")
     stutter = sum(map(str.__eq__, words, words[1:])) / n
-    return words, (symbols / len(raw), capitals / len(raw), len(set(words)) / n, stutter, (len(text) - n) / n, 1 - len(set(lines)) / len(lines), sum(w.endswith(ENDINGS) for w in words) / n)
+    return words, (symbols / len(raw), sum(w.endswith(MARKS) for w in words) / n, capitals / len(raw), len(set(words)) / n, stutter, (len(text) - n) / n, 1 - len(set(lines)) / len(lines), sum(w.endswith(ENDINGS) for w in words) / n)
 
 
 def votes(n: int, s: tuple[float, ...], lines: int) -> int:
     """The labellers' votes, in base 3: 0 bad, 1 abstaining, 2 good."""
-    symbols, capitals, distinct, stutter, length, repeated, ends = s
+    symbols, marked, capitals, distinct, stutter, length, repeated, ends = s
 
     def vote(bad: bool, good: bool) -> int:
         return 0 if bad else 2 if good else 1
 
     cast = (
-        vote(symbols > 0.05, symbols < 0.01),
+        vote(symbols > 0.03, symbols < 0.01),
+        vote(marked > 0.15, marked < 0.05),
         vote(capitals > 0.3, capitals < 0.1),
         vote(n >= 20 and distinct < 0.4, n < 20 or distinct > 0.55),
         vote(n >= 8 and stutter > 0.2, stutter < 0.08),
@@ -76,7 +78,7 @@ def _shapes() -> WordCache:
 
 def features(words: list[str], s: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Places of the words' shapes, and of the binned statistics."""
-    binned = [xxhash.xxh3_64_intdigest(f"{k}:{min(BINS, int(v * BINS)) if k != 4 else min(20, int(v))}") % DIM for k, v in enumerate(s)]
+    binned = [xxhash.xxh3_64_intdigest(f"{k}:{min(BINS, int(v * BINS)) if k != 5 else min(20, int(v))}") % DIM for k, v in enumerate(s)]
     binned.append(xxhash.xxh3_64_intdigest(f"n:{len(words).bit_length()}") % DIM)
     return np.fromiter(map(_shapes().__getitem__, words), np.int64, len(words)), np.array(binned)
 
