@@ -10,12 +10,15 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from barwright.sources.candles import DAY_MS, KEYS
 
-BARS = Window.partitionBy(*KEYS).orderBy("timestamp")
+
+def in_series() -> WindowSpec:
+    """The bars of a series, in time's order."""
+    return Window.partitionBy(*KEYS).orderBy("timestamp")
 
 
 def check_period(period: int) -> int:
@@ -26,7 +29,7 @@ def check_period(period: int) -> int:
 
 def sma(value: Column, period: int) -> Column:
     """Mean of the last `period` bars; null before there are as many."""
-    frame = BARS.rowsBetween(1 - check_period(period), 0)
+    frame = in_series().rowsBetween(1 - check_period(period), 0)
     return F.when(F.count(value).over(frame) == period, F.avg(value).over(frame))
 
 
@@ -50,11 +53,12 @@ def recurrence(df: DataFrame, at: str, terms: dict[str, Column], a: float) -> Da
     df = df.withColumns({f"_{k}": up * F.sum(b * down).over(w) for k, b in terms.items()})
     ends = df.groupBy(*KEYS, "_chunk").agg(F.count("*").alias("_n"), *(F.max_by(f"_{k}", "_o").alias(f"_{k}") for k in terms))
     kinds = ", ".join([*(f"{k} string" for k in KEYS), "_chunk long", *(f"_carry_{k} double" for k in terms)])
+    names = list(terms)
 
     def carried(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("_chunk")
         out = group[[*KEYS, "_chunk"]].copy()
-        for k in terms:
+        for k in names:
             carry, values = 0.0, []
             for end, n in zip(group[f"_{k}"], group["_n"]):
                 values.append(carry)
@@ -98,7 +102,7 @@ def ema(df: DataFrame, value: str, period: int, out: str) -> DataFrame:
 def rsi(df: DataFrame, value: str, period: int, out: str, tiny: float = 0.0) -> DataFrame:
     """Wilder's RSI: the first `period` bars are null; 0 where the mean gain and loss together don't exceed `tiny`."""
     p = check_period(period)
-    change = F.col(f"`{value}`") - F.lag(f"`{value}`").over(BARS)
+    change = F.col(f"`{value}`") - F.lag(f"`{value}`").over(in_series())
     result = F.when(F.col("_y_g") + F.col("_y_l") > tiny, 100 * F.col("_y_g") / (F.col("_y_g") + F.col("_y_l"))).otherwise(0.0)
 
     def run(d: DataFrame) -> DataFrame:

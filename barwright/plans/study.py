@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from graphlib import CycleError, TopologicalSorter
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barwright.functions import logic
@@ -113,7 +113,6 @@ def _indicator(name: str, run: Callable, warmup: int) -> None:
 # Node kinds, their ports and warmup bars.
 SOURCE = "datasource.candles"
 SERIES = {"timestamp": "bigint", **dict.fromkeys(PRICES, "double")}
-BARS = Window.partitionBy(*KEYS).orderBy("timestamp")
 register(Kind(SOURCE, {}, SERIES, lambda df, wires, params, out: df.withColumns({out(p): F.col(p) for p in SERIES}), ("exchange", "category", "symbol", "interval")))
 _indicator("indicator.sma", lambda df, value, period, out: df.withColumn(out, indicators.sma(F.col(f"`{value}`"), period)), 20)
 _indicator("indicator.ema", indicators.ema, 20)
@@ -121,7 +120,7 @@ _indicator("indicator.rsi", indicators.rsi, 14)
 register_columns("literal.number", {"reference": "bigint"}, {"value": "double"}, lambda i, p: {"value": F.lit(float(p.get("value", 0.0)))}, ("value",))
 register_columns("literal.bool", {"reference": "bigint"}, {"value": "boolean"}, lambda i, p: {"value": F.lit(bool(p.get("value", False)))}, ("value",))
 for _name, _fn in (("crossover", logic.crossover), ("crossunder", logic.crossunder)):
-    register_columns(f"logic.{_name}", {"fast": "double", "slow": "double"}, {"signal": "boolean"}, lambda i, p, f=_fn: {"signal": f(i["fast"], i["slow"], BARS)})
+    register_columns(f"logic.{_name}", {"fast": "double", "slow": "double"}, {"signal": "boolean"}, lambda i, p, f=_fn: {"signal": f(i["fast"], i["slow"], indicators.in_series())})
 for _name, _fn, _type in (("gt", logic.gt, "double"), ("lt", logic.lt, "double"), ("and", logic.and_, "boolean"), ("or", logic.or_, "boolean")):
     register_columns(f"logic.{_name}", {"left": _type, "right": _type}, {"signal": "boolean"}, lambda i, p, f=_fn: {"signal": f(i["left"], i["right"])})
 
