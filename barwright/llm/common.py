@@ -28,9 +28,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
+def new_folder(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/barwright-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     """Writes df once as Parquet in the shared folder and reads it back: column-pruned, compressed, re-readable."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/barwright-{uuid.uuid4().hex}"
+    path = path or new_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables stored() while the block runs; they are deleted at its end, so what outlives it must be cut() before."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.paths.append(new_folder(self.spark))
+        return stored(df, self.paths[-1])
+
+    def __exit__(self, *_) -> None:
+        jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in self.paths:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barwright.llm.common import cut, stored
+from barwright.llm.common import Scratch, cut
 
 #: Words of 64 bits in a membership bitmap: it has at most so many rows, however many ids it stands for.
 WORDS = 1 << 16
@@ -65,22 +65,23 @@ def linked_components(blocks: DataFrame, classes: DataFrame, plausible: Callable
     group, members first meet two leaders only, its least and its greatest class. Then each group's rows outside its largest component meet all rows of other
     components. Pairs within a component need no look, so no linked pair between components is lost.
     """
-    w = Window.partitionBy("key")
-    shared = stored(blocks.select("key", "cls", F.min("cls").over(w).alias("low"), F.max("cls").over(w).alias("high")).where("low < high").dropDuplicates(["key", "cls"]))
-    leads = shared.select("cls", F.explode(F.array("low", "high")).alias("lead")).where("cls <> lead")
-    pairs = leads.select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct()
-    x, y = classes.alias("x"), classes.alias("y")
-    pairs = cut(pairs.join(x, F.col("a") == F.col("x.cls")).join(y, F.col("b") == F.col("y.cls")).where(plausible("x", "y")).select("a", "b"))
-    links = verify(pairs)
+    with Scratch(blocks.sparkSession) as keep:
+        w = Window.partitionBy("key")
+        shared = keep(blocks.select("key", "cls", F.min("cls").over(w).alias("low"), F.max("cls").over(w).alias("high")).where("low < high").dropDuplicates(["key", "cls"]))
+        leads = shared.select("cls", F.explode(F.array("low", "high")).alias("lead")).where("cls <> lead")
+        pairs = leads.select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct()
+        x, y = classes.alias("x"), classes.alias("y")
+        pairs = cut(pairs.join(x, F.col("a") == F.col("x.cls")).join(y, F.col("b") == F.col("y.cls")).where(plausible("x", "y")).select("a", "b"))
+        links = verify(pairs)
 
-    joined = components(links).withColumnRenamed("node", "cls")
-    placed = shared.select("key", "cls").join(joined, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("rows"))
-    still_open = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("rows", "component")).alias("most")).where("parts > 1").select("key", "most")
-    rest = cut(placed.join(still_open, "key").join(classes, "cls").withColumn("outside", F.col("component") != F.col("most")).drop("most"))
-    # of two rows outside, one order is enough
-    apart = (F.col("x.component") != F.col("y.component")) & (~F.col("y.outside") | (F.col("x.cls") < F.col("y.cls")))
-    more = rest.where("outside").alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & apart & plausible("x", "y"))
-    more = more.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
-    more = cut(more.join(pairs, ["a", "b"], "left_anti"))
-    return components(links.union(verify(more))).withColumnRenamed("node", "cls")
+        joined = components(links).withColumnRenamed("node", "cls")
+        placed = shared.select("key", "cls").join(joined, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+        sizes = placed.groupBy("key", "component").agg(F.count("*").alias("rows"))
+        still_open = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("rows", "component")).alias("most")).where("parts > 1").select("key", "most")
+        rest = cut(placed.join(still_open, "key").join(classes, "cls").withColumn("outside", F.col("component") != F.col("most")).drop("most"))
+        # of two rows outside, one order is enough
+        apart = (F.col("x.component") != F.col("y.component")) & (~F.col("y.outside") | (F.col("x.cls") < F.col("y.cls")))
+        more = rest.where("outside").alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & apart & plausible("x", "y"))
+        more = more.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
+        more = cut(more.join(pairs, ["a", "b"], "left_anti"))
+        return components(links.union(verify(more))).withColumnRenamed("node", "cls")

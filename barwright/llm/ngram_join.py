@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.llm.common import cut, stored
+from barwright.llm.common import Scratch, cut
 from barwright.llm.graph import linked_components, maybe_in
 
 #: Ratio of a size band's ends.
@@ -178,24 +178,25 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "d
 
     Two documents link when 100 * intersection >= percent * union of their sets.
     """
-    heads = stored(sketches(docs, n, percent, key, text))
-    members = heads.select("id", "n_shingles", "cls")
-    classes = cut(
-        heads.where("cls IS NOT NULL")
-        .groupBy("cls")
-        .agg(F.min("id").alias("rep"), F.min("n_shingles").alias("n"), F.any_value("sketch").alias("sketch"))
-        .select("cls", "rep", "n", *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)))
-        .where("rep IS NOT NULL")
-    )
-    joined = linked_components(
-        heads.select(F.explode("keys").alias("key"), "cls"),
-        classes,
-        lambda a, b: _plausible(percent, a, b),
-        lambda pairs: _links(pairs, classes, docs, n, percent, key, text),
-    )
-    named = joined.join(classes.select("cls", "rep"), "cls")
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    ids = classes.select("cls", "rep").join(joined, "cls", "left").join(least, "component", "left").select("cls", F.coalesce("component_id", "rep").alias("component_id"))
-    empty = members.where("cls IS NULL").select("id", "n_shingles", F.col("id").alias("component_id"))
-    full = members.where("cls IS NOT NULL").join(ids, "cls", "left").select("id", "n_shingles", "component_id")
-    return full.union(empty).withColumnRenamed("id", key)
+    with Scratch(docs.sparkSession) as keep:
+        heads = keep(sketches(docs, n, percent, key, text))
+        members = heads.select("id", "n_shingles", "cls")
+        classes = cut(
+            heads.where("cls IS NOT NULL")
+            .groupBy("cls")
+            .agg(F.min("id").alias("rep"), F.min("n_shingles").alias("n"), F.any_value("sketch").alias("sketch"))
+            .select("cls", "rep", "n", *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)))
+            .where("rep IS NOT NULL")
+        )
+        joined = linked_components(
+            heads.select(F.explode("keys").alias("key"), "cls"),
+            classes,
+            lambda a, b: _plausible(percent, a, b),
+            lambda pairs: _links(pairs, classes, docs, n, percent, key, text),
+        )
+        named = joined.join(classes.select("cls", "rep"), "cls")
+        least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+        ids = classes.select("cls", "rep").join(joined, "cls", "left").join(least, "component", "left").select("cls", F.coalesce("component_id", "rep").alias("component_id"))
+        empty = members.where("cls IS NULL").select("id", "n_shingles", F.col("id").alias("component_id"))
+        full = members.where("cls IS NOT NULL").join(ids, "cls", "left").select("id", "n_shingles", "component_id")
+        return cut(full.union(empty)).withColumnRenamed("id", key)
