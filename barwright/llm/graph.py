@@ -77,7 +77,9 @@ def linked_components(blocks: DataFrame, classes: DataFrame, plausible: Callable
         joined = components(links).withColumnRenamed("node", "cls")
         placed = shared.select("key", "cls").join(joined, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
         sizes = placed.groupBy("key", "component").agg(F.count("*").alias("rows"))
-        still_open = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("rows", "component")).alias("most")).where("parts > 1").select("key", "most")
+        # of three members, the two leaders have met each other and the third
+        parts = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.sum("rows").alias("members"), F.max_by("component", F.struct("rows", "component")).alias("most"))
+        still_open = parts.where("parts > 1 AND members > 3").select("key", "most")
         rest = cut(placed.join(still_open, "key").join(classes, "cls").withColumn("outside", F.col("component") != F.col("most")).drop("most"))
         # of two rows outside, one order is enough
         apart = (F.col("x.component") != F.col("y.component")) & (~F.col("y.outside") | (F.col("x.cls") < F.col("y.cls")))

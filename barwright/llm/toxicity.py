@@ -61,8 +61,10 @@ class Transducer:
 
 #: State: words for which a negation still holds.
 NEGATION = Transducer(0, {(n, "other"): (max(0, n - 1), 0.3 if n else 1.0) for n in range(4)} | {(n, "negation"): (3, 1.0) for n in range(4)})
-#: State 1: after a reporting verb or inside quotes.
-REPORTED = Transducer(0, {(0, "other"): (0, 1.0), (1, "other"): (1, 0.5), (0, "report"): (1, 1.0), (1, "report"): (1, 0.5), (0, "quote"): (1, 1.0), (1, "quote"): (0, 1.0)})
+#: State 1: after a reporting verb; state 2: inside quotes.
+REPORTED = Transducer(
+    0, {(0, "other"): (0, 1.0), (1, "other"): (1, 0.5), (2, "other"): (2, 0.5), (0, "report"): (1, 1.0), (0, "quote"): (2, 1.0), (1, "quote"): (2, 1.0), (2, "quote"): (0, 1.0)}
+)
 #: State 1: a target has been named; insults may also come before it, threats may not.
 TARGETED = Transducer(0, {(0, "other"): (0, 1.0), (1, "other"): (1, 1.5), (0, "threat"): (0, 0.25), (1, "threat"): (1, 1.5), (0, "target"): (1, 1.0), (1, "target"): (1, 1.0)})
 
