@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +41,12 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Spark drops the shuffle files of finished plans when the driver collects its garbage; this asks it to, before more are written."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class Scratch:
     """Tables stored() while the block runs; they are deleted at its end, so what outlives it must be cut() before."""
 
@@ -51,10 +58,13 @@ class Scratch:
 
     def __call__(self, df: DataFrame) -> DataFrame:
         self.paths.append(new_folder(self.spark))
-        return stored(df, self.paths[-1])
+        out = stored(df, self.paths[-1])
+        release(self.spark)
+        return out
 
     def __exit__(self, *_) -> None:
         jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for path in self.paths:
             folder = jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(conf).delete(folder, True)
+        release(self.spark)

@@ -16,21 +16,23 @@ WORDS = 1 << 16
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an edge; component is the least node that links reach.
 
-    Each round gives every node its least neighbour, follows that pointer once more, and contracts the
-    edges; it ends when no edge is left between different components. No group is gathered in one task:
-    the least neighbour is a partial aggregate, and joins on hot nodes are split by adaptive execution.
+    Each round orders the nodes anew by a hash, gives every node the first of itself and its neighbours,
+    follows that pointer once more, and contracts the edges; it ends when no edge is left between different
+    components. The order by hash makes long chains shrink by a constant factor. No group is gathered in one
+    task: the first neighbour is a partial aggregate, and joins on hot nodes are split by adaptive execution.
     Null ends and self-loops are ignored; edges may repeat and come in either direction.
     """
     edges = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct()
-    members = None
+    members, turn = None, 0
     while True:
-        edges = cut(edges)
+        edges, turn = cut(edges), turn + 1
         if edges.isEmpty():
             break
+        placed = lambda c, turn=turn: F.struct(F.xxhash64(c, F.lit(turn)).alias("p"), F.col(c).alias("n"))
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a"))
-        least = both.groupBy("node").agg(F.min("other").alias("other")).select("node", F.least("node", "other").alias("to"))
-        nxt = least.select(F.col("node").alias("to"), F.col("to").alias("further"))
-        step = cut(least.join(nxt, "to").select("node", F.col("further").alias("to")))
+        first = both.groupBy("node").agg(F.min(placed("other")).alias("other")).select("node", F.least(placed("node"), "other")["n"].alias("to"))
+        nxt = first.select(F.col("node").alias("to"), F.col("to").alias("further"))
+        step = cut(first.join(nxt, "to").select("node", F.col("further").alias("to")))
         if members is None:
             members = step.select("node", F.col("to").alias("component"))
         else:
@@ -40,7 +42,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         edges = edges.join(sa, "a").join(sb, "b").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).where("a < b").distinct()
     if members is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return members
+    least = members.groupBy("component").agg(F.min("node").alias("least"))
+    return members.join(least, "component").select("node", F.col("least").alias("component"))
+
+
+def _marked(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """df with _bits and _bit: their common bits tell whether the key may be among the ids."""
+    slot = F.pmod(F.xxhash64(key), F.lit(WORDS * 64)).alias("_slot")
+    word, bit = F.expr("_slot div 64").alias("_word"), F.expr("shiftleft(1L, CAST(_slot % 64 AS INT))")
+    bitmap = ids.select(slot).groupBy(word).agg(F.bit_or(bit).alias("_bits"))
+    # at most WORDS rows of two numbers are broadcast
+    return df.select("*", slot).select("*", word, bit.alias("_bit")).join(F.broadcast(bitmap), "_word", "left")
 
 
 def maybe_in(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
@@ -49,12 +61,14 @@ def maybe_in(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     The ids are folded into a bitmap of WORDS words, which is small enough to broadcast at any size of
     ids. With a great many ids it lets everything through, and the exact join after it does the work.
     """
-    slot = F.pmod(F.xxhash64(key), F.lit(WORDS * 64)).alias("_slot")
-    word, bit = F.expr("_slot div 64").alias("_word"), F.expr("shiftleft(1L, CAST(_slot % 64 AS INT))")
-    bitmap = ids.select(slot).groupBy(word).agg(F.bit_or(bit).alias("_bits"))
-    marked = df.select("*", slot).select("*", word, bit.alias("_bit"))
-    # at most WORDS rows of two numbers are broadcast
-    return marked.join(F.broadcast(bitmap), "_word").where("_bits & _bit != 0").select(*df.columns)
+    return _marked(df, key, ids).where("_bits & _bit != 0").select(*df.columns)
+
+
+def without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """df without the rows whose key is in ids; rows that the bitmap settles aren't shuffled. Null keys stay."""
+    marked = _marked(df, key, ids)
+    rest = marked.where("_bits & _bit != 0").select(*df.columns).join(ids.select(key), key, "left_anti")
+    return marked.where("coalesce(_bits & _bit, 0L) = 0").select(*df.columns).union(rest.select(*df.columns))
 
 
 def linked_components(blocks: DataFrame, classes: DataFrame, plausible: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
