@@ -138,8 +138,9 @@ def sketches(docs: DataFrame, n: int, percent: int, key: str, text: str) -> Data
                 if len(seen) < 2_000_000:
                     seen.add(cls)
                 rows.append((i, len(tokens), cls, parity(tokens), [] if known else block_keys(tokens, percent)))
-            out = pd.DataFrame(rows, columns=["id", "n_shingles", "cls", "sketch", "keys"])
-            yield out.assign(id=batch["id"].values, cls=out["cls"].astype("Int64"))
+            _, sizes, names, odd, keys = zip(*rows) if rows else ((),) * 5
+            # nullable integers: a null beside them must not turn hashes into floats
+            yield pd.DataFrame({"id": batch["id"].values, "n_shingles": sizes, "cls": pd.array(names, dtype="Int64"), "sketch": list(odd), "keys": list(keys)})
 
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
     return rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, n_shingles long, cls long, sketch array<long>, keys array<long>")
