@@ -212,3 +212,40 @@ def test_decontamination(spark):
     assert all(r["edits"] == 0 for r in got.collect() if r["doc_id"] % 3 == 0)
     assert decontamination.leaks(df, bench.limit(0)).count() == decontamination.leaks(df.limit(0), bench).count() == 0
     assert decontamination.recall([t for _, t in items[:10]]) >= 0.95
+
+
+def test_line_dedup_finds_lines_at_the_edit_similarity(spark):
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("etaoinshrdlucm") for _ in range(rnd.randrange(2, 9)))
+    texts, pairs = [], []
+    for size in (12, 18, 27, 35, 60, 120):
+        for changed in (1, 2, 4):
+            for _ in range(6):
+                words = [word() for _ in range(size)]
+                other = list(words)
+                for i in rnd.sample(range(size), changed):
+                    other[i] = word()
+                texts += [" ".join(words), " ".join(other)]
+                pairs.append((texts[-2], texts[-1]))
+    rnd.shuffle(texts)
+    want = Groups(range(len(texts)))  # by edit similarity alone
+    for a in range(len(texts)):
+        for b in range(a):
+            if edits.distance(texts[a], texts[b]) * 100 <= max(len(texts[a]), len(texts[b])) * 20:
+                want.join(a, b)
+    gone = {k for k in range(len(texts)) if want.find(k) != k}
+    got = {r["id"] for r in line_dedup.line_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got <= gone and len(gone) > 90 and len(got) >= 0.97 * len(gone)
+    assert line_dedup.recall(pairs) >= 0.97
+
+
+def test_pieces_reject_no_similar_line():
+    rnd = random.Random(22)
+    for _ in range(500):
+        a = [rnd.choice("abcd \u00e9\u4e2d") for _ in range(rnd.randrange(1, 60))]
+        b = list(a)
+        for _ in range(rnd.randrange(len(a) // 4 + 1)):
+            k = rnd.randrange(len(b) + 1)
+            b[k : k + rnd.randrange(2)] = rnd.choice(["", "x", "y"])
+        x, y = "".join(a), "".join(b)
+        assert line_dedup.near(x, y, 80) == (edits.distance(x, y) * 100 <= max(len(x), len(y)) * 20)
