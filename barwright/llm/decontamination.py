@@ -4,8 +4,9 @@ Texts and items are lower-cased with white space as single spaces. A random walk
 which few edits become few differing places: at each step it writes the current character and moves on or
 stays, by a random bit for the step and the character. Each of WALKS walks gives SAMPLES hashes of PLACES places
 sampled from the embedding; a window and an item that agree in one hash are candidates. Windows are as long as
-the item and begin at word starts; only word starts near WHOLE pieces of an item are embedded. As an item within
-its allowed edits keeps WHOLE of its (edits + WHOLE) pieces whole, that leaves out no window within reach. Candidates are
+the item and begin at word starts near WHOLE pieces of an item, and where those pieces themselves put the item's start,
+which needs no spaces in the text. An item within its allowed edits keeps WHOLE of its (edits + WHOLE) pieces whole, so
+each one within reach has its windows. Candidates are
 verified by their exact edit distance. recall() estimates the chance of a candidate by experiment.
 
 Items are taken in blocks of a bounded number of characters, each against all documents.
@@ -112,7 +113,7 @@ class Index:
         return len(text) * self.percent // 100
 
     def windows(self, text: str) -> set[tuple[int, int]]:
-        """(start, size) of the windows at word starts from which an item of that size may be reached."""
+        """(start, size) of the windows, at word starts and where pieces put the start, from which an item of that size may be reached."""
         hits: dict[int, set[tuple[int, int]]] = {}
         for end, found in self.pieces.iter(text):
             for n, b in found:
@@ -133,6 +134,7 @@ class Index:
                 if len(inside) >= WHOLE:
                     low, high = max(0, at - slack), at + slack
                     starts = [k + 1 for k in _all(text, " ", max(0, low - 1), high)] + ([0] if low == 0 else [])
+                    starts += [max(0, marks[left][0]), max(0, at)]
                     out.update((k, size) for k in starts if k + size <= len(text) + slack)
         return out
 

@@ -214,6 +214,21 @@ def test_decontamination(spark):
     assert decontamination.recall([t for _, t in items[:10]]) >= 0.95
 
 
+def test_decontamination_without_spaces(spark):
+    rnd = random.Random(12)
+    signs = lambda n: "".join(chr(rnd.randrange(0x4E00, 0x9000)) for _ in range(n))
+    items = [(i, signs(60)) for i in range(12)] + [(20 + i, "".join(rnd.choice("abcdefgh(){};=+_") for _ in range(70))) for i in range(12)]
+    docs = []
+    for k, (i, t) in enumerate(items):
+        chars = list(t)
+        for at, new in ((10, ""), (25, "xy"), (45, "z"))[: k % 4]:
+            chars[at] = new
+        docs.append((i, signs(200) + "".join(chars) + signs(200)))
+    df = spark.createDataFrame([*docs, (99, signs(3000))], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontamination.leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(i, i): (0, 1, 3, 4)[k % 4] for k, (i, _) in enumerate(items)}
+
+
 def test_line_dedup_finds_lines_at_the_edit_similarity(spark):
     rnd = random.Random(21)
     word = lambda: "".join(rnd.choice("etaoinshrdlucm") for _ in range(rnd.randrange(2, 9)))
