@@ -2,7 +2,8 @@
 
 Every line of every text that holds a licence cue is compared with the templates; a token's weight comes
 from the number of distinct cue lines and templates that hold it. A file's own licence is its best line's, if the
-cosine reaches THRESHOLD. A file with a licence file's name, or whose words are mostly licence lines, licenses its
+cosine reaches THRESHOLD. Header blocks (neighbouring lines without their comment marks, two at least) that hold a cue,
+and the whole text of a file with a licence file's name, are compared with HEADERS in the same way. A file with a licence file's name, or whose words are mostly licence lines, licenses its
 directory; files without a licence of their own take that of the nearest directory above them that has one.
 
 Edge cases: null and empty texts have no licence of their own and may inherit; a null path is the root directory;
@@ -36,6 +37,23 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain Unlicense"),
     ("ISC", "Released under the ISC License"),
 )
+GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+#: Standard headers and licence texts of more than one line.
+HEADERS = (
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
+    ("GPL-3.0", GNU.format("General Public License", "3")),
+    ("GPL-2.0", GNU.format("General Public License", "2")),
+    ("LGPL-3.0", GNU.format("Lesser General Public License", "3")),
+    ("AGPL-3.0", GNU.format("Affero General Public License", "3")),
+    ("BSD-3-Clause", BSD + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-2-Clause", BSD),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+)
+MARKS = r"(?m)^[\s/*#;%!<>|-]+|[ \t\r*/>-]+$"
 FILE = r"(?i)(^|/)(licen[sc]e|copying|unlicense)(\.[a-z]+)?$"
 
 
@@ -46,13 +64,22 @@ def _tokens(line: Column) -> Column:
     return F.concat(words, pairs)
 
 
-def line_matches(lines: DataFrame) -> DataFrame:
+def _blocks(text: Column, path: Column) -> Column:
+    """The cued header blocks of at least two lines as one line each, and the whole text of a licence file."""
+    plain = F.transform(F.split(text, "\n", -1), lambda x: F.regexp_replace(x, MARKS, ""))
+    blocks = F.filter(F.transform(F.split(F.array_join(plain, "\n"), r"\n{2,}"), lambda x: F.trim(x)), lambda x: x.rlike(CUE) & x.contains("\n"))
+    whole = F.when(path.rlike(FILE), F.array(F.array_join(plain, "\n"))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.transform(F.concat(blocks, whole), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))))
+
+
+def line_matches(lines: DataFrame, known_lines: tuple = TEMPLATES) -> DataFrame:
     """(line, licence, cosine) of the best template for each distinct line."""
     spark = lines.sparkSession
-    templates = spark.createDataFrame(list(TEMPLATES), "licence string, line string")
-    units = cut(lines.distinct())
-    counted = units.union(templates.select("line")).select(F.explode(F.array_distinct(_tokens(F.col("line")))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    n = units.count() + len(TEMPLATES)
+    templates = spark.createDataFrame(list(known_lines), "licence string, line string")
+    # rows of tokens name their unit by a digest, as blocks may be long
+    units = cut(lines.distinct().withColumn("u", F.unhex(F.md5("line"))))
+    counted = units.select("line").union(templates.select("line")).select(F.explode(F.array_distinct(_tokens(F.col("line")))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    n = units.count() + len(known_lines)
 
     def weighted(rows: DataFrame, *key: str) -> DataFrame:
         tf = rows.select(*key, F.explode(_tokens(F.col("line"))).alias("token")).groupBy(*key, "token").agg(F.count("*").alias("tf"))
@@ -62,9 +89,9 @@ def line_matches(lines: DataFrame) -> DataFrame:
         return rows.join(rows.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), list(key)).select(*key, "token", (F.col("w") / F.col("norm")).alias("w"))
 
     known = F.broadcast(cut(unit(weighted(templates, "licence"), "licence")).withColumnRenamed("w", "v"))  # fixed: some 300 rows
-    shared = unit(weighted(units, "line"), "line").join(known, "token").groupBy("line", "licence").agg(F.sum(F.col("w") * F.col("v")).alias("cosine"))
-    best = shared.groupBy("line").agg(F.min(F.struct((-F.round("cosine", 9)).alias("c"), "licence")).alias("best"))
-    return best.select("line", "best.licence", (-F.col("best.c")).alias("cosine"))
+    shared = unit(weighted(units, "u"), "u").join(known, "token").groupBy("u", "licence").agg(F.sum(F.col("w") * F.col("v")).alias("cosine"))
+    best = shared.groupBy("u").agg(F.min(F.struct((-F.round("cosine", 9)).alias("c"), "licence")).alias("best"))
+    return best.join(units, "u").select("line", "best.licence", (-F.col("best.c")).alias("cosine"))
 
 
 def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -72,11 +99,16 @@ def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str =
     rows = files.select(F.col(key).alias("k"), F.coalesce(path, F.lit("")).alias("path"), F.col(text).alias("t"))
     cued = F.when(F.col("t").rlike(CUE), F.filter(F.transform(F.split("t", "\n", -1), F.trim), lambda x: x.rlike(CUE))).otherwise(F.array().cast("array<string>"))
     words = F.size(F.filter(F.split("t", r"\s+"), lambda w: w != ""))
-    held = cut(rows.where(F.col("t").rlike(CUE)).select("k", "path", F.array_distinct(cued).alias("lines"), words.alias("words")).distinct())
+    held = cut(rows.where(F.col("t").rlike(CUE)).select("k", "path", F.array_distinct(cued).alias("lines"), _blocks(F.col("t"), F.col("path")).alias("blocks"), words.alias("words")).distinct())
     matches = cut(line_matches(held.select(F.explode("lines").alias("line"))).where(F.col("cosine") >= threshold))
     sized = matches.withColumn("own", F.size(F.split("line", r"\s+")))
-    found = held.select("k", "path", "words", F.explode("lines").alias("line")).join(sized, "line")
-    own = found.groupBy("k", "path", "words").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("best"), F.sum("own").alias("own"))
+    block_matches = cut(line_matches(held.select(F.explode("blocks").alias("line")), HEADERS).where(F.col("cosine") >= threshold))
+    blocks = block_matches.withColumn("own", F.size(F.split("line", r"\s+")))
+    by_line = held.select("k", "path", "words", F.explode("lines").alias("line")).join(sized, "line").withColumn("kind", F.lit(0))
+    by_block = held.select("k", "path", "words", F.explode("blocks").alias("line")).join(blocks, "line").withColumn("kind", F.lit(1))
+    # lines lie in blocks, so the words of both aren't added
+    found = by_line.unionByName(by_block).groupBy("k", "path", "words", "kind").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("best"), F.sum("own").alias("own"))
+    own = found.groupBy("k", "path", "words").agg(F.min("best").alias("best"), F.max("own").alias("own"))
     is_file = F.col("path").rlike(FILE) | (F.col("own") * 2 >= F.col("words"))
     # rows that repeat with the same key, path and length are one file here; the licence is the same for all
     own = cut(own.select("k", "path", F.col("best.licence").alias("licence"), (-F.col("best.c")).alias("cosine"), is_file.alias("is_file")).groupBy("k", "path").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence", "is_file")).alias("x")).select("k", "path", "x.licence", (-F.col("x.c")).alias("cosine"), "x.is_file"))

@@ -153,3 +153,18 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SF)
     assert empty.count() == 0
+
+
+def test_licences_of_headers_over_several_lines(spark):
+    gnu = "/*\n * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU %s as published by\n * the Free Software Foundation, either version %s of the License, or\n * (at your option) any later version.\n *\n * It is given without any warranty.\n */\n\nint main() { return 0; }\n" + "more = code + of + this + file;\n" * 30
+    mit = 'Copyright (c) 2020 Someone\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above notice shall be included in all copies.'
+    rows = [
+        (1, "p/a.c", gnu % ("General Public License", "3")),
+        (2, "q/b.c", gnu % ("General Public License", "2")),
+        (3, "r/c.c", gnu % ("Affero General Public License", "3")),
+        (4, "m/LICENSE", mit),
+        (5, "m/x/code", "code"),
+        (6, "n/notes", "the copyright of words\nis a theme of this text,\nwhich licenses nothing"),
+    ]
+    got = {r["doc_id"]: (r["licence"], r["origin"]) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {1: ("GPL-3.0", "header"), 2: ("GPL-2.0", "header"), 3: ("AGPL-3.0", "header"), 4: ("MIT", "file"), 5: ("MIT", "inherited"), 6: (None, None)}
