@@ -1,8 +1,8 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
 Words become classes (insult, threat, target, negation, reporting verb) with weights. Three small
-transducers run over a clause's classes in composition: negation damps what follows within three words,
-a reporting verb or an opening quote damps what is quoted, a target strengthens insults and is needed for
+transducers are composed into one that runs over a clause's classes: negation damps what follows within three
+words, a reporting verb or an opening quote damps what is quoted, a target strengthens insults and is needed for
 threats. A clause scores the sum of the weights that come out; a document's clause scores are mapped to a
 probability by a logistic curve.
 
@@ -12,7 +12,7 @@ never on held-out ones. Ids, languages, sources and labels are no inputs of a sc
 
 Edge cases: null and empty texts score as texts without a matched clause; an id that is null is never held
 out; an id with several labels counts as toxic if any says so; without any label a fixed curve is used;
-repeated rows give repeated results; columns other than the id and the text are ignored.
+repeated rows give repeated results; columns of docs are kept, but those named score and predicted are replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Hashable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -30,21 +30,34 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barwright.llm.common import cut
+
 #: Labelled rows that the lexicon and the curve are fitted on, at most.
 SAMPLE = 20_000
-#: Entries of the learned lexicon, at most.
-ENTRIES = 4_000
-INSULTS = ("idiot", "idiots", "moron", "morons", "stupid", "scum", "trash", "loser", "losers", "pathetic", "worthless", "disgusting", "clown", "clowns", "imbecile", "vermin", "filth", "dumb", "pig", "pigs", "ugly", "jerk", "fool", "fools")
-THREATS = ("kill", "hurt", "destroy", "beat", "stab", "shoot", "strangle", "punch", "die", "burn")
-TARGETS = ("you", "your", "yours", "youre", "he", "she", "they", "them", "him", "her", "those", "these", "people", "everyone", "u")
-NEGATIONS = ("not", "no", "never", "nobody", "isnt", "arent", "wasnt", "dont", "doesnt", "didnt", "without", "hardly")
-REPORTS = ("said", "says", "say", "called", "calls", "wrote", "writes", "claimed", "claims", "reported", "quoted", "alleged", "told")
+#: Size of the learned lexicon, at most: a bound of the model that is sent to every task.
+ENTRIES = 100_000
+# Words of each class in English, German, French and Spanish.
+INSULTS = (
+    "idiot idiots moron morons stupid scum trash loser losers pathetic worthless disgusting clown clowns imbecile vermin filth dumb pig pigs ugly jerk fool fools "
+    "dummkopf trottel abschaum versager widerlich erbärmlich schwachkopf imbécile imbéciles crétin crétins ordure minable débile abruti imbécil estúpido estúpida escoria inútil basura asqueroso"
+).split()
+THREATS = (
+    "kill hurt destroy beat stab shoot strangle punch burn töten umbringen verprügeln erschießen verbrennen erwürgen tuer frapper détruire poignarder brûler étrangler matar golpear destruir apuñalar quemar disparar"
+).split()
+TARGETS = (
+    "you your yours youre he she they them him her those these people everyone u du dich dir dein deine ihr euch sie ihn ihm tu toi te ton vous lui eux elles ils tú ti usted ustedes ellos ellas vosotros"
+).split()
+NEGATIONS = "not no never nobody isnt arent wasnt dont doesnt didnt without hardly nicht kein keine nie niemals niemand ohne ne pas jamais aucun aucune sans nunca jamás nadie ningún sin ni".split()
+REPORTS = (
+    "said says say called calls wrote writes claimed claims reported quoted alleged told sagte sagt nannte schrieb behauptete berichtete zitierte dit disait appela écrit écrivit affirma rapporta dijo dice llamó escribió afirmó informó"
+).split()
 CLASSES = {w: c for c, words in (("insult", INSULTS), ("threat", THREATS), ("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS)) for w in words}
 LETTER = r"[^\W\d_]"
 WORD = re.compile(rf"{LETTER}+(?:['’]{LETTER}+)?|[\"“”«»]")
 ENDS = re.compile(r"[.!?;:\n|]")
 #: The curve before any label is seen, and what a fit is drawn towards: bias, then a weight for each feature.
 DEFAULT = (-4.0, 2.5, 0.5, 0.5)
+KINDS = ("other", "insult", "threat", "target", "negation", "report", "quote")
 BEGINNINGS = range(3, 9)
 
 
@@ -52,13 +65,27 @@ BEGINNINGS = range(3, 9)
 class Transducer:
     """A finite-state transducer over word classes: (state, class) -> (next state, factor for a weight that passes)."""
 
-    start: int
-    arcs: dict[tuple[int, str], tuple[int, float]]
+    start: Hashable
+    arcs: dict[tuple[Hashable, str], tuple[Hashable, float]]
 
-    def step(self, state: int, kind: str) -> tuple[int, float]:
+    def step(self, state: Hashable, kind: str) -> tuple[Hashable, float]:
         return self.arcs.get((state, kind)) or self.arcs[state, "other"]
 
 
+def composed(first: Transducer, second: Transducer) -> Transducer:
+    """Both in a row: each passes the class on and scales the weight, so states pair up and factors multiply."""
+    start = (first.start, second.start)
+    arcs, todo = {}, [start]
+    while todo:
+        at = todo.pop()
+        for kind in KINDS:
+            (x, p), (y, q) = first.step(at[0], kind), second.step(at[1], kind)
+            arcs[at, kind] = (x, y), p * q
+            if ((x, y), KINDS[0]) not in arcs and (x, y) not in todo:
+                todo.append((x, y))
+    return Transducer(start, arcs)
+
+
 #: State: words for which a negation still holds.
 NEGATION = Transducer(0, {(n, "other"): (max(0, n - 1), 0.3 if n else 1.0) for n in range(4)} | {(n, "negation"): (3, 1.0) for n in range(4)})
 #: State 1: after a reporting verb; state 2: inside quotes.
@@ -69,6 +96,10 @@ REPORTED = Transducer(
 TARGETED = Transducer(0, {(0, "other"): (0, 1.0), (1, "other"): (1, 1.5), (0, "threat"): (0, 0.25), (1, "threat"): (1, 1.5), (0, "target"): (1, 1.0), (1, "target"): (1, 1.0)})
 
 
+#: The grammar of a clause: negation, then reported speech, then targets.
+CLAUSE = composed(composed(NEGATION, REPORTED), TARGETED)
+
+
 @dataclass
 class Grammar:
     """The lexicon (word or word beginning, marked by a star, to weight) and the curve."""
@@ -103,19 +134,16 @@ class Scorer:
         return kind, 0.0
 
     def clause(self, clause: str) -> float:
-        """The weight that the composed transducers let through."""
-        machines = (NEGATION, REPORTED, TARGETED)
-        states, total = [m.start for m in machines], 0.0
+        """The weight that the composed transducer lets through."""
+        state, total = CLAUSE.start, 0.0
         for word in WORD.findall(clause):
             kind, weight = self.word(word)
-            for k, m in enumerate(machines):
-                states[k], factor = m.step(states[k], kind)
-                weight *= factor
-            total += weight
+            state, factor = CLAUSE.arcs[state, kind]
+            total += weight * factor
         return total
 
     def features(self, text: str | None) -> tuple[float, ...]:
-        """Log of the summed clause scores, the highest, score to a hundred characters."""
+        """Logs of the summed clause scores, of the highest, and of the sum to a hundred characters."""
         low = (text or "").lower()
         scores, done = [], -1
         for end, n in self.found.iter(low):
@@ -127,7 +155,7 @@ class Scorer:
                 scores.append(score)
             done = max(done, stop)
         total = sum(scores)
-        return math.log1p(total), min(max(scores, default=0.0), 20.0) / 4, math.log1p(100 * total / (len(low) + 20))
+        return math.log1p(total), math.log1p(max(scores, default=0.0)), math.log1p(100 * total / (len(low) + 20))
 
     def score(self, text: str | None) -> float:
         bias, *weights = self.grammar.curve
@@ -145,16 +173,17 @@ def held_out(key: str = "doc_id") -> F.Column:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Texts of at most `sample` labelled rows that aren't held out: doc_id, part (0 to 3), toxic, text. An id with several texts gives each."""
+    """At most `sample` labelled documents that aren't held out: doc_id, part (0 to 3), toxic, text. Of an id's several texts the least is taken."""
     known = labels.select("doc_id", "toxic").where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     chosen = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").where(F.col("text").isNotNull())
-    return rows.join(F.broadcast(chosen), "doc_id").withColumn("part", F.crc32(F.col("doc_id").cast("string")) % 4)  # at most `sample` small rows are broadcast
+    one = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))  # at most `sample` small rows are broadcast
+    return cut(one.withColumn("part", F.crc32(F.col("doc_id").cast("string")) % 4))
 
 
 def _seen(text: str) -> set[str]:
     words = set(re.findall(rf"{LETTER}+", text.lower()))
-    return {w for w in words if len(w) >= 3} | {f"{w[:n]}*" for w in words for n in BEGINNINGS if n <= len(w)}
+    return words | {f"{w[:n]}*" for w in words for n in BEGINNINGS if n <= len(w)}
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -177,12 +206,15 @@ def lexicons(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
         .groupBy("entry")
         .agg(*(F.sum(F.when(c, F.col(v)).otherwise(0)).alias(a) for a, v, c in (("n0", "n", ~F.col("late")), ("t0", "toxic", ~F.col("late")))), F.sum("n").alias("n1"), F.sum("toxic").alias("t1"))
     )
-    out = []
-    for k in "01":
+
+    def top(k: int) -> DataFrame:
         n, t = F.col(f"n{k}"), F.col(f"t{k}")
         rate = (t + 0.1) / (n + 1.0)
-        top = counts.where((t >= 3) & (rate >= 0.6)).select("entry", F.log(rate / (1 - rate)).alias("w"), t.alias("t")).orderBy(F.desc("t"), "entry").limit(ENTRIES)
-        found = {r["entry"]: (round(min(4.0, r["w"]), 6), r["t"]) for r in top.collect()}
+        return counts.where((t >= 3) & (rate >= 0.6)).select("entry", F.log(rate / (1 - rate)).alias("w"), t.alias("t")).orderBy(F.desc("t"), "entry").limit(ENTRIES).withColumn("k", F.lit(k))
+
+    told, out = top(0).union(top(1)).collect(), []  # one job: the counts' exchange is used by both
+    for k in (0, 1):
+        found = {r["entry"]: (round(min(4.0, r["w"]), 6), r["t"]) for r in told if r["k"] == k}
         alone = Counter()  # a beginning that stands for one word only says no more than the word
         for entry, (_, seen) in found.items():
             if not entry.endswith("*"):
@@ -192,18 +224,29 @@ def lexicons(rows: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
     return out[0], out[1]
 
 
+def _loss(x: np.ndarray, y: np.ndarray, w: np.ndarray, prior: np.ndarray, ridge: float) -> float:
+    z = x @ w
+    return float(np.sum(np.logaddexp(0.0, z) - y * z) + 0.5 * ridge * np.sum((w - prior) ** 2))
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, ...]:
+    """Newton's method on a strictly convex loss; a step is halved until it lowers the loss, so it can't jump about."""
     x = np.column_stack([np.ones(len(x)), x])
     prior = w = np.array(DEFAULT)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    now = _loss(x, y, w, prior, ridge)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
         grad = x.T @ (p - y) + ridge * (w - prior)
+        if np.abs(grad).max() <= 1e-6 * len(x):
+            return tuple(float(v) for v in w)
         hess = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(hess, grad)
-        w = w - step
-        if np.abs(step).max() < 1e-8:
-            break
-    return tuple(float(v) for v in w)
+        step, size = np.linalg.solve(hess, grad), 1.0
+        while size > 1e-9 and not (new := _loss(x, y, w - size * step, prior, ridge)) < now:
+            size /= 2
+        if size <= 1e-9:  # no step lowers the loss any more: the end, to rounding
+            return tuple(float(v) for v in w)
+        w, now = w - size * step, new
+    raise RuntimeError("the curve's fit has not converged")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar:

@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,6 +21,26 @@ def test_grammar_scores_clauses():
     assert own.score("You are a worthless idiot.") > 0.3 > own.score("It is a fine day.") == own.score(None) == own.score("")
 
 
+def test_composition_multiplies_factors_of_paired_states():
+    both = toxicity.composed(toxicity.NEGATION, toxicity.REPORTED)
+    state, a, b = both.start, toxicity.NEGATION.start, toxicity.REPORTED.start
+    for kind in ("report", "other", "negation", "quote", "insult", "threat", "quote", "other", "other", "other", "target", "insult"):
+        state, factor = both.step(state, kind)
+        (a, p), (b, q) = toxicity.NEGATION.step(a, kind), toxicity.REPORTED.step(b, kind)
+        assert state == (a, b) and factor == p * q
+
+
+@pytest.mark.parametrize("times", [1, 4, 20, 100])
+def test_curve_converges_on_any_number_of_rows(times):
+    rnd = np.random.default_rng(3)
+    y = (np.arange(957) % 10 == 0).astype(float)
+    x = np.column_stack([rnd.gamma(2.0, 0.2 + y), rnd.gamma(2.0, 0.2 + 2 * y), rnd.gamma(2.0, 0.05 + y)])
+    x[rnd.random(957) < 0.7 * (1 - y)] = 0  # nearly separable
+    curve = np.array(toxicity._logistic(np.tile(x, (times, 1)), np.tile(y, times)))
+    share = (np.column_stack([np.ones(957), x]) @ curve > np.log(0.3 / 0.7)).mean()
+    assert 0.07 < share < 0.16
+
+
 def test_toxicity_on_held_out_labels(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     grammar = toxicity.fit(docs, labels)
