@@ -1,9 +1,15 @@
-"""Edit distance by bit-parallel rows held in one integer."""
+"""Edit distance by bit-parallel rows: held in one integer for a pair, in blocks of 64 for many pairs at once."""
 
 from __future__ import annotations
 
 from os.path import commonprefix
 
+import numpy as np
+
+#: Pairs taken together, and bytes of their masks at most.
+LANES, MASK_BYTES = 2048, 32_000_000
+U64 = np.uint64
+
 
 def _masks(pattern: str) -> dict[str, int]:
     out: dict[str, int] = {}
@@ -23,6 +29,66 @@ def distance(a: str, b: str) -> int:
     return _scan(a, b, 1)[-1]
 
 
+def distances(left: list[str], right: list[str]) -> np.ndarray:
+    """distance() of each pair; pairs of like sizes share the steps of the columns."""
+    sizes = np.array([(len(a), len(b)) for a, b in zip(left, right)], np.int64).reshape(-1, 2)
+    out = sizes.max(axis=1, initial=0)
+    todo = np.flatnonzero(sizes.min(axis=1, initial=1 << 40) > 0)
+    like = (4 * np.log2(out[todo])).astype(np.int64)
+    for k in np.unique(like):
+        group = todo[like == k]
+        blocks = int(sizes[group, 0].max() + 63) // 64
+        lanes = max(1, min(LANES, MASK_BYTES // (blocks * 8 * 64)))
+        for part in (group[at : at + lanes] for at in range(0, len(group), lanes)):
+            if len(part) < 8 or lanes < 8:  # too few for steps of whole arrays
+                out[part] = [distance(left[i], right[i]) for i in part]
+            else:
+                out[part] = _lanes_at_once([left[i] for i in part], [right[i] for i in part], sizes[part])
+    return out
+
+
+def _codes(strings: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _lanes_at_once(patterns: list[str], texts: list[str], sizes: np.ndarray) -> np.ndarray:
+    lanes, (height, width), each = len(patterns), sizes.max(axis=0), np.arange(len(patterns))
+    codes = np.concatenate([_codes(patterns), _codes(texts)])
+    held = np.zeros(int(codes.max()) + 1, bool)
+    held[codes] = True
+    places = (np.cumsum(held) - 1)[codes]
+    blocks, kinds = int(height + 63) // 64, int(held.sum()) + 1
+    m, n = sizes[:, 0], sizes[:, 1]
+    row, at = np.repeat(each, m), np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+    masks = np.zeros((blocks, lanes * kinds), U64)
+    np.bitwise_or.at(masks, (at // 64, row * kinds + places[: m.sum()]), U64(1) << (at % 64).astype(U64))
+    # block w meets column s - w at step s: all blocks take a step together; beyond a text's ends stands a letter that no pattern has
+    columns = np.full((width + 2 * blocks, lanes), kinds - 1)
+    columns[blocks + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), np.repeat(each, n)] = places[m.sum() :]
+    columns += each * kinds
+    masks, own = masks.reshape(-1), (np.arange(blocks) * (lanes * kinds))[:, None]
+
+    up, down = np.full((blocks, lanes), ~U64(0)), np.zeros((blocks, lanes), U64)
+    rise, fall = np.zeros((blocks, lanes), U64), np.zeros((blocks, lanes), U64)
+    rise[0] = 1
+    score, top, end = m.copy(), ((m - 1) % 64).astype(U64), (m - 1) // 64
+    one, last, at = U64(1), U64(63), end * lanes + each
+    for step in range(width + blocks - 1):
+        eq = masks.take(columns[step + 1 : step + 1 + blocks][::-1] + own)
+        vertical = eq | down
+        eq |= fall
+        same = (((eq & up) + up) ^ up) | eq
+        higher, lower = down | ~(same | up), up & same
+        live = step - end < n
+        score += ((higher.take(at) >> top) & one).astype(np.int64) * live
+        score -= ((lower.take(at) >> top) & one).astype(np.int64) * live
+        over, under = higher >> last, lower >> last
+        higher, lower = (higher << one) | rise, (lower << one) | fall
+        up, down = lower | ~(vertical | higher), higher & vertical
+        rise[1:], fall[1:] = over[:-1], under[:-1]
+    return score
+
+
 def best_within(pattern: str, text: str) -> tuple[int, int]:
     """(least distance of the pattern to any part of the text, the end of the first such part)."""
     at = text.find(pattern)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,93 +13,149 @@ from barwright.llm.common import Scratch, cut
 
 #: Words of 64 bits in a membership bitmap: it has at most so many rows, however many ids it stands for.
 WORDS = 1 << 16
+#: Edges that a task contracts at a time; what it holds in memory is a few times as much.
+TASK_EDGES = 1_000_000
+
+
+def _order(nodes: np.ndarray, turn: int) -> np.ndarray:
+    """A hash of each node, another one each turn."""
+    x = nodes.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15 * (turn + 1) & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)).view(np.int64)
+
+
+def stars(a: np.ndarray, b: np.ndarray, turn: int) -> pd.DataFrame:
+    """(node, root, place) of the components of some edges: root is the first in the turn's order, place its hash."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    place = _order(nodes, turn)
+    order = np.argsort(place, kind="stable")
+    rank = np.empty(len(nodes), np.int64)
+    rank[order] = np.arange(len(nodes))
+    x, y = np.split(rank[at], 2)
+    up = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(up[x], up[y]), np.maximum(up[x], up[y])
+        if (low == high).all():
+            break
+        np.minimum.at(up, high, low)
+        while not np.array_equal(further := up[up], up):
+            up = further
+    root = order[up[rank]]
+    return pd.DataFrame({"node": nodes, "root": nodes[root], "place": place[root]})
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) for every node of an edge; component is the least node that links reach.
+    """(node, component) for every node of an edge; component is the least node that links reach. Nodes are 64-bit integers.
 
-    Each round orders the nodes anew by a hash, gives every node the first of itself and its neighbours,
-    follows that pointer once more, and contracts the edges; it ends when no edge is left between different
-    components. The order by hash makes long chains shrink by a constant factor. No group is gathered in one
-    task: the first neighbour is a partial aggregate, and joins on hot nodes are split by adaptive execution.
-    Null ends and self-loops are ignored; edges may repeat and come in either direction.
+    Each round every task contracts the edges that it holds, TASK_EDGES at a time, to stars; each node then points to
+    the first of its roots in a hashed order, which is another one each round, and its other roots are the next round's edges.
+    A node has one row for each task at most, so no group of a hub is gathered; chains shrink by a constant
+    factor at least, and whatever meets in one task is contracted at once. Null ends and self-loops are ignored;
+    edges may repeat and come in either direction.
     """
-    edges = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct()
-    members, turn = None, 0
-    while True:
-        edges, turn = cut(edges), turn + 1
-        if edges.isEmpty():
-            break
-        placed = lambda c, turn=turn: F.struct(F.xxhash64(c, F.lit(turn)).alias("p"), F.col(c).alias("n"))
-        both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a"))
-        first = both.groupBy("node").agg(F.min(placed("other")).alias("other")).select("node", F.least(placed("node"), "other")["n"].alias("to"))
-        nxt = first.select(F.col("node").alias("to"), F.col("to").alias("further"))
-        step = cut(first.join(nxt, "to").select("node", F.col("further").alias("to")))
-        if members is None:
-            members = step.select("node", F.col("to").alias("component"))
-        else:
-            moved = step.select(F.col("node").alias("component"), "to")
-            members = cut(members.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
-        sa, sb = step.toDF("a", "ta"), step.toDF("b", "tb")
-        edges = edges.join(sa, "a").join(sb, "b").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).where("a < b").distinct()
-    if members is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    edges = edges.select(F.least(a, b).cast("long").alias("a"), F.greatest(a, b).cast("long").alias("b")).where("a < b").distinct()
+    levels: list[DataFrame] = []
+    while not levels or not edges.isEmpty():
+        turn = len(levels)
+
+        def run(batches: Iterator[pd.DataFrame], turn=turn) -> Iterator[pd.DataFrame]:
+            held: list[pd.DataFrame] = []
+            for batch in batches:
+                held.append(batch)
+                if sum(map(len, held)) >= TASK_EDGES:
+                    part, held = pd.concat(held), []
+                    yield stars(part["a"].to_numpy(), part["b"].to_numpy(), turn)
+            if held:
+                part = pd.concat(held)
+                yield stars(part["a"].to_numpy(), part["b"].to_numpy(), turn)
+
+        near = edges.mapInPandas(run, "node long, root long, place long")
+        step = cut(near.select("node", "root", F.min(F.struct("place", "root")).over(Window.partitionBy("node"))["root"].alias("to")))
+        levels.append(step.select("node", "to").distinct())
+        edges = step.where("root <> to").select(F.least("root", "to").alias("a"), F.greatest("root", "to").alias("b")).distinct()
+    members = levels[0].select("node", F.col("to").alias("component"))
+    for level in levels[1:]:
+        moved = level.select(F.col("node").alias("component"), "to")
+        members = members.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    if len(levels) > 1:
+        members = cut(members)
     least = members.groupBy("component").agg(F.min("node").alias("least"))
-    return members.join(least, "component").select("node", F.col("least").alias("component"))
+    return cut(members.join(least, "component").select("node", F.col("least").alias("component")))
 
 
-def _marked(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """df with _bits and _bit: their common bits tell whether the key may be among the ids."""
-    slot = F.pmod(F.xxhash64(key), F.lit(WORDS * 64)).alias("_slot")
-    word, bit = F.expr("_slot div 64").alias("_word"), F.expr("shiftleft(1L, CAST(_slot % 64 AS INT))")
-    bitmap = ids.select(slot).groupBy(word).agg(F.bit_or(bit).alias("_bits"))
+def _marked(df: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, Column]:
+    """df with columns of other names than its own, and whether the key may be among the ids."""
+    slot, word, bit, bits = (f"__{name}{'_' * max(map(len, df.columns))}" for name in ("slot", "word", "bit", "bits"))
+    held = F.pmod(F.xxhash64(key), F.lit(WORDS * 64)).alias(slot)
+    at, one = F.expr(f"{slot} div 64").alias(word), F.expr(f"shiftleft(1L, CAST({slot} % 64 AS INT))")
+    bitmap = ids.select(F.pmod(F.xxhash64(ids.columns[0] if key not in ids.columns else key), F.lit(WORDS * 64)).alias(slot)).groupBy(at).agg(F.bit_or(one).alias(bits))
     # at most WORDS rows of two numbers are broadcast
-    return df.select("*", slot).select("*", word, bit.alias("_bit")).join(F.broadcast(bitmap), "_word", "left")
+    return df.select("*", held).select("*", at, one.alias(bit)).join(F.broadcast(bitmap), word, "left"), F.coalesce(F.col(bits).bitwiseAND(F.col(bit)), F.lit(0)) != 0
 
 
-def maybe_in(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """df without most of the rows whose key isn't in ids (one column of that name); never drops one that is.
+def split_by(df: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be in ids, rows whose key is not); null keys are in the second. ids has one column, or one of that name.
 
     The ids are folded into a bitmap of WORDS words, which is small enough to broadcast at any size of
-    ids. With a great many ids it lets everything through, and the exact join after it does the work.
+    ids. With a great many ids it settles little, and the exact join after it does the work.
     """
-    return _marked(df, key, ids).where("_bits & _bit != 0").select(*df.columns)
+    marked, maybe = _marked(df, key, ids)
+    held = F.col(key).isNotNull() & maybe
+    return marked.where(held).select(*df.columns), marked.where(~held).select(*df.columns)
+
+
+def maybe_in(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """df without most of the rows whose key isn't in ids (and those with a null key); never drops one that is."""
+    return split_by(df, key, ids)[0]
 
 
 def without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """df without the rows whose key is in ids; rows that the bitmap settles aren't shuffled. Null keys stay."""
-    marked = _marked(df, key, ids)
-    rest = marked.where("_bits & _bit != 0").select(*df.columns).join(ids.select(key), key, "left_anti")
-    return marked.where("coalesce(_bits & _bit, 0L) = 0").select(*df.columns).union(rest.select(*df.columns))
+    some, rest = split_by(df, key, ids)
+    return rest.union(some.join(ids.select(key), key, "left_anti").select(*df.columns))
 
 
 def linked_components(blocks: DataFrame, classes: DataFrame, plausible: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Components (cls, component) of the classes that candidate groups and a verification link.
 
-    blocks has (key, cls): classes with a common key are candidates. plausible(x, y) is a cheap condition
-    on two rows of classes (a table with a column cls), verify keeps the pairs (a, b) that are linked. In each
-    group, members first meet two leaders only, its least and its greatest class. Then each group's rows outside its largest component meet all rows of other
-    components. Pairs within a component need no look, so no linked pair between components is lost.
+    blocks has (key, cls), which may repeat: classes with a common key are candidates. plausible(x, y) is a cheap
+    condition on two rows of classes (a table with a column cls), verify keeps the pairs (a, b) that are linked. In each
+    group, members first meet two leaders only, its least and its greatest class, which are partial aggregates.
+    In groups that are still apart, rows outside the largest component meet two leaders of that component; last, what is
+    still outside meets all rows of other components. Pairs within a component need no look, so no linked pair between
+    components is lost.
     """
+    ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     with Scratch(blocks.sparkSession) as keep:
-        w = Window.partitionBy("key")
-        shared = keep(blocks.select("key", "cls", F.min("cls").over(w).alias("low"), F.max("cls").over(w).alias("high")).where("low < high").dropDuplicates(["key", "cls"]))
+        ends = keep(blocks.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high"))
+        shared = keep(maybe_in(blocks, "key", ends).join(ends, "key"))
         leads = shared.select("cls", F.explode(F.array("low", "high")).alias("lead")).where("cls <> lead")
-        pairs = leads.select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b")).distinct()
-        x, y = classes.alias("x"), classes.alias("y")
-        pairs = cut(pairs.join(x, F.col("a") == F.col("x.cls")).join(y, F.col("b") == F.col("y.cls")).where(plausible("x", "y")).select("a", "b"))
-        links = verify(pairs)
-
-        joined = components(links).withColumnRenamed("node", "cls")
-        placed = shared.select("key", "cls").join(joined, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-        sizes = placed.groupBy("key", "component").agg(F.count("*").alias("rows"))
-        # of three members, the two leaders have met each other and the third
-        parts = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.sum("rows").alias("members"), F.max_by("component", F.struct("rows", "component")).alias("most"))
-        still_open = parts.where("parts > 1 AND members > 3").select("key", "most")
-        rest = cut(placed.join(still_open, "key").join(classes, "cls").withColumn("outside", F.col("component") != F.col("most")).drop("most"))
+
+        def likely(pairs: DataFrame) -> DataFrame:
+            x, y = classes.alias("x"), classes.alias("y")
+            return cut(pairs.join(x, F.col("a") == F.col("x.cls")).join(y, F.col("b") == F.col("y.cls")).where(plausible("x", "y")).select("a", "b"))
+
+        def outside(links: DataFrame) -> DataFrame:
+            """(key, cls, component, out): rows of the groups that are still apart; out if not in the group's largest component."""
+            joined = components(links).withColumnRenamed("node", "cls")
+            placed = shared.select("key", "cls").join(joined, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+            sizes = placed.groupBy("key", "component").agg(F.count("*").alias("rows"))
+            most = sizes.groupBy("key").agg(F.count("*").alias("parts"), F.max_by("component", F.struct("rows", "component")).alias("most")).where("parts > 1").select("key", "most")
+            return cut(placed.join(most, "key").select("key", "cls", "component", (F.col("component") != F.col("most")).alias("out")).distinct())
+
+        seen = likely(leads.select(*ordered("cls", "lead")).distinct())
+        links = verify(seen)
+
+        rest = outside(links)
+        tops = rest.where("NOT out").groupBy("key").agg(*(F.min_by("cls", F.xxhash64("cls", F.lit(k))).alias(f"t{k}") for k in (1, 2)))
+        more = rest.where("out").join(tops, "key").select("cls", F.explode(F.array("t1", "t2")).alias("lead")).select(*ordered("cls", "lead")).distinct()
+        more = likely(more.join(seen, ["a", "b"], "left_anti"))
+        seen, links = seen.union(more), links.union(verify(more))
+
+        rest = cut(outside(links).join(classes, "cls"))
         # of two rows outside, one order is enough
-        apart = (F.col("x.component") != F.col("y.component")) & (~F.col("y.outside") | (F.col("x.cls") < F.col("y.cls")))
-        more = rest.where("outside").alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & apart & plausible("x", "y"))
-        more = more.select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b")).distinct()
-        more = cut(more.join(pairs, ["a", "b"], "left_anti"))
+        apart = (F.col("x.component") != F.col("y.component")) & (~F.col("y.out") | (F.col("x.cls") < F.col("y.cls")))
+        more = rest.where("out").alias("x").join(rest.alias("y"), (F.col("x.key") == F.col("y.key")) & apart & plausible("x", "y"))
+        more = more.select(*ordered("x.cls", "y.cls")).distinct()
+        more = cut(more.join(seen, ["a", "b"], "left_anti"))
         return components(links.union(verify(more))).withColumnRenamed("node", "cls")
