@@ -13,11 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; a local default only where it is unset (tests)."""
+    """The shared folder named in spark.checkpoint.dir, else one in the warehouse."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = "/tmp/barwright-checkpoints"
+        where = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(where)
     return where
@@ -62,9 +62,14 @@ class Scratch:
         release(self.spark)
         return out
 
-    def __exit__(self, *_) -> None:
+    def free(self) -> None:
+        """Deletes what has been stored so far."""
         jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for path in self.paths:
             folder = jvm.org.apache.hadoop.fs.Path(path)
             folder.getFileSystem(conf).delete(folder, True)
+        self.paths = []
         release(self.spark)
+
+    def __exit__(self, *_) -> None:
+        self.free()

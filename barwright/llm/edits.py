@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from os.path import commonprefix
-
 import numpy as np
 
 #: Pairs taken together, and bytes of their masks at most.
@@ -18,12 +16,29 @@ def _masks(pattern: str) -> dict[str, int]:
     return out
 
 
+def _alike(a: str, b: str) -> int:
+    """Length of the common beginning."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[low:mid] == b[low:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
+def _differing(a: str, b: str) -> tuple[str, str]:
+    """Both without their common beginning and end."""
+    head = _alike(a, b)
+    a, b = a[head:], b[head:]
+    tail = _alike(a[::-1], b[::-1])
+    return a[: len(a) - tail], b[: len(b) - tail]
+
+
 def distance(a: str, b: str) -> int:
     """Least number of insertions, deletions and substitutions that turn a into b."""
-    head = len(commonprefix((a, b)))
-    a, b = a[head:], b[head:]
-    tail = len(commonprefix((a[::-1], b[::-1])))
-    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    a, b = _differing(a, b)
     if not a or not b:
         return len(a) + len(b)
     return _scan(a, b, 1)[-1]
@@ -31,7 +46,9 @@ def distance(a: str, b: str) -> int:
 
 def distances(left: list[str], right: list[str]) -> np.ndarray:
     """distance() of each pair; pairs of like sizes share the steps of the columns."""
-    sizes = np.array([(len(a), len(b)) for a, b in zip(left, right)], np.int64).reshape(-1, 2)
+    cut = [_differing(a, b) if len(a) <= len(b) else _differing(b, a) for a, b in zip(left, right)]
+    left, right = [a for a, _ in cut], [b for _, b in cut]
+    sizes = np.array([(len(a), len(b)) for a, b in cut], np.int64).reshape(-1, 2)
     out = sizes.max(axis=1, initial=0)
     todo = np.flatnonzero(sizes.min(axis=1, initial=1 << 40) > 0)
     like = (4 * np.log2(out[todo])).astype(np.int64)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barwright.llm.common import Scratch, cut
+from barwright.llm.common import Scratch, cut, release
 
 #: Words of 64 bits in a membership bitmap: it has at most so many rows, however many ids it stands for.
 WORDS = 1 << 16
@@ -115,7 +115,7 @@ def without(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return rest.union(some.join(ids.select(key), key, "left_anti").select(*df.columns))
 
 
-def linked_components(blocks: DataFrame, classes: DataFrame, plausible: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def linked_components(blocks: DataFrame, classes: DataFrame, plausible: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], read: Callable[[], None] = lambda: None) -> DataFrame:
     """Components (cls, component) of the classes that candidate groups and a verification link.
 
     blocks has (key, cls), which may repeat: classes with a common key are candidates. plausible(x, y) is a cheap
@@ -123,12 +123,14 @@ def linked_components(blocks: DataFrame, classes: DataFrame, plausible: Callable
     group, members first meet two leaders only, its least and its greatest class, which are partial aggregates.
     In groups that are still apart, rows outside the largest component meet two leaders of that component; last, what is
     still outside meets all rows of other components. Pairs within a component need no look, so no linked pair between
-    components is lost.
+    components is lost. read() is called when blocks won't be read any more.
     """
     ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     with Scratch(blocks.sparkSession) as keep:
         ends = keep(blocks.groupBy("key").agg(F.min("cls").alias("low"), F.max("cls").alias("high")).where("low < high"))
         shared = keep(maybe_in(blocks, "key", ends).join(ends, "key"))
+        read()
+        spark = blocks.sparkSession
         leads = shared.select("cls", F.explode(F.array("low", "high")).alias("lead")).where("cls <> lead")
 
         def likely(pairs: DataFrame) -> DataFrame:
@@ -145,12 +147,14 @@ def linked_components(blocks: DataFrame, classes: DataFrame, plausible: Callable
 
         seen = likely(leads.select(*ordered("cls", "lead")).distinct())
         links = verify(seen)
+        release(spark)
 
         rest = outside(links)
         tops = rest.where("NOT out").groupBy("key").agg(*(F.min_by("cls", F.xxhash64("cls", F.lit(k))).alias(f"t{k}") for k in (1, 2)))
         more = rest.where("out").join(tops, "key").select("cls", F.explode(F.array("t1", "t2")).alias("lead")).select(*ordered("cls", "lead")).distinct()
         more = likely(more.join(seen, ["a", "b"], "left_anti"))
         seen, links = seen.union(more), links.union(verify(more))
+        release(spark)
 
         rest = cut(outside(links).join(classes, "cls"))
         # of two rows outside, one order is enough

@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from barwright.llm import decontamination, edits, embedding_dedup, graph, line_dedup, ngram_join
 
@@ -123,44 +124,60 @@ def test_line_dedup(spark):
                 words[rnd.randrange(60)] = rnd.choice(VOCABULARY)
             lines.append(" ".join(words) if rnd.random() < 0.8 else rnd.choice(["", "Short 1", "short  2!", "--"]))
         texts.append("\n".join(lines))
-    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(100, None, "x"), (101, "", "x"), (0, texts[0], "x"), (None, "alone here", "x")]
+    rows = [(i, t, "x", 5) for i, t in enumerate(texts)] + [(100, None, "x", 5), (101, "", "x", 5), (0, texts[0], "x", 5)]
+    rows += [(None, "alone here\nsecond nowhere else", "x", 5), (None, "third\nfourth only here", "x", 5), (5, "one id\nand another text of it", "x", 5), (None, None, "x", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _gone string, _id int")
+    hashes = {r["text"]: r["h"] for r in df.selectExpr("text", "xxhash64(text) AS h").collect()}
+    name = lambda i, t: (line_dedup.LAST if i is None else i, hashes[t])
     seen = {}
-    for i, t, _ in rows:
+    for i, t, *_ in rows:
         for k, w in enumerate(line_dedup.normalised_lines(t)):
             if w and t is not None:
-                seen.setdefault(b" ".join(w), []).append((line_dedup.LAST if i is None else i, k))
+                seen.setdefault(b" ".join(w), []).append((*name(i, t), k))
     names = sorted(seen)
-    sims = line_dedup.simhashes([n.split() for n in names]).view(np.uint64)
-    want = Groups(range(len(names)))
+    want = Groups(range(len(names)))  # by edit similarity alone
     for a in range(len(names)):
         for b in range(a):
             x, y = names[a].decode(), names[b].decode()
-            if int(sims[a] ^ sims[b]).bit_count() <= 3 and edits.distance(x, y) * 100 <= max(len(x), len(y)) * 20:
+            if edits.distance(x, y) * 100 <= max(len(x), len(y)) * 20:
                 want.join(a, b)
     first = {}
-    for k, name in enumerate(names):
-        first[want.find(k)] = min([first.get(want.find(k), (1 << 63, 0)), *seen[name]])
+    for k, line in enumerate(names):
+        first[want.find(k)] = min([first.get(want.find(k), (1 << 63, 0, 0)), *seen[line]])
     gone = defaultdict(set)
-    for k, name in enumerate(names):
-        for at in seen[name]:
+    for k, line in enumerate(names):
+        for at in seen[line]:
             if at != first[want.find(k)]:
-                gone[at[0]].add(at[1])
-    df = spark.createDataFrame(rows, "doc_id long, text string, _gone string")
-    got = line_dedup.dedup_lines(df.withColumnRenamed("_gone", "cls")).collect()
-    assert len(got) == len(rows) and sum(map(len, gone.values())) > 40
-    texts_by_id = {i: t for i, t, _ in rows}
-    for r in got:
-        t = texts_by_id[r["doc_id"]]
-        keep = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[line_dedup.LAST if r["doc_id"] is None else r["doc_id"]])
-        assert r["text"] == keep and r["cls"] == "x"
-    assert line_dedup.dedup_lines(df.drop("_gone").limit(0)).count() == 0
-
-
-def test_long_lines_are_counted_whole():
+                gone[at[:2]].add(at[2])
+    got = line_dedup.dedup_lines(df)
+    assert got.columns == [*df.columns, "n_lines", "n_removed"] and sum(map(len, gone.values())) > 40
+    lines_of = lambda i, t: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[name(i, t)])
+    expected = sorted(((i, lines_of(i, t), 0 if t is None else len(t.split("\n")), 0 if t is None else len(gone[name(i, t)])) for i, t, *_ in rows), key=str)
+    assert sorted(((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in got.collect()), key=str) == expected
+    assert {(r["_gone"], r["_id"]) for r in got.collect()} == {("x", 5)}
+    assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+    assert line_dedup.dedup_lines(got).columns == got.columns
+
+
+def hashed(lines):
+    _, cls, sim, chars, owner, value = line_dedup.hashed_chunk("".join(x + "\n" for x in lines).encode())
+    return [(c, s, n, sorted(value[owner == k].tolist())) for k, (c, s, n) in enumerate(zip(cls, sim, chars))]
+
+
+def test_lines_are_hashed_alike_in_any_company():
     rnd = random.Random(3)
-    line = [rnd.choice(VOCABULARY).encode() * 3 for _ in range(1000)]
-    alone = line_dedup.simhashes([line])[0]
-    assert line_dedup.simhashes([[b"firstline"], line, [b"other", b"lines"]])[1] == alone
+    lines = [" ".join(rnd.choice(VOCABULARY) * rnd.randrange(1, 4) for _ in range(n)) for n in (1, 2, 3, 5, 8, 9, 12, 40, 300, 1000)]
+    assert hashed(lines) == [hashed([x])[0] for x in lines]
+    assert hashed(["a b", "", " - ", "a  b"])[0] == hashed(["x", "a b"])[1] and len(hashed(["", " "])) == 0
+
+
+def test_very_long_texts_keep_their_line_numbers(spark):
+    rnd = random.Random(6)
+    text = "\n".join(" ".join(rnd.choice(VOCABULARY) + str(k) for k in range(rnd.randrange(3, 12))) for _ in range(120_000))
+    big = "word " * 300_000
+    df = spark.createDataFrame([(1, text), (2, "x\n" + text.split("\n")[-1]), (3, big), (4, big + "end")], "doc_id long, text string")
+    got = {(r["id"], r["line"]): (r["first_id"], r["first_line"]) for r in line_dedup.line_groups(df).collect()}
+    assert got[2, 1][0] == 1 and got[4, 0] == (3, 0) and (2, 0) not in got
 
 
 def test_embeddings(spark):
@@ -254,13 +271,44 @@ def test_line_dedup_finds_lines_at_the_edit_similarity(spark):
     assert line_dedup.recall(pairs) >= 0.97
 
 
-def test_pieces_reject_no_similar_line():
+def test_distances_of_many_pairs():
     rnd = random.Random(22)
-    for _ in range(500):
-        a = [rnd.choice("abcd \u00e9\u4e2d") for _ in range(rnd.randrange(1, 60))]
+    left, right = [""], ["abc"]
+    for _ in range(900):
+        a = [rnd.choice("abcd \u00e9\u4e2d") for _ in range(rnd.choice((1, 9, 63, 64, 65, 128, 200, 700)))]
         b = list(a)
         for _ in range(rnd.randrange(len(a) // 4 + 1)):
             k = rnd.randrange(len(b) + 1)
             b[k : k + rnd.randrange(2)] = rnd.choice(["", "x", "y"])
-        x, y = "".join(a), "".join(b)
-        assert line_dedup.near(x, y, 80) == (edits.distance(x, y) * 100 <= max(len(x), len(y)) * 20)
+        left.append("".join(a))
+        right.append("".join(b))
+    assert edits.distances(left, right).tolist() == [edits.distance(a, b) for a, b in zip(left, right)]
+    assert len(edits.distances([], [])) == 0
+
+
+def test_groups_of_unlinked_and_linked_members(spark):
+    """Groups whose leaders are linked with nobody, a hub, and keys given twice."""
+    rnd = random.Random(31)
+    place = {c: rnd.randrange(60) for c in range(200)}
+    rows = [(k, c) for k in range(25) for c in rnd.sample(range(200), rnd.choice((2, 3, 5, 60)))]
+    linked = lambda a, b: abs(place[a] - place[b]) <= 1
+    want, mates = Groups(range(200)), defaultdict(set)
+    for k, c in rows:
+        mates[k].add(c)
+    for group in mates.values():
+        for a in group:
+            for b in group:
+                if a < b and linked(a, b):
+                    want.join(a, b)
+    classes = spark.createDataFrame(list(place.items()), "cls long, place int")
+    near = lambda x, y: F.abs(F.col(f"{x}.place") - F.col(f"{y}.place")) <= 9
+    table = spark.createDataFrame(list(place.items()), "c long, p int")
+    verify = lambda pairs: pairs.join(table.toDF("a", "p"), "a").join(table.toDF("b", "q"), "b").where("abs(p - q) <= 1").select("a", "b")
+    got = {r["cls"]: r["component"] for r in graph.linked_components(spark.createDataFrame(rows + rows[:50], "key long, cls long"), classes, near, verify).collect()}
+    assert got == {c: want.find(c) for c in got} and set(got) == {c for c in range(200) if any(want.find(c) == want.find(d) for d in range(200) if d != c)}
+
+
+def test_without_keeps_nulls_and_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, 5), (2, 6), (None, 7)], "k long, _slot long").withColumns({"__word": F.lit(1), "_bits": F.lit(2)})
+    got = graph.without(df, "k", spark.createDataFrame([(1,), (None,)], "k long"))
+    assert got.columns == df.columns and sorted(r["_slot"] for r in got.collect()) == [6, 7]
