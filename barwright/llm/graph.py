@@ -13,8 +13,8 @@ from barwright.llm.common import Scratch, cut, release
 
 #: Words of 64 bits in a membership bitmap: it has at most so many rows, however many ids it stands for.
 WORDS = 1 << 16
-#: Edges that a task contracts at a time; what it holds in memory is a few times as much.
-TASK_EDGES = 1_000_000
+#: Edges that a task is given on average, and those that it contracts at a time; what it holds in memory is a few times as much.
+SHARE, TASK_EDGES = 200_000, 1_000_000
 
 
 def _order(nodes: np.ndarray, turn: int) -> np.ndarray:
@@ -47,7 +47,7 @@ def stars(a: np.ndarray, b: np.ndarray, turn: int) -> pd.DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an edge; component is the least node that links reach. Nodes are 64-bit integers.
 
-    Each round every task contracts the edges that it holds, TASK_EDGES at a time, to stars; each node then points to
+    Each round every task contracts the edges that it holds, about SHARE of them, to stars; each node then points to
     the first of its roots in a hashed order, which is another one each round, and its other roots are the next round's edges.
     A node has one row for each task at most, so no group of a hub is gathered; chains shrink by a constant
     factor at least, and whatever meets in one task is contracted at once. Null ends and self-loops are ignored;
@@ -55,8 +55,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     edges = edges.select(F.least(a, b).cast("long").alias("a"), F.greatest(a, b).cast("long").alias("b")).where("a < b").distinct()
     levels: list[DataFrame] = []
-    while not levels or not edges.isEmpty():
-        turn = len(levels)
+    while True:
+        edges = cut(edges)
+        count = edges.count()
+        if levels and not count:
+            break
+        turn, tasks = len(levels), -(-count // SHARE)
 
         def run(batches: Iterator[pd.DataFrame], turn=turn) -> Iterator[pd.DataFrame]:
             held: list[pd.DataFrame] = []
@@ -69,7 +73,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                 part = pd.concat(held)
                 yield stars(part["a"].to_numpy(), part["b"].to_numpy(), turn)
 
-        near = edges.mapInPandas(run, "node long, root long, place long")
+        # as many tasks as the edges need: partitions of a few edges would contract little
+        near = edges.coalesce(max(1, tasks)).mapInPandas(run, "node long, root long, place long")
         step = cut(near.select("node", "root", F.min(F.struct("place", "root")).over(Window.partitionBy("node"))["root"].alias("to")))
         levels.append(step.select("node", "to").distinct())
         edges = step.where("root <> to").select(F.least("root", "to").alias("a"), F.greatest("root", "to").alias("b")).distinct()
