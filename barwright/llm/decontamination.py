@@ -11,8 +11,10 @@ verified by their exact edit distance. recall() estimates the chance of a candid
 
 Items are taken in blocks of a bounded number of characters, each against all documents.
 
-Edge cases: null and empty texts match nothing; null or empty items, and items shorter than MIN_CHARS after
-normalisation, are not searched for; equal items each match; a document that holds an item several times gives
+Items shorter than MIN_CHARS after normalisation would be found by chance within edits or inside words: they are
+searched for as they are, between word ends.
+
+Edge cases: null and empty texts match nothing; null or empty items are not searched for; equal items each match; a document that holds an item several times gives
 one row with the least edits; rows with the same key are taken together; a null key is kept; extra columns are ignored.
 """
 
@@ -94,20 +96,25 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], percent: int):
         self.items, self.percent = items, percent
-        self.pieces = ahocorasick.Automaton()
+        self.pieces, self.short = ahocorasick.Automaton(), ahocorasick.Automaton()
         for n, (_, text) in enumerate(items):
+            if len(text) < MIN_CHARS:
+                self.short.get(text, None) is None and self.short.add_word(text, (len(text), []))
+                self.short.get(text)[1].append(n)
+                continue
             parts = self.edits(text) + WHOLE
             cuts = [len(text) * k // parts for k in range(parts + 1)]
             for a, b in zip(cuts, cuts[1:]):
                 self.pieces.get(text[a:b], None) is None and self.pieces.add_word(text[a:b], [])
                 self.pieces.get(text[a:b]).append((n, b))
         self.pieces.make_automaton()
+        self.short.make_automaton()
         self.table: dict[tuple[int, int], list[int]] = {}
         for at in range(0, len(items), 256):
-            part = [t for _, t in items[at : at + 256]]
-            for k, hashes in enumerate(embedded_hashes(*_codes(part))):
+            part = [(n, items[n][1]) for n in range(at, min(at + 256, len(items))) if len(items[n][1]) >= MIN_CHARS]
+            for (n, t), hashes in zip(part, embedded_hashes(*_codes([t for _, t in part])) if part else ()):
                 for h in hashes.tolist():
-                    self.table.setdefault((len(part[k]), h), []).append(at + k)
+                    self.table.setdefault((len(t), h), []).append(n)
 
     def edits(self, text: str) -> int:
         return len(text) * self.percent // 100
@@ -115,6 +122,8 @@ class Index:
     def windows(self, text: str) -> set[tuple[int, int]]:
         """(start, size) of the windows, at word starts and where pieces put the start, from which an item of that size may be reached."""
         hits: dict[int, set[tuple[int, int]]] = {}
+        if not len(self.pieces):
+            return set()
         for end, found in self.pieces.iter(text):
             for n, b in found:
                 hits.setdefault(n, set()).add((end + 1 - b, b))
@@ -142,6 +151,12 @@ class Index:
         """(text's place, item's place, least edits) for the items found in normalised texts."""
         windows = sorted((k, *w) for k, t in enumerate(texts) for w in self.windows(t))
         best: dict[tuple[int, int], int] = {}
+        for k, t in enumerate(texts) if len(self.short) else ():
+            for last, (size, found) in self.short.iter(t):
+                first = last - size + 1
+                inside = first > 0 and t[first - 1].isalnum() and t[first].isalnum() or t[last].isalnum() and t[last + 1 : last + 2].isalnum()
+                if not inside:
+                    best.update(((k, n), 0) for n in found)
         for at in range(0, len(windows), 2048):
             part = windows[at : at + 2048]
             hashes = embedded_hashes(*_codes([texts[k][s : s + n].ljust(n, "\0") for k, s, n in part]))
@@ -195,7 +210,7 @@ def blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[int, st
     n = total // BLOCK_CHARS + 1
     for k in range(n):
         part = rows.where(F.pmod(F.xxhash64("id", "t"), F.lit(n)) == k) if n > 1 else rows
-        found = sorted({(r["id"], s) for r in part.collect() if len(s := normalised(r["t"])) >= MIN_CHARS}, key=lambda x: (x[0] is None, x))
+        found = sorted({(r["id"], s) for r in part.collect() if (s := normalised(r["t"]))}, key=lambda x: (x[0] is None, x))
         if found:
             yield found
 

@@ -1,9 +1,10 @@
 """Licence scan: sparse TF-IDF cosine of header lines and licence files to templates, then inheritance by path.
 
-Every line of every text that holds a licence cue is compared with the templates; a token's weight comes
-from the number of distinct cue lines and templates that hold it. A file's own licence is its best line's, if the
-cosine reaches THRESHOLD. Header blocks (neighbouring lines without their comment marks, two at least) that hold a cue,
-and the whole text of a file with a licence file's name, are compared with HEADERS in the same way. A file with a licence file's name, or whose words are mostly licence lines, licenses its
+Units of a text are its lines and header blocks that hold a cue, a word that licence texts are made of, and the whole
+text of a file with a licence file's name. A header block is a run of two or more neighbouring lines, without their comment marks,
+of at most WRAP characters each. Every unit is compared with all statements, identifiers and licence texts known; a token's weight
+comes from the number of distinct units and templates that hold it. A file's own licence is that of its best unit, if the
+cosine reaches THRESHOLD; "all rights reserved" alone names none. A file with a licence file's name, or whose words are mostly licence lines, licenses its
 directory; files without a licence of their own take that of the nearest directory above them that has one.
 
 Edge cases: null and empty texts have no licence of their own and may inherit; a null path is the root directory;
@@ -18,7 +19,10 @@ from pyspark.sql import functions as F
 from barwright.llm.common import cut
 
 THRESHOLD = 0.6
-CUE = r"(?i)licen[sc]e|copyright|spdx|public domain|all rights reserved"
+#: Every template holds one of these.
+CUE = r"(?i)licen[sc]e|copyright|spdx|public domain|all rights reserved|redistribut|permission|unencumbered|\bCC[ -]BY|\bCC0"
+#: Longest line of a wrapped header.
+WRAP = 100
 #: Short statements by which files name their licence.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -53,6 +57,13 @@ HEADERS = (
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
 )
+#: Further statements and identifiers; a licence may have several.
+IDENTIFIERS = tuple((name, f"SPDX-License-Identifier: {name}") for name, _ in TEMPLATES)
+STYLES = (
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("MIT", "Use of this source code is governed by an MIT-style license that can be found in the LICENSE file."),
+)
+KNOWN = (*TEMPLATES, *IDENTIFIERS, *STYLES, *HEADERS)
 MARKS = r"(?m)^[\s/*#;%!<>|-]+|[ \t\r*/>-]+$"
 FILE = r"(?i)(^|/)(licen[sc]e|copying|unlicense)(\.[a-z]+)?$"
 
@@ -60,14 +71,16 @@ FILE = r"(?i)(^|/)(licen[sc]e|copying|unlicense)(\.[a-z]+)?$"
 def _tokens(line: Column) -> Column:
     """Words, digits with their points, and pairs of neighbouring words."""
     words = F.regexp_extract_all(F.lower(line), F.lit(r"[a-z]+|[0-9]+(?:\.[0-9]+)*"), F.lit(0))
-    pairs = F.transform(F.slice(F.arrays_zip(words.alias("a"), F.slice(words, 2, 1 << 20).alias("b")), 1, 1 << 20), lambda x: F.concat_ws("_", x["a"], x["b"]))
+    others = F.greatest(F.size(words) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(words, F.lit(1), others), F.slice(words, F.lit(2), others), lambda a, b: F.concat_ws("_", a, b))
     return F.concat(words, pairs)
 
 
 def _blocks(text: Column, path: Column) -> Column:
     """The cued header blocks of at least two lines as one line each, and the whole text of a licence file."""
     plain = F.transform(F.split(text, "\n", -1), lambda x: F.regexp_replace(x, MARKS, ""))
-    blocks = F.filter(F.transform(F.split(F.array_join(plain, "\n"), r"\n{2,}"), lambda x: F.trim(x)), lambda x: x.rlike(CUE) & x.contains("\n"))
+    wrapped = F.transform(plain, lambda x: F.when(F.length(x) <= WRAP, x).otherwise(""))
+    blocks = F.filter(F.transform(F.split(F.array_join(wrapped, "\n"), r"\n{2,}"), lambda x: F.trim(x)), lambda x: x.rlike(CUE) & x.contains("\n"))
     whole = F.when(path.rlike(FILE), F.array(F.array_join(plain, "\n"))).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.transform(F.concat(blocks, whole), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))))
 
@@ -75,7 +88,7 @@ def _blocks(text: Column, path: Column) -> Column:
 def line_matches(lines: DataFrame, known_lines: tuple = TEMPLATES) -> DataFrame:
     """(line, licence, cosine) of the best template for each distinct line."""
     spark = lines.sparkSession
-    templates = spark.createDataFrame(list(known_lines), "licence string, line string")
+    templates = spark.createDataFrame([(k, *known) for k, known in enumerate(known_lines)], "k int, licence string, line string")
     # rows of tokens name their unit by a digest, as blocks may be long
     units = cut(lines.distinct().withColumn("u", F.unhex(F.md5("line"))))
     counted = units.select("line").union(templates.select("line")).select(F.explode(F.array_distinct(_tokens(F.col("line")))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
@@ -88,8 +101,8 @@ def line_matches(lines: DataFrame, known_lines: tuple = TEMPLATES) -> DataFrame:
     def unit(rows: DataFrame, *key: str) -> DataFrame:
         return rows.join(rows.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")), list(key)).select(*key, "token", (F.col("w") / F.col("norm")).alias("w"))
 
-    known = F.broadcast(cut(unit(weighted(templates, "licence"), "licence")).withColumnRenamed("w", "v"))  # fixed: some 300 rows
-    shared = unit(weighted(units, "u"), "u").join(known, "token").groupBy("u", "licence").agg(F.sum(F.col("w") * F.col("v")).alias("cosine"))
+    known = F.broadcast(cut(unit(weighted(templates, "k", "licence"), "k", "licence")).withColumnRenamed("w", "v"))  # fixed: some 1,000 rows
+    shared = unit(weighted(units, "u"), "u").join(known, "token").groupBy("u", "k", "licence").agg(F.sum(F.col("w") * F.col("v")).alias("cosine"))
     best = shared.groupBy("u").agg(F.min(F.struct((-F.round("cosine", 9)).alias("c"), "licence")).alias("best"))
     return best.join(units, "u").select("line", "best.licence", (-F.col("best.c")).alias("cosine"))
 
@@ -100,12 +113,10 @@ def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str =
     cued = F.when(F.col("t").rlike(CUE), F.filter(F.transform(F.split("t", "\n", -1), F.trim), lambda x: x.rlike(CUE))).otherwise(F.array().cast("array<string>"))
     words = F.size(F.filter(F.split("t", r"\s+"), lambda w: w != ""))
     held = cut(rows.where(F.col("t").rlike(CUE)).select("k", "path", F.array_distinct(cued).alias("lines"), _blocks(F.col("t"), F.col("path")).alias("blocks"), words.alias("words")).distinct())
-    matches = cut(line_matches(held.select(F.explode("lines").alias("line"))).where(F.col("cosine") >= threshold))
-    sized = matches.withColumn("own", F.size(F.split("line", r"\s+")))
-    block_matches = cut(line_matches(held.select(F.explode("blocks").alias("line")), HEADERS).where(F.col("cosine") >= threshold))
-    blocks = block_matches.withColumn("own", F.size(F.split("line", r"\s+")))
+    every = held.select(F.explode(F.concat("lines", "blocks")).alias("line"))
+    sized = cut(line_matches(every, KNOWN).where(F.col("cosine") >= threshold).withColumn("own", F.size(F.split("line", r"\s+"))))
     by_line = held.select("k", "path", "words", F.explode("lines").alias("line")).join(sized, "line").withColumn("kind", F.lit(0))
-    by_block = held.select("k", "path", "words", F.explode("blocks").alias("line")).join(blocks, "line").withColumn("kind", F.lit(1))
+    by_block = held.select("k", "path", "words", F.explode("blocks").alias("line")).join(sized, "line").withColumn("kind", F.lit(1))
     # lines lie in blocks, so the words of both aren't added
     found = by_line.unionByName(by_block).groupBy("k", "path", "words", "kind").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("best"), F.sum("own").alias("own"))
     own = found.groupBy("k", "path", "words").agg(F.min("best").alias("best"), F.max("own").alias("own"))

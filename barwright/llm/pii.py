@@ -3,31 +3,38 @@
 E-mail names, card and account numbers, phone and social-security numbers, IPv4 addresses and dates are
 found by one pattern, validated by kind, and replaced by a keyed permutation of the values of the same format:
 digits stay digits, letters keep their case, punctuation, country codes, domains and lengths stay, and check
-digits are made anew. The permutation depends on the key and the kind only, so equal values get equal pseudonyms
-in all documents, and different values different ones.
+digits are made anew. What is permuted is the value without its punctuation, blanks and case, which are put back, so
+equal values get equal pseudonyms in all documents however they are written, and different values different ones. The
+permutation depends on the key and the kind only. The key reaches the plan as "bw8:" and its SHA-256, which stands for it: set
+spark.sql.redaction.string.regex to bw8:[0-9a-f]{64} to keep it out of plans and event logs.
 
 A string is split in halves; in each of ROUNDS rounds one half is shifted, character by character within its
 class, by a hash of key, kind, round and the other half. Addresses (2 x 16 bits) and dates (2 x 8 bits within a
 span of 65536 days) go through the same network on numbers. What looks like a date or an address but isn't a valid
 one is left; a long number that fails its check is permuted without one.
 
-Edge cases: a null text stays null with no finds; an empty text has none; extra columns are kept.
+Edge cases: a null text stays null with no finds; an empty text has none; repeated rows get the same pseudonyms; extra
+columns are kept, but one with the count's name is replaced.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 6
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
 ADDRESS = rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?\d)"
 PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)|\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\d-])"
 SOCIAL = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 DATE = r"(?<![\d.-])\d{4}-\d{2}-\d{2}(?![\d-])|(?<![\d/])\d{1,2}/\d{1,2}/\d{4}(?![\d/])|(?<![\d.])\d{1,2}\.\d{1,2}\.\d{4}(?!\.?\d)"
 NUMBER = r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d)"
+# Telephone country codes of one and two digits; all others have three.
+COUNTRY = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 PATTERN = "|".join((EMAIL, IBAN, ADDRESS, PHONE, SOCIAL, DATE, NUMBER))
 
 
@@ -62,10 +69,21 @@ def _bound(value: str, name: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
+def _refit(value: str, kept: str = "0-9") -> str:
+    """SQL that puts the characters of a value back at the places in m that hold such characters."""
+    step = f"IF(c RLIKE '[{kept}]', named_struct('s', concat(a.s, substring(v, a.i, 1)), 'i', a.i + 1), named_struct('s', concat(a.s, c), 'i', a.i))"
+    return _bound(value, "v", f"aggregate(split(m, ''), named_struct('s', '', 'i', 1), (a, c) -> {step}, a -> a.s)")
+
+
+def _digits(body: str) -> str:
+    """SQL of body, in which d stands for the digits of m, put back into m."""
+    return _refit(_bound("regexp_replace(m, '[^0-9]', '')", "d", body))
+
+
 def _card(key: str) -> str:
-    plain = _bound("regexp_replace(b, '[^0-9]', '')", "d", "concat(b, CAST(element_at(filter(sequence(0, 9), k -> luhn_check(concat(d, k))), 1) AS STRING))")
-    checked = _bound(permuted("substring(m, 1, length(m) - 1)", "card", key), "b", plain)
-    return f"IF(luhn_check(regexp_replace(m, '[^0-9]', '')), {checked}, {permuted('m', 'number', key)})"
+    plain = "concat(b, CAST(element_at(filter(sequence(0, 9), k -> luhn_check(concat(b, k))), 1) AS STRING))"
+    checked = _bound(permuted("substring(d, 1, length(d) - 1)", "card", key), "b", plain)
+    return _digits(f"IF(luhn_check(d), {checked}, {permuted('d', 'number', key)})")
 
 
 def _remainder(s: str) -> str:
@@ -74,17 +92,28 @@ def _remainder(s: str) -> str:
 
 
 def _iban(key: str) -> str:
-    rest = "substring(m, 5, length(m))"
-    made = _bound(permuted(rest, "iban", key), "b", f"concat(substring(m, 1, 2), lpad(CAST(98 - {_remainder('concat(b, substring(m, 1, 2), ' + chr(39) + '00' + chr(39) + ')')} AS STRING), 2, '0'), b)")
-    valid = f"{_remainder('concat(' + rest + ', substring(m, 1, 4))')} = 1"
-    return f"IF({valid}, {made}, concat(substring(m, 1, 4), {permuted(rest, 'iban', key)}))"
+    rest = "substring(x, 5, length(x))"
+    made = _bound(permuted(rest, "iban", key), "b", f"concat(substring(x, 1, 2), lpad(CAST(98 - {_remainder('concat(b, substring(x, 1, 2), ' + chr(39) + '00' + chr(39) + ')')} AS STRING), 2, '0'), b)")
+    valid = f"{_remainder('concat(' + rest + ', substring(x, 1, 4))')} = 1"
+    return _refit(_bound("replace(m, ' ', '')", "x", f"IF({valid}, {made}, concat(substring(x, 1, 4), {permuted(rest, 'iban', key)}))"), "A-Z0-9")
 
 
 def _social(key: str) -> str:
-    valid = lambda s: f"NOT {s} RLIKE r'^(000|666|9)|-00-|0000$'"
+    valid = lambda s: f"NOT {s} RLIKE r'^(000|666|9)|^...00|0000$'"
     # walk the permutation's cycle until a valid number comes; one in seven isn't
-    walked = f"aggregate(sequence(1, 48), {permuted('m', 'social', key)}, (s, k) -> IF({valid('s')}, s, {permuted('s', 'social', key)}))"
-    return f"IF({valid('m')}, {walked}, {permuted('m', 'number', key)})"
+    walked = f"aggregate(sequence(1, 48), {permuted('d', 'social', key)}, (s, k) -> IF({valid('s')}, s, {permuted('s', 'social', key)}))"
+    return _digits(f"IF({valid('d')}, {walked}, {permuted('d', 'number', key)})")
+
+
+def _phone(key: str) -> str:
+    code = f"IF(m LIKE '+%', regexp_extract(d, {_quoted(COUNTRY)}, 0), '')"
+    return _digits(_bound(code, "o", f"concat(o, {permuted('substring(d, length(o) + 1, length(d))', 'phone', key)})"))
+
+
+def _mail(key: str) -> str:
+    name = "substring_index(m, '@', 1)"
+    cased = f"array_join(transform(split({name}, ''), (c, i) -> IF(c BETWEEN 'A' AND 'Z', upper(substring(v, i + 1, 1)), substring(v, i + 1, 1))), '')"
+    return f"concat({_bound(permuted(f'lower({name})', 'mail', key), 'v', cased)}, '@', substring_index(m, '@', -1))"
 
 
 def _address(key: str) -> str:
@@ -108,27 +137,24 @@ def _date(key: str) -> str:
 
 def pseudonym(key: str) -> str:
     """SQL of the pseudonym of a match m of PATTERN."""
-    country = "regexp_extract(m, r'^\\+\\d{1,3}', 0)"
-    phone = f"concat({country}, {permuted(f'substring(m, length({country}) + 1, length(m))', 'phone', key)})"
-    mail = f"concat({permuted(chr(115) + 'ubstring_index(m, ' + chr(39) + '@' + chr(39) + ', 1)', 'mail', key)}, '@', substring_index(m, '@', -1))"
-    return f"""CASE WHEN m LIKE '%@%' THEN {mail}
+    return f"""CASE WHEN m LIKE '%@%' THEN {_mail(key)}
         WHEN m RLIKE '^[A-Z]' THEN {_iban(key)}
         WHEN m RLIKE {_quoted('^' + OCTET + '([.]' + OCTET + '){3}$')} THEN {_address(key)}
-        WHEN m RLIKE r'^[+(]|^\\d{{3}}[.-]\\d{{3}}[.-]\\d{{4}}$' THEN {phone}
+        WHEN m RLIKE r'^[+(]|^\\d{{3}}[.-]\\d{{3}}[.-]\\d{{4}}$' THEN {_phone(key)}
         WHEN m RLIKE r'^\\d{{3}}-\\d{{2}}-\\d{{4}}$' THEN {_social(key)}
         WHEN length(m) <= 10 THEN {_date(key)}
         ELSE {_card(key)} END"""
 
 
-def pseudonymised(docs: DataFrame, key: str = "barwright", text: str = "text", count: str = "n_found") -> DataFrame:
-    """docs with every find in `text` replaced, and `count`, the number of finds."""
-    if "'" in key or "\\" in key or "|" in key:
-        raise ValueError("the key may hold neither quotes, backslashes nor bars")
+def pseudonymised(docs: DataFrame, key: str, text: str = "text", count: str = "n_found") -> DataFrame:
+    """docs with every find in `text` replaced, and `count`, the number of finds. The key is any secret string."""
+    secret = "bw8:" + hashlib.sha256(key.encode()).hexdigest()
+    held = "_found" + "_" * max(map(len, docs.columns))  # no column has this name
     # whatever matches holds a digit or an at sign; most texts are settled by that cheaper look
     matches = F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))
-    found = docs.withColumn("_found", F.when(F.col(text).rlike("[0-9@]"), matches).otherwise(F.array().cast("array<string>")))
-    made = F.expr(f"transform(_found, m -> {pseudonym(key)})")
+    found = docs.withColumn(held, F.when(F.col(text).rlike("[0-9@]"), matches).otherwise(F.array().cast("array<string>")))
+    made = F.expr(f"transform({held}, m -> {pseudonym(secret)})")
     between = F.split(F.col(text), PATTERN, -1)
     whole = F.array_join(F.transform(F.arrays_zip(between.alias("p"), made.alias("q")), lambda x: F.concat(x["p"], F.coalesce(x["q"], F.lit("")))), "")
-    new = F.when(F.size("_found") > 0, whole).otherwise(F.col(text))
-    return found.withColumns({text: new, count: F.coalesce(F.when(F.col("_found").isNotNull(), F.size("_found")), F.lit(0)).cast("long")}).drop("_found")
+    new = F.when(F.size(held) > 0, whole).otherwise(F.col(text))
+    return found.withColumns({text: new, count: F.coalesce(F.when(F.col(held).isNotNull(), F.size(held)), F.lit(0)).cast("long")}).drop(held)

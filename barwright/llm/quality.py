@@ -69,7 +69,7 @@ def votes(n: int, s: tuple[float, ...], lines: int) -> int:
 @lru_cache(maxsize=1)
 def _shapes() -> WordCache:
     def shape(word: str) -> int:
-        kinds = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:24]]
+        kinds = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word]
         short = "".join(c for k, c in enumerate(kinds) if k == 0 or c != kinds[k - 1])
         return xxhash.xxh3_64_intdigest(f"{short}|{min(len(word), 12) // 3}") % DIM
 
@@ -140,7 +140,8 @@ def classify(docs: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: s
                 out.append((x.astype(np.float32), chances[votes(len(words), s, (t or "").count("\n") + 1)]))
             yield pd.DataFrame(out, columns=["x", "y"])
 
-    seen = rows.join(F.broadcast(chosen), "k").select("t").mapInPandas(learned, "x array<float>, y double").toPandas()  # at most `sample` ids
+    one = rows.join(F.broadcast(chosen), "k").groupBy("k").agg(F.min("t").alias("t"))  # of an id's several texts the least
+    seen = one.select("t").mapInPandas(learned, "x array<float>, y double").toPandas()  # at most `sample` rows
     if len(seen):
         x, y = np.stack(seen["x"]), seen["y"].to_numpy()
         order = np.lexsort((x @ np.arange(DIM), y))

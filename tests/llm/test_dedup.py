@@ -208,7 +208,7 @@ def test_embeddings(spark):
 def test_decontamination(spark):
     rnd = random.Random(8)
     word = lambda: "".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randrange(2, 9)))
-    items = [(i, " ".join(word() for _ in range(rnd.randrange(12, 50)))) for i in range(30)] + [(50, None), (51, ""), (52, "too short"), (53, None)]
+    items = [(i, " ".join(word() for _ in range(rnd.randrange(12, 50)))) for i in range(30)] + [(50, None), (51, ""), (52, "Qz  short"), (53, None), (54, "qz short")]
     docs, want = [], set()
     for k in range(90):
         text = " ".join(word() for _ in range(rnd.randrange(0, 200)))
@@ -219,10 +219,14 @@ def test_decontamination(spark):
         docs.append((k, f"{text}\n {''.join(chars).upper() if k % 2 else ''.join(chars)}  {text}"))
         want.add((k, i))
     docs += [(200 + k, " ".join(word() for _ in range(300))) for k in range(20)] + [(300, None), (301, ""), (0, docs[0][1]), (302, "the " * 5000)]
+    short = [(400, "a qz short, b"), (401, "qz\tSHORT"), (402, "qz shorts"), (403, "aqz short"), (404, "xqz short qz short")]
+    docs += short
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 item_id")
     bench = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "2 doc_id")
     got = decontamination.leaks(df, bench)
     exact = {(d, i) for d, t in docs if t is not None for i, x in items[:30] if (e := edits.best_within(decontamination.normalised(x), decontamination.normalised(t) or " ")[0]) <= len(decontamination.normalised(x)) // 10}
+    assert {(r["doc_id"], r["item_id"], r["edits"]) for r in got.where("doc_id >= 400").collect()} == {(d, i, 0) for d in (400, 401, 404) for i in (52, 54)}
+    got = got.where("doc_id < 400")
     found = {(r["doc_id"], r["item_id"]) for r in got.collect()}
     assert got.count() == len(found) and found <= exact and want <= exact
     assert len(found) >= 0.97 * len(exact)

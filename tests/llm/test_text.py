@@ -1,5 +1,6 @@
 """Toxicity, quality, licences and pseudonyms."""
 
+import hashlib
 import re
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from barwright.llm import licences, pii, quality, toxicity
+from barwright.llm import common, licences, pii, quality, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -122,6 +123,63 @@ def test_each_template_finds_itself(spark):
     assert got == {t: (n, 1.0) for n, t in licences.TEMPLATES}
 
 
+@pytest.mark.parametrize(
+    "text, licence",
+    [
+        ("// SPDX-License-Identifier: MIT\nint main;", "MIT"),
+        ("# SPDX-License-Identifier: Apache-2.0", "Apache-2.0"),
+        ("/*\n * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n */\ncode", "GPL-3.0"),
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "GPL-3.0"),
+        ("Copyright 2020 X\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice,\nthis list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright\nnotice, this list of conditions and the following disclaimer in the\ndocumentation and/or other materials provided with the distribution.\n3. Neither the name of the copyright holder nor the names of its\ncontributors may be used to endorse or promote products derived from\nthis software without specific prior written permission.", "BSD-3-Clause"),
+        ("# Use of this source code is governed by a BSD-style license that can be\n# found in the LICENSE file.", "BSD-3-Clause"),
+        ("a license to speak, as they say, was never granted to the old man in the village", None),
+    ],
+)
+def test_usual_headers_are_found(spark, text, licence):
+    noise = [(k, f"n/{k}", f"This line {k} says that copyright matters for number {k * 7} in some way\nand the license of house {k} is old") for k in range(2, 40)]
+    df = spark.createDataFrame([(1, "x/a.c", text), *noise], "doc_id long, path string, text string")
+    assert {r["licence"] for r in licences.scan(df).where("doc_id = 1").collect()} == {licence}
+
+
+def test_templates_hold_cues_and_long_lines_part_blocks():
+    import re as own
+
+    assert all(own.search(licences.CUE, text) for _, text in licences.KNOWN)
+
+
+def brute_cosines(units, known):
+    """TF-IDF cosines with words and pairs, written out."""
+    import math
+    from collections import Counter
+
+    def tokens(line):
+        words = re.findall(r"[a-z]+|[0-9]+(?:\.[0-9]+)*", line.lower())
+        return Counter(words + [f"{a}_{b}" for a, b in zip(words, words[1:])])
+
+    units = sorted(set(units))
+    df = Counter(t for line in [*units, *(x for _, x in known)] for t in tokens(line))
+    n = len(units) + len(known)
+
+    def vector(line):
+        w = {t: (1 + math.log(c)) * (math.log((1 + n) / (1 + df[t])) + 1) for t, c in tokens(line).items()}
+        norm = math.sqrt(sum(v * v for v in w.values()))
+        return {t: v / norm for t, v in w.items()}
+
+    out = {}
+    for line in units:
+        v = vector(line)
+        best = max(((sum(x * u.get(t, 0) for t, x in v.items()), name) for u, name in ((vector(x), name) for name, x in known)), key=lambda b: (round(b[0], 9), [-ord(c) for c in b[1]]))
+        if best[0] > 0:
+            out[line] = (best[1], round(best[0], 6))
+    return out
+
+
+def test_cosines_against_brute_force(spark):
+    units = ["Licensed under the Apache License", "the MIT license of all", "license license mit", "SPDX license", "public domain work under CC0", "copyright of nobody", "mit", "qqq zzz"]
+    got = {r["line"]: (r["licence"], round(r["cosine"], 6)) for r in licences.line_matches(spark.createDataFrame([(u,) for u in units * 2], "line string"), licences.KNOWN).collect()}
+    assert got == brute_cosines(units, licences.KNOWN)
+
+
 def shape(text):
     return re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", text)))
 
@@ -129,7 +187,7 @@ def shape(text):
 @pytest.mark.parametrize("find", ["und.34@mail7.example.com", "a@b.co", "+1 (017) 555-7713", "4111 1111 1111 1111", "9807915762804490", "123-45-6789", "DE89370400440532013000", "1985-07-14", "03/04/1990", "31.12.1999"])
 def test_pseudonyms_keep_the_format(spark, find):
     texts = [f"see {find}, ok", f"{find}\nagain {find}."]
-    rows = [r["text"] for r in pii.pseudonymised(spark.createDataFrame([(t,) for t in texts], "text string")).collect()]
+    rows = [r["text"] for r in pii.pseudonymised(spark.createDataFrame([(t,) for t in texts], "text string"), "k").collect()]
     new = rows[0][4:-4]
     assert new != find and rows[1] == f"{new}\nagain {new}."
     assert shape(new) == shape(find)
@@ -137,24 +195,73 @@ def test_pseudonyms_keep_the_format(spark, find):
     assert other[4:-4] not in (new, find)
 
 
+@pytest.mark.parametrize(
+    "forms",
+    [
+        ("4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111"),
+        ("+49 (151) 5553 217", "+491515553217", "+49-151-5553-217"),
+        ("(555) 123-4567", "555-123-4567", "555.123.4567"),
+        ("DE89370400440532013000", "DE89 3704 0044 0532 0130 00"),
+        ("1985-07-14", "14.07.1985"),
+        ("Ann.Lee7@x.org", "ann.lee7@x.org"),
+    ],
+)
+def test_values_are_linked_however_they_are_written(spark, forms):
+    got = [r["text"] for r in pii.pseudonymised(spark.createDataFrame([(f"is {f}; yes",) for f in forms], "text string"), "k'|").collect()]
+    values = {re.sub("[^a-z0-9@]", "", g[3:-5].lower()) for g in got}
+    if forms[0] == "1985-07-14":
+        y, m, d = got[0][3:-5].split("-")
+        assert got[1] == f"is {d}.{m}.{y}; yes"
+    else:
+        assert len(values) == 1
+    assert [shape(g) for g in got] == [shape(f"is {f}; yes") for f in forms]
+
+
+def feistel(s, kind, key):
+    """The permutation of strings, written out."""
+    left, right = s[: len(s) // 2], s[len(s) // 2 :]
+    for n in range(1, pii.ROUNDS + 1):
+        h = bytes.fromhex(hashlib.sha256(f"{key}|{kind}|{n}|{right}".encode()).hexdigest())
+        out = ""
+        for i, c in enumerate(left):
+            for low, size in (("0", 10), ("a", 26), ("A", 26)):
+                if ord(low) <= ord(c) < ord(low) + size:
+                    c = chr(ord(low) + (ord(c) - ord(low) + h[i % 32]) % size)
+                    break
+            out += c
+        left, right = right, out
+    return left + right
+
+
+def test_pseudonyms_against_a_plain_feistel_network(spark):
+    secret = "bw8:" + hashlib.sha256(b"some key").hexdigest()
+    names = [f"user{i}x.{i * i}" for i in range(40)]
+    texts = [(f"{n}@a.org",) for n in names] + [("(555) 000-%04d" % i,) for i in range(40)] + [("+44 20 7946 %04d" % i,) for i in range(40)]
+    got = [r["text"] for r in pii.pseudonymised(spark.createDataFrame(texts, "text string"), "some key").collect()]
+    assert got[:40] == [feistel(n, "mail", secret) + "@a.org" for n in names]
+    for i in range(40):
+        assert re.sub("[^0-9]", "", got[40 + i]) == feistel("555000%04d" % i, "phone", secret)
+        assert re.sub("[^0-9]", "", got[80 + i]) == "44" + feistel("207946%04d" % i, "phone", secret)
+
+
 def test_pseudonyms_are_valid_and_distinct(spark):
     numbers = spark.range(3000).select(F.concat(F.lpad((F.col("id") * 104729 + 4000000000).cast("string"), 15, "4")).alias("b"))
     cards = numbers.select(F.expr("concat(b, element_at(filter(sequence(0, 9), k -> luhn_check(concat(b, k))), 1))").alias("text"))
-    got = pii.pseudonymised(cards)
+    got = pii.pseudonymised(cards, "k")
     assert got.where("luhn_check(text) AND n_found = 1").count() == 3000 == got.select("text").distinct().count()
     byte = spark.range(70000).select(F.concat_ws(".", F.lit("10"), F.lit("7"), F.floor(F.col("id") / 256 % 256).cast("string"), (F.col("id") % 256).cast("string")).alias("text")).distinct()
-    assert pii.pseudonymised(byte).select("text").distinct().count() == byte.count()
+    assert pii.pseudonymised(byte, "k").select("text").distinct().count() == byte.count()
     days = spark.range(3000).select(F.date_add(F.lit("1980-01-01").cast("date"), F.col("id").cast("int")).cast("string").alias("text"))
-    assert pii.pseudonymised(days).where("try_to_date(text) IS NOT NULL").select("text").distinct().count() == 3000
+    assert pii.pseudonymised(days, "k").where("try_to_date(text) IS NOT NULL").select("text").distinct().count() == 3000
     assert spark.range(10000).selectExpr(f"{pii.permuted('format_string(' + chr(39) + '%04d' + chr(39) + ', id)', 't', 'k')} p").distinct().count() == 10000
 
 
 def test_pseudonyms_leave_the_rest(spark):
     rows = [("version 2.0 of 1984",), ("",), (None,), ("bad 2024-99-99 and 300.1.2.3",)]
-    got = pii.pseudonymised(spark.createDataFrame(rows, "text string").withColumn("m", F.lit(1)))
+    got = pii.pseudonymised(spark.createDataFrame(rows, "text string").withColumn("m", F.lit(1)), "k")
     assert [(r["text"],) for r in got.collect()] == rows and got.columns == ["text", "m", "n_found"]
     assert not re.search("Python|Arrow|Pandas", got._jdf.queryExecution().executedPlan().toString())
-    assert pii.pseudonymised(got.select("text").limit(0)).count() == 0
+    assert pii.pseudonymised(got.select("text").limit(0), "k").count() == 0
 
 
 def test_pipeline(spark):
@@ -164,7 +271,7 @@ def test_pipeline(spark):
     given = docs.union(odd)
     counts = []
     for name, stage in corpus_pipeline.STAGES:
-        given = corpus_pipeline.stored(stage(spark, given, SF))
+        given = common.stored(stage(spark, given, SF))
         counts.append(given.count())
         if name != "bpe":
             assert tuple(given.columns) == corpus_pipeline.COLUMNS
