@@ -12,18 +12,19 @@ from pyspark.sql import functions as F
 UNITS = {
     "s": ("s", "sec", "second", "seconds"),
     "m": ("m", "min", "minute", "minutes"),
-    "h": ("h", "hour", "hours"),
+    "h": ("h", "hr", "hour", "hours"),
     "d": ("d", "day", "days"),
-    "w": ("w", "week", "weeks"),
+    "w": ("w", "wk", "week", "weeks"),
     "mo": ("mo", "month", "months"),
-    "y": ("y", "year", "years"),
+    "y": ("y", "yr", "year", "years"),
 }
 NAMES = {name: unit for unit, names in UNITS.items() for name in names}
 UNIT_MS = {"s": 1_000, "m": 60_000, "h": 3_600_000, "d": 86_400_000, "w": 604_800_000}
 PRINTED = {"s": "s", "m": "min", "h": "h", "d": "d", "w": "w", "mo": "mo", "y": "y"}
 #: 1970-01-05, the first Monday.
 MONDAY = 345_600_000
-FORM = r"^\s*(\d+)\s*([A-Za-z]+)\s*$"
+#: White space may stand around an interval, not inside; the number is one of 32 bits without a sign.
+FORM, MOST = r"^\s*(\d+)([A-Za-z]+)\s*$", (1 << 32) - 1
 
 
 @dataclass(frozen=True)
@@ -35,7 +36,7 @@ class Interval:
     def parse(cls, text: str) -> Interval:
         found = re.match(FORM, text)
         unit = NAMES.get(found[2].lower()) if found else None
-        if unit is None or int(found[1]) < 1:
+        if unit is None or not 1 <= int(found[1]) <= MOST:
             raise ValueError(f"not an interval: {text!r}")
         return cls(int(found[1]), unit)
 
@@ -77,7 +78,7 @@ def parsed(text: Column) -> tuple[Column, Column]:
     for code, names in UNITS.items():
         unit = F.when(name.isin(*names), code).otherwise(unit)
     n = F.when(number != "", number.try_cast("long"))
-    good = unit.isNotNull() & (n >= 1)
+    good = unit.isNotNull() & n.between(1, MOST)
     return F.when(good, n), F.when(good, unit)
 
 

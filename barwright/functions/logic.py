@@ -1,4 +1,4 @@
-"""Signals over nullable columns: any null operand gives null."""
+"""Signals over nullable columns: any operand that is null or no number gives null."""
 
 from __future__ import annotations
 
@@ -13,11 +13,11 @@ def _strict(value: Column, *operands: Column) -> Column:
 
 
 def gt(left: Column, right: Column) -> Column:
-    return left > right
+    return nan_to_null(left) > nan_to_null(right)
 
 
 def lt(left: Column, right: Column) -> Column:
-    return left < right
+    return nan_to_null(left) < nan_to_null(right)
 
 
 def and_(left: Column, right: Column) -> Column:
@@ -30,11 +30,13 @@ def or_(left: Column, right: Column) -> Column:
 
 def crossover(fast: Column, slow: Column, w: WindowSpec) -> Column:
     """True where fast rises above slow: at or under it on the bar before, above it now. The first row is null."""
+    fast, slow = nan_to_null(fast), nan_to_null(slow)
     was_fast, was_slow = F.lag(fast).over(w), F.lag(slow).over(w)
     return _strict((was_fast <= was_slow) & (fast > slow), was_fast, was_slow, fast, slow)
 
 
 def crossunder(fast: Column, slow: Column, w: WindowSpec) -> Column:
+    fast, slow = nan_to_null(fast), nan_to_null(slow)
     was_fast, was_slow = F.lag(fast).over(w), F.lag(slow).over(w)
     return _strict((was_fast >= was_slow) & (fast < slow), was_fast, was_slow, fast, slow)
 

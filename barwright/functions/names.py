@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from barwright.functions.interval import parsed
+
 # Markets, the exchange's product class of each, and the interval codes it takes.
 EXCHANGES = ("bybit",)
 CLASSES = {"spot": "spot", "perpetual_linear": "linear", "futures_linear": "linear", "perpetual_inverse": "inverse", "futures_inverse": "inverse", "option": "option"}
-CODES = {"1min": "1", "3min": "3", "5min": "5", "15min": "15", "30min": "30", "1h": "60", "2h": "120", "4h": "240", "6h": "360", "12h": "720", "1d": "D", "1w": "W", "1mo": "M"}
+MINUTES, HOURS, LONGER = (1, 3, 5, 15, 30), (1, 2, 4, 6, 12), {"d": "D", "w": "W", "mo": "M"}
 
 
 def exchange(text: Column) -> Column:
@@ -31,5 +33,7 @@ def product_class(text: Column) -> Column:
 
 
 def interval_code(text: Column) -> Column:
-    """Null for an interval the exchange doesn't offer."""
-    return _mapped(text, CODES)
+    """Null for an interval that the exchange doesn't offer; any number of days, weeks or months has the code of one."""
+    n, unit = parsed(text)
+    minutes = F.when((unit == "m") & n.isin(*MINUTES), n).when((unit == "h") & n.isin(*HOURS), n * 60)
+    return F.coalesce(minutes.cast("string"), _mapped(unit, LONGER))

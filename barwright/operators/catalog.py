@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from barwright.sources.candles import KEYS, PRICES
 
-SCHEMA = "exchange string, category string, symbol string, interval string, from long, to long, record_count long"
+SCHEMA = "exchange string, category string, symbol string, interval string, from long, to long, record_count long, approx_size_bytes long, last_updated timestamp, version int, generated_at timestamp"
+#: Fixed value: the version of a saved snapshot.
+VERSION = 1
 
 
 def time_bounds(candles: DataFrame) -> DataFrame:
@@ -19,12 +21,15 @@ def last_timestamp(candles: DataFrame) -> DataFrame:
 
 
 def snapshot(candles: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
-    """Coverage of every series that has rows; bytes are joined on where sizes are given."""
+    """Coverage of every series that has rows; bytes and the time of the last write are joined on where sizes (dataset_bytes) are given."""
     out = candles.groupBy(*KEYS).agg(F.min("timestamp").alias("from"), F.max("timestamp").alias("to"), F.count("*").alias("record_count"))
     return out if sizes is None else out.join(sizes, KEYS, "left")
 
 
 def save(catalog: DataFrame, path: str) -> None:
+    """Each row carries the snapshot's version and the time it was made."""
+    missing = {c: F.lit(None).cast(t) for c, t in (("approx_size_bytes", "long"), ("last_updated", "timestamp")) if c not in catalog.columns}
+    catalog = catalog.withColumns({**missing, "version": F.lit(VERSION), "generated_at": F.current_timestamp()})
     catalog.write.mode("overwrite").json(path)
 
 
@@ -39,7 +44,9 @@ def load(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def totals(catalog: DataFrame) -> DataFrame:
-    return catalog.agg(F.count("*").alias("datasets"), F.coalesce(F.sum("record_count"), F.lit(0)).alias("candles"), F.max("to").alias("latest"))
+    """Series, candles and the latest time; bytes too where the catalog has them."""
+    own = [F.coalesce(F.sum("approx_size_bytes"), F.lit(0)).alias("bytes")] if "approx_size_bytes" in catalog.columns else []
+    return catalog.agg(F.count("*").alias("datasets"), F.coalesce(F.sum("record_count"), F.lit(0)).alias("candles"), F.max("to").alias("latest"), *own)
 
 
 def search(catalog: DataFrame, term: str) -> DataFrame:
@@ -52,9 +59,10 @@ def search(catalog: DataFrame, term: str) -> DataFrame:
 
 def lookup(requests: DataFrame, catalog: DataFrame, candles: DataFrame) -> DataFrame:
     """Bounds of the requested series from the catalog, else from the candles."""
-    scanned = time_bounds(candles).withColumnsRenamed({"from": "_from", "to": "_to"})
-    found = requests.join(catalog.select(*KEYS, "from", "to"), KEYS, "left").join(scanned, KEYS, "left")
-    return found.withColumns({"from": F.coalesce("from", "_from"), "to": F.coalesce("to", "_to")}).drop("_from", "_to")
+    known = catalog.select(*KEYS, "from", "to")
+    left = requests.select(*KEYS).distinct().join(known, KEYS, "left_anti")
+    scanned = time_bounds(candles.join(left, KEYS, "left_semi"))  # only the series that the catalog hasn't
+    return requests.join(known.unionByName(scanned), KEYS, "left")
 
 
 def market_symbols(catalog: DataFrame, exchange: str, category: str) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barwright.functions.interval import Interval
 from barwright.operators.resample import resample
-from barwright.sources.candles import KEYS
+from barwright.sources.candles import KEYS, PRICES, scan
 
 # Bars without a limit, and bars by which a derived window is longer.
 DEFAULT_LIMIT, BUFFER = 1000, 50
@@ -38,16 +38,32 @@ def last_n(df: DataFrame, n: int | str, keys: list[str] = KEYS, order: str = "ti
     return df.withColumn("_back", F.row_number().over(back)).where(most.isNull() | (F.col("_back") <= most)).drop("_back")
 
 
-def load(candles: DataFrame, requests: DataFrame, interval: str = "1min") -> DataFrame:
-    """Bars of every request (keys, start, end, limit): bounds looked up, windows resolved, then range, resampling and limit, in that order."""
-    bounds = candles.groupBy(*KEYS).agg(F.min("timestamp").alias("from"), F.max("timestamp").alias("to"))
-    windows = resolve(requests.join(bounds, KEYS, "left"), interval).where("error IS NULL").select(*KEYS, "start_ms", "end_ms", "row_limit")
-    ranged = candles.join(windows, KEYS).where("timestamp BETWEEN start_ms AND end_ms")
-    bars = ranged.select(*candles.columns)
+def load(candles: DataFrame, requests: DataFrame, interval: str = "1min", request: str | None = None, bounds: DataFrame | None = None) -> DataFrame:
+    """Bars of every request (keys, start, end, limit): windows resolved by the series' bounds, then range, resampling and limit, in that order.
+
+    Every request is answered on its own. `request` names a column of the requests that the bars carry, so that
+    several for one series can be told apart; rows that are equal in it, the series and the window are one request.
+    Bounds (keys, from, to) are made of the candles if the catalog's aren't given.
+    """
+    if bounds is None:
+        bounds = candles.groupBy(*KEYS).agg(F.min("timestamp").alias("from"), F.max("timestamp").alias("to"))
+    own = [] if request is None else [request]
+    windows = resolve(requests.join(bounds.select(*KEYS, "from", "to"), KEYS, "left"), interval).where("error IS NULL").select(*own, *KEYS, "start_ms", "end_ms", "row_limit").distinct()
+    each = (*own, "start_ms", "end_ms", "row_limit")
+    bars = candles.join(windows, KEYS).where("timestamp BETWEEN start_ms AND end_ms").select(*each, *candles.columns)
     if Interval.parse(interval) != Interval(1, "m"):
-        bars = resample(bars, interval)
-    limits = windows.select("exchange", "category", "symbol", "row_limit")
-    return last_n(bars.join(limits, ["exchange", "category", "symbol"]), "row_limit").drop("row_limit")
+        bars = resample(bars, interval, also=each)
+        bars = bars.select(*each, *KEYS, "timestamp", *PRICES)
+    return last_n(bars, "row_limit", [*each, *KEYS]).drop("start_ms", "end_ms", "row_limit")
+
+
+def load_stored(spark: SparkSession, path: str, requests: DataFrame, bounds: DataFrame, interval: str = "1min", request: str | None = None) -> DataFrame:
+    """load() of a store whose catalog has the bounds: only days between the first and the last that a request asks for are read."""
+    windows = resolve(requests.join(bounds.select(*KEYS, "from", "to"), KEYS, "left"), interval).where("error IS NULL")
+    low, high = windows.agg(F.min("start_ms"), F.max("end_ms")).first()  # one row
+    if low is None:
+        low, high = 1, 0  # no request is good
+    return load(scan(spark, path, None, low, high) if low <= high else scan(spark, path).limit(0), requests, interval, request, bounds)
 
 
 def page(bars: DataFrame, before: int | None, count: int, warmup: int = 0) -> DataFrame:

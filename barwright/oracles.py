@@ -83,23 +83,27 @@ GAPPY = f"""SELECT * REPLACE (CASE WHEN "timestamp" // 3600000 % 5 <> 0 THEN clo
 RUNS = """SELECT event_id AS run_id, CASE WHEN user_id % 2 = 0 THEN 'ingest_candles' ELSE 'refresh_catalog' END AS kind, 'x' AS exchange, 'm' || (user_id % 50) AS category,
     event_type AS symbol, ['pending', 'running', 'completed', 'failed'][event_id % 4 + 1] AS status, (epoch_us(ts) // 1000) AS created_at FROM events"""
 LINES = f"""SELECT symbol, "timestamp" // 1000 AS time, close + 1 AS value FROM ({HOURS}) WHERE "timestamp" // 3600000 % 3 = 0"""
-UNITS = "['s', 'M', 'min', 'Hours', 'd', 'week', 'mo', 'YEARS', 'parsec', '']"
-PRINTED = "['s', 'min', 'min', 'h', 'd', 'w', 'mo', 'y']"
+UNITS = "['s', 'M', 'min', 'Hours', 'd', 'week', 'mo', 'YEARS', 'parsec', '', 'hr', 'WK', 'yr', ' Hours', 'min ']"
+PRINTED = "['s', 'min', 'min', 'h', 'd', 'w', 'mo', 'y', NULL, NULL, 'h', 'w', 'y', NULL, 'min']"
+TEXTS = f"(SELECT *, p IS NOT NULL AND n >= 1 AS good FROM (SELECT event_id, (event_id % 100) || {UNITS}[user_id % 15 + 1] AS text, event_id % 100 AS n, {PRINTED}[user_id % 15 + 1] AS p FROM events))"
 FAULTS = """SELECT event_id AS id, * FROM (
-    SELECT event_id, event_id % 10 AS k, user_id % 30 AS u FROM events)"""
-K = f"(SELECT id, k, u FROM ({FAULTS}))"
+    SELECT event_id, event_id % 10 AS k, user_id % 30 AS u, user_id % 60 AS v, user_id % 7 = 0 AS hidden FROM events)"""
+K = f"(SELECT id, k, u, v, hidden FROM ({FAULTS}))"
 
 
 def fault(name: str, detail: str, where: str) -> str:
     return f"SELECT id, '{name}' AS fault, '{detail}' AS detail FROM {K} WHERE {where}"
 
 
+RANGE = candles(f"SELECT * FROM ({TICKS}) WHERE ms - ms % 60000 BETWEEN {START} AND {END}", every(3_600_000), "1h")
+LATEST = last(candles(f"SELECT t.* FROM ({TICKS}) t JOIN (SELECT symbol, max(ms - ms % 60000) AS top FROM ({TICKS}) GROUP BY symbol) USING (symbol) WHERE ms - ms % 60000 >= top - 74 * 3600000", every(3_600_000), "1h"), 24)
+
 ORACLES: dict[str, str] = {
     "candles_all": bars(MINUTES),
     "candles_range": bars(last(f"""SELECT * FROM ({MINUTES}) WHERE symbol = 'click' AND "timestamp" BETWEEN {START} AND {END}""", 500)),
     "write_roundtrip": bars(MINUTES),
     "candles_resampled": bars(last(candles(f"SELECT * FROM ({TICKS}) WHERE ms - ms % 60000 BETWEEN {START} AND {END}", every(14_400_000), "4h"), 10)),
-    "candles_latest": bars(last(candles(f"SELECT t.* FROM ({TICKS}) t JOIN (SELECT symbol, max(ms - ms % 60000) AS top FROM ({TICKS}) GROUP BY symbol) USING (symbol) WHERE ms - ms % 60000 >= top - 74 * 3600000", every(3_600_000), "1h"), 24)),
+    "candles_latest": bars(LATEST),
     "incremental_upsert": bars(f"""WITH m AS ({MINUTES}), top AS (SELECT symbol, max("timestamp") AS t FROM m WHERE "timestamp" <= {END} GROUP BY symbol)
         SELECT m.* REPLACE (CASE WHEN "timestamp" >= coalesce(t, 0) AND "timestamp" >= {START} THEN close + 1 ELSE close END AS close) FROM m LEFT JOIN top USING (symbol)"""),
     "kline_decode": f"""SELECT symbol, 'spot' AS product_class, "timestamp", round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(volume, 6) AS volume
@@ -149,8 +153,16 @@ ORACLES: dict[str, str] = {
     "valued_points": f'SELECT symbol, "timestamp", round(close, 6) AS close FROM ({GAPPY}) WHERE close IS NOT NULL',
     "align_line": f"""SELECT h.symbol, h."timestamp" // 1000 AS time, round(l.value, 6) AS value FROM ({HOURS}) h LEFT JOIN ({LINES}) l ON l.symbol = h.symbol AND l.time = h."timestamp" // 1000""",
     "volume_bars": f'SELECT symbol, "timestamp" // 1000 AS time, volume, close >= open AS is_up FROM ({HOURS})',
-    "interval_parse": f"""SELECT event_id, text, CASE WHEN good THEN n END AS n, CASE WHEN good THEN n || {PRINTED}[u + 1] END AS printed
-        FROM (SELECT event_id, (event_id % 100) || {UNITS}[user_id % 10 + 1] AS text, event_id % 100 AS n, user_id % 10 AS u, user_id % 10 < 8 AND event_id % 100 >= 1 AS good FROM events)""",
+    "interval_parse": f"SELECT event_id, text, CASE WHEN good THEN n END AS n, CASE WHEN good THEN n || p END AS printed FROM {TEXTS}",
+    "interval_code": f"""SELECT event_id, text, CASE WHEN NOT good THEN NULL WHEN p = 'min' AND n IN (1, 3, 5, 15, 30) THEN CAST(n AS VARCHAR) WHEN p = 'h' AND n IN (1, 2, 4, 6, 12) THEN CAST(n * 60 AS VARCHAR)
+        WHEN p = 'd' THEN 'D' WHEN p = 'w' THEN 'W' WHEN p = 'mo' THEN 'M' END AS code FROM {TEXTS}""",
+    "load_many_requests": " UNION ALL ".join(f"SELECT {k} AS request, {OUT} FROM ({sql})" for k, sql in enumerate([RANGE, RANGE, LATEST, last(candles(f"SELECT * FROM ({TICKS}) WHERE ms - ms % 60000 BETWEEN {START} AND {START + 60 * 3_600_000}", every(3_600_000), "1h"), 10)])),
+    "sma_nan": f"""WITH g AS (SELECT symbol, "timestamp", CASE WHEN "timestamp" // 3600000 % 5 <> 0 THEN close END AS close FROM ({HOURS})), m AS (SELECT *, round({mean(3)}, 6) AS sma FROM g)
+        SELECT symbol, "timestamp", sma, round(close, 6) > sma AS signal FROM m""",
+    "stream_upsert_two_batches": bars(MINUTES),
+    "catalog_bytes": f'SELECT exchange, category, symbol, "interval", record_count, TRUE AS has_bytes, TRUE AS written_before, CAST(1 AS BIGINT) AS version FROM ({CATALOG})',
+    "study_two_sources": f'SELECT symbol, "timestamp", round(close, 6) AS close, round({mean(3)}, 6) AS mean, close > {mean(3)} AS above FROM ({HOURS})',
+    "study_derived_outputs": "SELECT event_id AS id, 'c.close,f.value,s.value,x' || (user_id % 3) || '.signal' AS outputs FROM events",
     "resolve_window": f"""WITH b AS (SELECT symbol, min("timestamp") AS a, max("timestamp") AS z FROM ({MINUTES}) GROUP BY symbol),
         r AS (SELECT event_id, event_type AS symbol, CASE WHEN event_id % 8 >= 4 THEN (epoch_us(ts) // 1000) END AS s, CASE WHEN event_id % 8 IN (2, 3, 6, 7) THEN (epoch_us(ts) // 1000) + (user_id % 5 - 1) * 86400000 END AS e, CASE WHEN event_id % 2 = 1 THEN event_id % 600 + 1 END AS n FROM events),
         m AS (SELECT *, CASE WHEN n IS NOT NULL THEN n WHEN s IS NULL OR e IS NULL THEN 1000 END AS most FROM r JOIN b USING (symbol)),
@@ -184,5 +196,5 @@ ORACLES: dict[str, str] = {
         fault("unwired_input", "x.slow", "k IN (8, 9)"),
         fault("unknown_port", "x.medium", "k = 9"),
     ]),
-    "study_warmup": f"SELECT id, CAST(greatest(20, 50) AS BIGINT) AS warmup_bars FROM {K}",
+    "study_warmup": f"SELECT id, CAST(CASE WHEN hidden AND k = 1 THEN 0 ELSE greatest(20, CASE WHEN NOT hidden THEN v + 1 ELSE 0 END, CASE k WHEN 1 THEN 0 WHEN 2 THEN u - 30 ELSE u + 1 END) END AS BIGINT) AS warmup_bars FROM {K}",
 }

@@ -5,13 +5,9 @@ Studies have id, nodes (array of id, kind, params as map of strings) and edges (
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwright.sources.candles import scratch
-
 
 def _port(text: str, side: str) -> list:
     good = F.col(text).rlike(r"^[^.]+\.[^.]+$")
@@ -19,22 +15,10 @@ def _port(text: str, side: str) -> list:
 
 
 def cyclic(edges: DataFrame) -> DataFrame:
-    """Ids of graphs with a cycle, of edges (id, a, b): nodes without incoming edges are peeled off until none is left to peel."""
-    spark = edges.sparkSession
-
-    def kept(df: DataFrame) -> DataFrame:
-        path = f"{scratch(spark)}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    left = kept(edges.select("id", "a", "b").distinct())
-    n = left.count()
-    while n:
-        left = kept(left.join(left.select("id", F.col("b").alias("a")).distinct(), ["id", "a"], "left_semi"))
-        n, before = left.count(), n
-        if n == before:
-            break
-    return left.select("id").distinct()
+    """Ids of graphs with a cycle, of edges (id, a, b): edges that begin where none ends are peeled off, as often as there are edges."""
+    own = edges.groupBy("id").agg(F.collect_set(F.struct("a", "b")).alias("e"))  # a graph's own edges
+    left = F.expr("aggregate(sequence(1, size(e)), e, (held, k) -> filter(held, x -> exists(held, y -> y.b = x.a)))")
+    return own.where(F.size(left) > 0).select("id")
 
 
 def audit(studies: DataFrame, kinds: DataFrame) -> DataFrame:

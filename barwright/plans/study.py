@@ -205,9 +205,11 @@ def run_study(study: Study, source: Source, outputs: list[str]) -> DataFrame:
     if not frames:
         raise StudyError("the outputs depend on no data source")
     df = source(frames[0].params)
-    for other in frames[1:]:  # a second source meets the first on its times
+    for other in frames[1:]:
+        # a source that names one market meets every series on its times, others meet the same market's
+        on = ["timestamp"] if all(other.params.get(k) is not None for k in KEYS[:3]) else [*KEYS[:3], "timestamp"]
         names = {p: f"{other.id}.{p}" for p in SERIES}
-        df = df.join(source(other.params).select(F.col("timestamp"), *(F.col(p).alias(c) for p, c in names.items())), "timestamp")
+        df = df.join(source(other.params).select(*on, *(F.col(p).alias(c) for p, c in names.items())), on)
     for n in order:
         if n.id in needed and n not in frames[1:]:
             kind = KINDS[n.kind]
@@ -237,6 +239,13 @@ def align_sources(left: DataFrame, right: DataFrame, by: str = "timestamp") -> D
     return at(left, "left_close").join(at(right, "right_close"), "_at").drop("_at")
 
 
+def derived_outputs(panes: DataFrame) -> DataFrame:
+    """(id, outputs): of panes (id, layers with a map of ports), the ports of all layers, once each and sorted."""
+    layer = panes.select("id", F.explode_outer("layers").alias("layer"))
+    ports = layer.select("id", F.explode_outer(F.map_values("layer.ports")).alias("port"))
+    return ports.groupBy("id").agg(F.sort_array(F.collect_set("port")).alias("outputs"))  # a study's own ports
+
+
 def warmup_bars(studies: DataFrame, kinds: DataFrame) -> DataFrame:
     """Bars that each study needs before its first shown one: the most of its indicators' period or default; nodes may be hidden."""
     node = studies.select("id", F.explode("nodes").alias("node")).where(F.coalesce(F.col("node.params")["visible"], F.lit("true")) != "false")

@@ -94,6 +94,17 @@ def candles_latest(spark, sf_dir):
     return bars_out(windows.load(held, held.select(*KEYS).distinct().withColumns(wanted), "1h"))
 
 
+@query
+def load_many_requests(spark, sf_dir):
+    """Four requests for every stored series: a range, the same again, the latest bars, and bars from a start on."""
+    path = stored(spark, minutes(spark, sf_dir))
+    bounds = catalog.time_bounds(cs.scan(spark, path))
+    kinds = F.array(*(F.struct(F.lit(k).alias("request"), *(F.lit(v).cast("long").alias(c) for c, v in zip(("start", "end", "limit"), w))) for k, w in enumerate([(START, END, None), (START, END, None), (None, None, 24), (START, None, 10)])))
+    requests = bounds.select(*KEYS, F.inline(kinds))
+    got = windows.load_stored(spark, path, requests, bounds, "1h", "request")
+    return rounded(got.select("request", *KEYS, "timestamp", *PRICES), *PRICES)
+
+
 @query
 def incremental_upsert(spark, sf_dir):
     """Half of a month is stored; then what came after a middle day is upserted, with closes raised by one."""
@@ -185,6 +196,15 @@ def catalog_snapshot(spark, sf_dir):
     return catalog_out(both_markets(spark, sf_dir))
 
 
+@query
+def catalog_bytes(spark, sf_dir):
+    """The catalog of a store, saved and loaded, with bytes and the time of the last write."""
+    path, at = stored(spark, minutes(spark, sf_dir).union(order_bars(spark, sf_dir))), cs.scratch(spark)
+    catalog.save(catalog.snapshot(cs.scan(spark, path), cs.dataset_bytes(spark, path)), at)
+    held = catalog.load(spark, at)
+    return held.select(*KEYS, "record_count", (F.col("approx_size_bytes") > 0).alias("has_bytes"), (F.col("last_updated") <= F.col("generated_at")).alias("written_before"), F.col("version").cast("long").alias("version"))
+
+
 @query
 def catalog_totals(spark, sf_dir):
     return catalog.totals(both_markets(spark, sf_dir))
@@ -264,6 +284,14 @@ def sma_20(spark, sf_dir):
     return indicated(hours(spark, sf_dir).withColumn("sma", indicators.sma(F.col("close"), 20)), "sma")
 
 
+@query
+def sma_nan(spark, sf_dir):
+    """A mean and a comparison over closes of which every fifth hour's is no number."""
+    gap = F.when(F.floor(F.col("timestamp") / 3_600_000) % 5 == 0, F.lit(float("nan"))).otherwise(F.col("close"))
+    held = hours(spark, sf_dir).withColumn("close", gap).withColumn("sma", indicators.sma(F.col("close"), 3))
+    return rounded(held.select("symbol", "timestamp", "sma", logic.gt(F.round("close", 6), F.round("sma", 6)).alias("signal")), "sma")
+
+
 @query
 def ema_20(spark, sf_dir):
     return indicated(indicators.ema(hours(spark, sf_dir), "close", 20, "ema"), "ema")
@@ -347,16 +375,25 @@ def volume_bars(spark, sf_dir):
 # scalar functions over rows
 
 
+def interval_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = F.array(*map(F.lit, ("s", "M", "min", "Hours", "d", "week", "mo", "YEARS", "parsec", "", "hr", "WK", "yr", " Hours", "min ")))
+    text = F.concat((F.col("event_id") % 100).cast("string"), F.get(units, (F.col("user_id") % 15).cast("int")))
+    return events(spark, sf_dir).select("event_id", text.alias("text"))
+
+
 @query
 def interval_parse(spark, sf_dir):
     """Interval texts made of events: the id's last two digits and a unit by the user's id."""
-    units = F.array(*map(F.lit, ("s", "M", "min", "Hours", "d", "week", "mo", "YEARS", "parsec", "")))
-    text = F.concat((F.col("event_id") % 100).cast("string"), F.get(units, (F.col("user_id") % 10).cast("int")))
-    rows = events(spark, sf_dir).select("event_id", text.alias("text"))
+    rows = interval_texts(spark, sf_dir)
     n, unit = iv.parsed(F.col("text"))
     return rows.select("event_id", "text", n.alias("n"), iv.printed(n, unit).alias("printed"))
 
 
+@query
+def interval_code(spark, sf_dir):
+    return interval_texts(spark, sf_dir).select("event_id", "text", names.interval_code(F.col("text")).alias("code"))
+
+
 @query
 def resolve_window(spark, sf_dir):
     """A request for each event, of which start, end or limit may be missing, within the bounds of its symbol."""
@@ -419,13 +456,24 @@ def stream_upsert(spark, sf_dir):
     return bars_out(cs.scan(spark, store))
 
 
+@query
+def stream_upsert_two_batches(spark, sf_dir):
+    """Ticks landed in two files, which split most minutes, and read as two micro-batches."""
+    landed, store = cs.scratch(spark), stored(spark, minutes(spark, sf_dir).where(F.col("timestamp") < START).withColumn("close", F.lit(0.0)))
+    for half in (0, 1):
+        events(spark, sf_dir).where(F.col("event_id") % 2 == half).coalesce(1).write.mode("append").parquet(landed)
+    ticks = spark.readStream.schema(events(spark, sf_dir).schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    streams.upsert_stream(ticks, store, cs.scratch(spark), "event_type", "ts", "value", "event_id").awaitTermination()
+    return bars_out(cs.scan(spark, store))
+
+
 # studies
 
 
 def example(name: str, fast: int = 20, slow: int = 50) -> study.Study:
-    """Studies on hourly bars of all series: golden_cross, rsi_reclaim, sma_overlay."""
+    """Studies on all hourly bars of all series: golden_cross, rsi_reclaim, sma_overlay."""
     n = study.Node
-    data = n("candles", study.SOURCE, {"interval": "1h", "limit": 100_000})
+    data = n("candles", study.SOURCE, {"interval": "1h", "start_ms": 0, "end_ms": 1 << 50})
     sma = lambda i, p: n(i, "indicator.sma", {"period": p})
     close = "candles.close"
     if name == "golden_cross":
@@ -473,16 +521,37 @@ def study_outputs_long(spark, sf_dir):
     return rounded(long.select("symbol", "timestamp", "port", "value", "bars"), "value")
 
 
+@query
+def study_two_sources(spark, sf_dir):
+    """Every market's closes against the mean of its own second source."""
+    n = study.Node
+    data = [n(i, study.SOURCE, {"interval": "1h", "start_ms": 0, "end_ms": 1 << 50}) for i in ("candles", "other")]
+    two = study.Study("two", (*data, n("mean", "indicator.sma", {"period": 3}), n("above", "logic.gt")), (("other.close", "mean.input"), ("candles.close", "above.left"), ("mean.value", "above.right")))
+    got = study.run_study(two, study.warehouse_source(minutes(spark, sf_dir)), ["candles.close", "mean.value", "above.signal"])
+    return rounded(_named(got, close="candles.close", mean="mean.value", above="above.signal"), "close", "mean")
+
+
+@query
+def study_derived_outputs(spark, sf_dir):
+    """The ports that a study's panes show: two panes of two layers for each event."""
+    layer = lambda **ports: F.struct(F.create_map(*(x for k, v in ports.items() for x in (F.lit(k), v))).alias("ports"))
+    signal = F.concat(F.lit("x"), (F.col("user_id") % 3).cast("string"), F.lit(".signal"))
+    panes = [F.array(layer(close=F.lit("c.close"), line=F.lit("s.value")), layer(line=F.lit("f.value"))), F.array(layer(marker=signal), layer(line=F.lit("s.value"), close=F.lit("c.close")))]
+    rows = events(spark, sf_dir).select(F.col("event_id").alias("id"), F.explode(F.array(*panes)).alias("layers"))
+    return study.derived_outputs(rows).select("id", F.array_join("outputs", ",").alias("outputs"))
+
+
 def specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A study for each event: candles, two averages and a signal, in which the id's last digit plants a fault."""
     e, k = F.col("event_id"), F.col("event_id") % 10
     text = F.lit
-    node = lambda i, kind, period=None: F.struct(i.alias("id"), kind.alias("kind"), (F.create_map(text("period"), period.cast("string")) if period is not None else F.create_map().cast("map<string,string>")).alias("params"))
+    params = lambda period, shown: F.create_map(text("period"), period.cast("string"), text("visible"), shown.cast("string"))
+    node = lambda i, kind, period=None, shown=F.lit(True): F.struct(i.alias("id"), kind.alias("kind"), (params(period, shown) if period is not None else F.create_map().cast("map<string,string>")).alias("params"))
     edge = lambda a, b: F.struct(a.alias("from"), b.alias("to"))
     nodes = F.array(
         node(text("c"), text("datasource.candles")),
         node(text("f"), F.when(k == 1, "nope.thing").otherwise("indicator.sma"), F.col("user_id") % 30 + F.when(k == 2, -30).otherwise(1)),
-        node(F.when(k == 3, "f").otherwise("s"), text("indicator.sma"), F.lit(50)),
+        node(F.when(k == 3, "f").otherwise("s"), text("indicator.sma"), F.col("user_id") % 60 + 1, F.col("user_id") % 7 != 0),
         node(text("x"), text("logic.crossover")),
     )
     edges = F.array(

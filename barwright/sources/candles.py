@@ -16,8 +16,8 @@ DAY_MS = 86_400_000
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under the shared one that the session names; a local one only where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/barwright"
+    """A new folder under the shared one that the session names for checkpoints, else in its warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/warehouse-{uuid.uuid4().hex}"
 
 
@@ -25,14 +25,14 @@ def day_of(ts: Column) -> Column:
     return F.to_date(F.timestamp_millis(ts))
 
 
-def candles_from_ticks(ticks: DataFrame, symbol: str, time: str, price: str, tie: str) -> DataFrame:
+def candles_from_ticks(ticks: DataFrame, symbol: str, time: str, price: str, tie: str, exchange: str = "x", category: str = "spot") -> DataFrame:
     """1-minute candles of ticks; equal times are ordered by tie, volume counts ticks."""
     ms = F.unix_millis(F.col(time).cast("timestamp"))
     order = F.struct(time, tie)
     return (
         ticks.groupBy(F.col(symbol).alias("symbol"), (ms - F.pmod(ms, F.lit(60_000))).alias("timestamp"))
         .agg(F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, order).alias("close"), F.count("*").cast("double").alias("volume"))
-        .select(F.lit("x").alias("exchange"), F.lit("spot").alias("category"), "symbol", F.lit("1min").alias("interval"), "timestamp", *PRICES)
+        .select(F.lit(exchange).alias("exchange"), F.lit(category).alias("category"), "symbol", F.lit("1min").alias("interval"), "timestamp", *PRICES)
     )
 
 
@@ -75,22 +75,25 @@ def scan(spark: SparkSession, path: str, keys: dict[str, str] | None = None, sta
 
 
 def dataset_bytes(spark: SparkSession, path: str) -> DataFrame:
-    """Bytes of data files of each series."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path", "length")
+    """Bytes of data files of each series, and when one was last written."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path).select("path", "length", "modificationTime")
     keys = [F.regexp_extract("path", f"/{k}=([^/]*)/", 1).alias(k) for k in KEYS]
-    return files.select(*keys, "length").groupBy(*KEYS).agg(F.sum("length").alias("approx_size_bytes"))
+    return files.select(*keys, "length", "modificationTime").groupBy(*KEYS).agg(F.sum("length").alias("approx_size_bytes"), F.max("modificationTime").alias("last_updated"))
 
 
 def upsert(spark: SparkSession, path: str, fresh: DataFrame) -> None:
     """Adds candles to the store: of rows with the same series and time the fresh one stays, all other rows are kept.
 
-    Only the days that fresh rows touch are read and written again; they are staged first, as a path can't
-    be read and overwritten in one plan.
+    Only days between the first and the last that fresh rows touch are read, and only touched ones written again; they
+    are staged first, as a path can't be read and overwritten in one plan.
     """
     staged = scratch(spark)
     fresh = fresh.select(*KEYS, "timestamp", *PRICES).withColumn("day", day_of(F.col("timestamp")))
     days = fresh.select(*KEYS, "day").distinct()
-    held = spark.read.schema(f"{SCHEMA}, day date").parquet(path).join(days, [*KEYS, "day"], "left_semi")
+    low, high = fresh.agg(F.min("day"), F.max("day")).first()  # one row
+    if low is None:
+        return
+    held = spark.read.schema(f"{SCHEMA}, day date").parquet(path).where(F.col("day").between(F.lit(low), F.lit(high))).join(days, [*KEYS, "day"], "left_semi")
     both = held.withColumn("arrival", F.lit(0)).unionByName(fresh.withColumn("arrival", F.lit(1)))
     keep_one(both, [*KEYS, "timestamp"], "arrival", "last").drop("arrival", "day").write.parquet(staged)
     write(spark.read.schema(SCHEMA).parquet(staged), path)

@@ -12,7 +12,7 @@ from barwright.sources.candles import KEYS, PRICES, day_of, upsert
 LENGTHS = {"s": "second", "m": "minute", "h": "hour", "d": "day", "w": "week"}
 
 
-def stream_bars(ticks: DataFrame, symbol: str, time: str, price: str, tie: str, interval: str, delay: str) -> DataFrame:
+def stream_bars(ticks: DataFrame, symbol: str, time: str, price: str, tie: str, interval: str, delay: str, exchange: str = "x", category: str = "spot") -> DataFrame:
     """Bars of a stream of ticks, each given once the watermark has passed its end. Months and years have no fixed length and are refused."""
     ivl = Interval.parse(interval)
     if ivl.unit not in LENGTHS:
@@ -24,7 +24,7 @@ def stream_bars(ticks: DataFrame, symbol: str, time: str, price: str, tie: str,
     bars = timed.groupBy(F.col(symbol).alias("symbol"), window.alias("w")).agg(
         F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, order).alias("close"), F.count("*").cast("double").alias("volume")
     )
-    return bars.select(F.lit("x").alias("exchange"), F.lit("spot").alias("category"), "symbol", F.lit(str(ivl)).alias("interval"), F.unix_millis("w.start").alias("timestamp"), *PRICES)
+    return bars.select(F.lit(exchange).alias("exchange"), F.lit(category).alias("category"), "symbol", F.lit(str(ivl)).alias("interval"), F.unix_millis("w.start").alias("timestamp"), *PRICES)
 
 
 def write_bars(bars: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -43,16 +43,16 @@ def candle_parts(ticks: DataFrame, symbol: str, time: str, price: str, tie: str)
     )
 
 
-def merged_parts(parts: DataFrame) -> DataFrame:
+def merged_parts(parts: DataFrame, exchange: str = "x", category: str = "spot") -> DataFrame:
     """Candles of whole minutes from candle_parts of disjoint ticks."""
     return (
         parts.groupBy("symbol", "timestamp")
         .agg(F.min_by("open", "first").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "last").alias("close"), F.sum("volume").alias("volume"))
-        .select(F.lit("x").alias("exchange"), F.lit("spot").alias("category"), "symbol", F.lit("1min").alias("interval"), "timestamp", *PRICES)
+        .select(F.lit(exchange).alias("exchange"), F.lit(category).alias("category"), "symbol", F.lit("1min").alias("interval"), "timestamp", *PRICES)
     )
 
 
-def upsert_stream(ticks: DataFrame, store: str, checkpoint: str, symbol: str, time: str, price: str, tie: str) -> StreamingQuery:
+def upsert_stream(ticks: DataFrame, store: str, checkpoint: str, symbol: str, time: str, price: str, tie: str, exchange: str = "x", category: str = "spot") -> StreamingQuery:
     """Upserts the 1-minute candles that each micro-batch touches, made of all ticks of the stream so far.
 
     Each batch's part of a minute is kept by day and batch under the checkpoint, and a batch's minutes are merged from
@@ -71,6 +71,6 @@ def upsert_stream(ticks: DataFrame, store: str, checkpoint: str, symbol: str, ti
         near = held.where(F.col("batch") <= number).where(F.col("day").isin([d for d in days if d is not None]) | F.col("day").isNull())
         same = F.col("p.symbol").eqNullSafe(F.col("t.symbol")) & F.col("p.timestamp").eqNullSafe(F.col("t.timestamp"))
         whole = near.alias("p").join(touched.select("symbol", "timestamp").alias("t"), same, "left_semi")
-        upsert(rows.sparkSession, store, merged_parts(whole).select(*KEYS, "timestamp", *PRICES))
+        upsert(rows.sparkSession, store, merged_parts(whole, exchange, category).select(*KEYS, "timestamp", *PRICES))
 
     return ticks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -122,12 +122,12 @@ def test_resample_twice_is_resample_once(spark, small, large):
     assert rows(resample(resample(base, small), large)) == rows(resample(base, large))
 
 
-@pytest.mark.parametrize("text, want", [("1M", "1min"), ("1mo", "1mo"), ("4 Hours", "4h"), ("2week", "2w"), ("1Y", "1y")])
+@pytest.mark.parametrize("text, want", [("1M", "1min"), ("1mo", "1mo"), (" 4Hours ", "4h"), ("2week", "2w"), ("1Y", "1y"), ("1hr", "1h"), ("3WK", "3w"), ("2yr", "2y"), ("4294967295s", "4294967295s")])
 def test_interval_parse(text, want):
     assert str(iv.Interval.parse(text)) == want
 
 
-@pytest.mark.parametrize("text", ["", "m", "0m", "1parsec", "-1m"])
+@pytest.mark.parametrize("text", ["", "m", "0m", "1parsec", "-1m", "4 Hours", "4294967296s"])
 def test_interval_refused(text):
     with pytest.raises(ValueError):
         iv.Interval.parse(text)
@@ -168,6 +168,38 @@ def test_load_keeps_the_last_rows_of_the_window(spark):
     assert column(windows.load(held, request), "timestamp") == [i * MIN for i in range(51, 71)]
 
 
+def test_requests_for_one_series_are_answered_each(spark):
+    path = cs.scratch(spark)
+    cs.write(cs.in_memory(spark, ramp(60, 0) + ramp(60, 9 * cs.DAY_MS)), path)
+    kind = "exchange string, category string, symbol string, interval string, start long, end long, limit long, n int"
+    requests = spark.createDataFrame([(*KEY, 0, 59 * MIN, None, 1), (*KEY, 0, 59 * MIN, None, 2), (*KEY, 0, 59 * MIN, 7, 3), (*KEY, 9, 3, None, 4)], kind)
+    bounds = catalog.time_bounds(cs.scan(spark, path))
+    for got in (windows.load(cs.scan(spark, path), requests, "1h", "n"), windows.load_stored(spark, path, requests, bounds, "1h", "n")):
+        assert sorted((r["n"], r["timestamp"], r["volume"]) for r in got.collect()) == [(k, 0, 60000.0) for k in (1, 2, 3)]
+    minutes = windows.load_stored(spark, path, requests, bounds, "1min", "n")
+    assert sorted(r["n"] for r in minutes.collect()) == [1] * 60 + [2] * 60 + [3] * 7
+    assert windows.load(cs.scan(spark, path), requests.where("n < 3"), "1h").count() == 1
+    days = minutes._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1].split("PushedFilters")[0]
+    assert "day" in days and "1970-01-02" in days
+    assert windows.load_stored(spark, path, requests.where("n = 4"), bounds).count() == 0
+
+
+def test_two_sources_meet_in_the_same_market(spark):
+    held = cs.in_memory(spark, ramp(5, 0) + ramp(5, 0, "ETHUSDT"))
+    n, span = study.Node, {"start_ms": 0, "end_ms": 10 * MIN}
+    for params, rows in ((span, 10), (span | dict(zip(cs.KEYS, KEY)), 10)):
+        two = study.Study("two", (n("a", study.SOURCE, span), n("b", study.SOURCE, params), n("g", "logic.gt")), (("a.close", "g.left"), ("b.close", "g.right")))
+        got = study.run_study(two, study.warehouse_source(held), ["g.signal", "b.close"])
+        assert got.count() == rows == got.select("symbol", "timestamp").distinct().count()
+
+
+def test_values_that_are_no_numbers_give_null(spark):
+    nan = float("nan")
+    bars = closes(spark, [1.0, 2.0, nan, 4.0, 5.0, 7.0]).withColumn("m", indicators.sma(F.col("close"), 2))
+    got = bars.select("timestamp", "m", logic.gt(F.col("close"), F.lit(0.0)).alias("g"), logic.lt(F.lit(0.0), F.col("close")).alias("l")).orderBy("timestamp").collect()
+    assert [r["m"] for r in got] == [None, 1.5, None, None, 4.5, 6.0] and [r["g"] for r in got] == [r["l"] for r in got] == [True, True, None, True, True, True]
+
+
 def test_store_scan_and_upsert(spark):
     days = [1717804800000 + k * cs.DAY_MS for k in range(3)]
     path = cs.scratch(spark)
@@ -195,7 +227,10 @@ def test_catalog_saved_and_loaded(spark):
     assert catalog.load(spark, path) is None
     held = catalog.snapshot(cs.in_memory(spark, ramp(120, T) + ramp(60, T, "ETHUSDT")))
     catalog.save(held, path)
-    assert sorted(map(tuple, catalog.load(spark, path).collect())) == sorted(map(tuple, held.collect()))
+    back = catalog.load(spark, path)
+    assert sorted(map(tuple, back.select(*held.columns).collect())) == sorted(map(tuple, held.collect()))
+    assert {r["version"] for r in back.collect()} == {1} and back.where("generated_at IS NULL").count() == 0
+    assert catalog.totals(back.withColumn("approx_size_bytes", F.lit(5).cast("long"))).first()["bytes"] == 10
     assert [r[0] for r in catalog.market_symbols(held, "bybit", "spot").orderBy("symbol").collect()] == ["BTCUSDT", "ETHUSDT"]
 
 
@@ -219,8 +254,8 @@ def test_pages_and_plan(spark):
     assert [tuple(r) for r in ok.collect()] == [("B", "linear", 1, 2.0, 3.0, 4.0, 5.0, 6.0)] and bad.count() == 3
     spans = spark.createDataFrame([(30_000, 150_000), (120_000, 60_000)], "start long, end long")
     assert [tuple(r)[2:] for r in cs.fetch_plan(spans, 2).orderBy("low").collect()] == [(0, 60_000)]
-    row = spark.range(1).select(names.product_class(F.lit("futures_inverse")), names.interval_code(F.lit("7h")), names.exchange(F.lit(" Bybit ")), names.category(F.lit("Spot"))).first()
-    assert tuple(row) == ("inverse", None, "bybit", None)
+    row = spark.range(1).select(names.product_class(F.lit("futures_inverse")), names.interval_code(F.lit("7h")), names.interval_code(F.lit("2d")), names.interval_code(F.lit("12hr")), names.exchange(F.lit(" Bybit ")), names.category(F.lit("Spot"))).first()
+    assert tuple(row) == ("inverse", None, "D", "720", "bybit", None)
 
 
 def sample(spark, values, kinds, edges, outputs):
