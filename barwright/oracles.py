@@ -110,7 +110,7 @@ ORACLES: dict[str, str] = {
         FROM ({MINUTES}) WHERE "timestamp" // 86400000 % 7 <> 0 AND "timestamp" // 60000 % 11 <> 0""",
     "kline_rejects": f"""SELECT count(*) FILTER (WHERE "timestamp" // 60000 % 11 = 0 AND "timestamp" // 86400000 % 7 <> 0) + count(DISTINCT CASE WHEN "timestamp" // 86400000 % 7 = 0 THEN symbol || ("timestamp" // 86400000) END) AS rejects,
         count(DISTINCT CASE WHEN "timestamp" // 86400000 % 7 = 0 THEN symbol || ("timestamp" // 86400000) END) AS failed_pages FROM ({MINUTES})""",
-    "kline_history": bars(MINUTES),
+    "kline_history": bars(f'SELECT * FROM ({MINUTES}) WHERE "timestamp" // 86400000 % 7 <> 0 AND "timestamp" // 60000 % 11 <> 0'),
     "fetch_plan": f"""WITH b AS (SELECT symbol, min("timestamp") AS a, max("timestamp") AS z FROM ({MINUTES}) GROUP BY symbol)
         SELECT symbol, '1' AS code, low AS page_start, least(z, low + 999 * 60000) AS page_end FROM (SELECT symbol, z, unnest(range(a, z, 60000000)) AS low FROM b WHERE a < z)""",
     "partition_columns": f"""SELECT symbol, CAST(year(d) AS INTEGER) AS year, CAST(month(d) AS INTEGER) AS month, CAST(day(d) AS INTEGER) AS day, count(*) AS bars

@@ -115,8 +115,12 @@ def incremental_upsert(spark, sf_dir):
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages_of(minutes(spark, sf_dir))
+
+
+def pages_of(bars: DataFrame) -> DataFrame:
     """Landed exchange pages: JSON of each day's candles of a symbol; every eleventh close isn't a number, and one day in seven has failed."""
-    bars = minutes(spark, sf_dir).withColumn("day", F.floor(F.col("timestamp") / cs.DAY_MS))
+    bars = bars.withColumn("day", F.floor(F.col("timestamp") / cs.DAY_MS))
     text = lambda c: F.col(c).cast("string")
     close = F.when(F.pmod(F.floor(F.col("timestamp") / 60_000), F.lit(11)) == 0, F.lit("n/a")).otherwise(text("close"))
     item = F.array(text("timestamp"), text("open"), text("high"), text("low"), close, text("volume"), F.lit("0"))
@@ -139,10 +143,11 @@ def kline_rejects(spark, sf_dir):
 
 @query
 def kline_history(spark, sf_dir):
-    """Pages that overlap by a day's second half: the first arrival of a time stays."""
-    held = minutes(spark, sf_dir).withColumn("arrival", F.lit(0))
-    again = held.where(F.pmod("timestamp", F.lit(cs.DAY_MS)) >= cs.DAY_MS // 2).withColumns({"arrival": F.lit(1), "close": F.col("close") + 5})
-    return bars_out(keep_one(held.unionByName(again), [*KEYS, "timestamp"], "arrival", "first"))
+    """Landed pages, decoded; pages of a day's second half came again with other closes, and the first arrival stays."""
+    held = minutes(spark, sf_dir)
+    again = held.where(F.pmod("timestamp", F.lit(cs.DAY_MS)) >= cs.DAY_MS // 2).withColumn("close", F.col("close") + 5)
+    landed = pages_of(held).withColumn("arrival", F.lit(0)).union(pages_of(again).withColumn("arrival", F.lit(1)))
+    return bars_out(cs.history(landed, "x", "spot"))
 
 
 @query

@@ -109,12 +109,12 @@ def incremental(spark: SparkSession, path: str, fresh: DataFrame) -> None:
 PAGE = "retCode int, retMsg string, result struct<symbol: string, category: string, list: array<array<string>>>"
 
 
-def decode_pages(pages: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
-    """(candles with symbol and product class, bad items): pages are JSON with lists of time, open, high, low, close, volume, turnover."""
+def decode_pages(pages: DataFrame, body: str = "body", also: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(candles with symbol, product class and the pages' columns `also`, bad items): pages are JSON with lists of time, open, high, low, close, volume, turnover."""
     page = pages.withColumn("page", F.from_json(body, PAGE))
-    good = page.where("page.retCode = 0").select("page.result.symbol", F.col("page.result.category").alias("product_class"), F.explode("page.result.list").alias("item"))
+    good = page.where("page.retCode = 0").select(*also, "page.result.symbol", F.col("page.result.category").alias("product_class"), F.explode("page.result.list").alias("item"))
     item = lambda i, kind: F.get("item", F.lit(i)).try_cast(kind)
-    cast = good.select("symbol", "product_class", "item", item(0, "long").alias("timestamp"), *(item(i + 1, "double").alias(p) for i, p in enumerate(PRICES)))
+    cast = good.select(*also, "symbol", "product_class", "item", item(0, "long").alias("timestamp"), *(item(i + 1, "double").alias(p) for i, p in enumerate(PRICES)))
     whole = F.col("timestamp").isNotNull()
     for p in PRICES:
         whole = whole & F.col(p).isNotNull()
@@ -122,6 +122,13 @@ def decode_pages(pages: DataFrame, body: str = "body") -> tuple[DataFrame, DataF
     return cast.where(whole).drop("item"), cast.where(~whole).select(F.to_json("item").alias("bad")).union(failed)
 
 
+def history(pages: DataFrame, exchange: str, category: str, arrival: str = "arrival", body: str = "body") -> DataFrame:
+    """1-minute candles of all pages of a market's symbols, which may overlap: of the same time, the first arrival stays."""
+    good, _ = decode_pages(pages, body, (arrival,))
+    named = good.select(F.lit(exchange).alias("exchange"), F.lit(category).alias("category"), "symbol", F.lit("1min").alias("interval"), "timestamp", *PRICES, arrival)
+    return keep_one(named, [*KEYS, "timestamp"], arrival, "first").drop(arrival)
+
+
 def fetch_plan(spans: DataFrame, most: int = 1000) -> DataFrame:
     """spans (start, end) cut into pages of at most `most` one-minute bars: (.., low, high), both ends inclusive."""
     floor = lambda c: F.col(c) - F.col(c) % 60_000
