@@ -6,7 +6,9 @@ block only, so the number of differing blocks is at most the symmetric differenc
 than the largest symmetric difference that its threshold allows; hence linked sets agree in at least one
 block (pigeonhole), and joining on block values finds every link. A second sketch toggles one bit for each
 shingle; its Hamming distance bounds the symmetric difference from below and discards most false
-candidates before the sets themselves are compared.
+candidates before the sets themselves are compared. That bound says nothing of sets of many more shingles than bits; from LARGE
+shingles on, one bit of the least hash in each of 256 bins is compared too. Linked sets differ in such a bit with a chance of half of
+1 - similarity at most, and pairs beyond six deviations of that are left out: one linked pair in a billion.
 
 Equal sets become one class. Within a block value's group, members are first compared with three leaders
 only; a second join compares what is still in different components, and only that, so a huge group of near
@@ -35,8 +37,8 @@ from barwright.llm.graph import linked_components, maybe_in
 BAND = 1.6
 #: Times that a set with many empty blocks is dealt into blocks anew.
 LEVELS = 4
-#: Words of 64 bits in the parity sketch.
-SKETCH = 8
+#: Words of 64 bits in the parity sketch, and in the sketch of least hashes that sets of LARGE shingles or more have too.
+SKETCH, LEAST, LARGE = 8, 4, 400
 U64 = np.uint64
 
 
@@ -116,6 +118,16 @@ def parity(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def least_bits(tokens: np.ndarray) -> np.ndarray:
+    """A bit of the least hash in each bin; zeros for empty bins and small sets."""
+    bits = np.zeros(64 * LEAST, np.uint8)
+    if len(tokens) >= LARGE:
+        hashes = np.sort(mix(tokens, 9))
+        bins, first = np.unique(hashes >> U64(64 - (64 * LEAST - 1).bit_length()), return_index=True)
+        bits[bins.astype(np.int64)] = mix(hashes[first], 13) & U64(1)
+    return np.packbits(bits).view(np.int64)
+
+
 @lru_cache(maxsize=256)
 def _remembered(text: str, n: int) -> np.ndarray:
     return shingles(text, n)
@@ -137,7 +149,7 @@ def sketches(docs: DataFrame, n: int, percent: int, key: str, text: str) -> Data
                 known = cls in seen
                 if len(seen) < 2_000_000:
                     seen.add(cls)
-                rows.append((i, len(tokens), cls, parity(tokens), [] if known else block_keys(tokens, percent)))
+                rows.append((i, len(tokens), cls, np.concatenate([parity(tokens), least_bits(tokens)]), [] if known else block_keys(tokens, percent)))
             _, sizes, names, odd, keys = zip(*rows) if rows else ((),) * 5
             # nullable integers: a null beside them must not turn hashes into floats
             yield pd.DataFrame({"id": batch["id"].values, "n_shingles": sizes, "cls": pd.array(names, dtype="Int64"), "sketch": list(odd), "keys": list(keys)})
@@ -150,7 +162,10 @@ def _plausible(percent: int, a: str, b: str) -> F.Column:
     """Whether sizes and parity sketches allow a link: the distance bounds the symmetric difference from below."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
     apart = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(SKETCH)), F.lit(0))
-    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (apart * (100 + percent) <= (na + nb) * (100 - percent))
+    bits, chance = 64 * LEAST, (100 - percent) / 200
+    most = bits * chance + 6 * (bits * chance * (1 - chance)) ** 0.5
+    differ = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(SKETCH, SKETCH + LEAST)), F.lit(0))
+    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (apart * (100 + percent) <= (na + nb) * (100 - percent)) & ((F.least(na, nb) < LARGE) | (differ <= most))
 
 
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int, key: str, text: str) -> DataFrame:
@@ -186,7 +201,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "d
             heads.where("cls IS NOT NULL")
             .groupBy("cls")
             .agg(F.min("id").alias("rep"), F.min("n_shingles").alias("n"), F.any_value("sketch").alias("sketch"))
-            .select("cls", "rep", "n", *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)))
+            .select("cls", "rep", "n", *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH + LEAST)))
             .where("rep IS NOT NULL")
         )
         joined = linked_components(

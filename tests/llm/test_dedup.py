@@ -95,6 +95,22 @@ def test_sets_within_the_bound_share_a_key():
             assert keys[0] & keys[1], size
 
 
+def test_bits_of_least_hashes_follow_the_similarity():
+    rnd = np.random.default_rng(4)
+    for size in (400, 900, 5000):
+        for percent in (80, 85, 95):
+            apart = []
+            for _ in range(40):
+                pool = np.unique(rnd.integers(0, 1 << 63, 3 * size).astype(np.uint64))
+                both = size * 2 * percent // (100 + percent)
+                a, b = (np.sort(np.concatenate([pool[:both], pool[k : k + size - both]])) for k in (size, 2 * size))
+                x, y = ngram_join.least_bits(a), ngram_join.least_bits(b)
+                apart.append(sum(int(v).bit_count() for v in (x ^ y).view(np.uint64)))
+            chance = (100 - percent) / 200
+            assert np.mean(apart) < 256 * chance * 1.15 and max(apart) < 256 * chance + 6 * (256 * chance * (1 - chance)) ** 0.5
+    assert not ngram_join.least_bits(np.arange(399, dtype=np.uint64)).any()
+
+
 def test_edit_distance():
     rnd = random.Random(2)
 
