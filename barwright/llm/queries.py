@@ -79,13 +79,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 REACHED = """reach(a, b) AS (SELECT id, id FROM nodes UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
     least AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)"""
 JACCARD = f"""WITH RECURSIVE words AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
-    nodes AS (SELECT id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i + 3], ' '))) END AS s FROM words),
+    nodes AS (SELECT id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM words),
     held AS (SELECT id, len(s) AS n, unnest(s) AS t FROM nodes),
     links AS (SELECT x.id AS a, y.id AS b FROM held x JOIN held y ON x.t = y.t AND x.id <> y.id GROUP BY x.id, y.id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
     {REACHED}
     SELECT id AS doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM nodes JOIN least USING (id)"""
 COSINE = f"""WITH RECURSIVE nodes AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-    good AS (SELECT * FROM nodes WHERE label IS NOT NULL AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, x -> x <> 0)) > 0),
+    good AS (SELECT * FROM nodes WHERE label IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
     links AS (SELECT x.id AS a, y.id AS b FROM good x JOIN good y ON x.label = y.label AND x.id <> y.id AND len(x.e) = len(y.e) WHERE list_cosine_similarity(x.e, y.e) >= 0.93),
     {REACHED}, linked AS (SELECT a AS id, count(*) AS n_links FROM links GROUP BY a)
     SELECT id AS vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, id = component_id AS kept FROM nodes JOIN least USING (id) LEFT JOIN linked USING (id)"""
