@@ -39,6 +39,8 @@ BAND = 1.6
 LEVELS = 4
 #: Words of 64 bits in the parity sketch, and in the sketch of least hashes that sets of LARGE shingles or more have too.
 SKETCH, LEAST, LARGE = 8, 4, 400
+#: Rows whose keys a task holds at a time.
+ROWS = 500
 U64 = np.uint64
 
 
@@ -128,7 +130,7 @@ def least_bits(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(bits).view(np.int64)
 
 
-@lru_cache(maxsize=256)
+@lru_cache(maxsize=64)
 def _remembered(text: str, n: int) -> np.ndarray:
     return shingles(text, n)
 
@@ -138,7 +140,8 @@ def sketches(docs: DataFrame, n: int, percent: int, key: str, text: str) -> Data
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
-        for batch in batches:
+        # a few rows at a time: their keys are held until they are sent
+        for batch in (whole.iloc[at : at + ROWS] for whole in batches for at in range(0, len(whole), ROWS)):
             rows = []
             for i, t in zip(batch["id"], batch["t"]):
                 tokens = shingles(t, n)
@@ -147,7 +150,7 @@ def sketches(docs: DataFrame, n: int, percent: int, key: str, text: str) -> Data
                     continue
                 cls = class_of(tokens)
                 known = cls in seen
-                if len(seen) < 2_000_000:
+                if len(seen) < 500_000:
                     seen.add(cls)
                 rows.append((i, len(tokens), cls, np.concatenate([parity(tokens), least_bits(tokens)]), [] if known else block_keys(tokens, percent)))
             _, sizes, names, odd, keys = zip(*rows) if rows else ((),) * 5
