@@ -11,6 +11,7 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -92,7 +93,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids") ->
     @F.pandas_udf("array<int>")
     def ids_of(texts: pd.Series) -> pd.Series:
         own = codec(path)
-        return pd.Series([own.encode(t) for t in texts])
+        # as arrays of numbers: a batch of lists of Python's integers is ten times as large
+        return pd.Series([np.array(own.encode(t), np.int32) for t in texts], dtype=object)
 
     return docs.withColumn(out, ids_of(F.col(text)))
 
