@@ -153,7 +153,7 @@ def kline_history(spark, sf_dir):
 @query
 def fetch_plan(spark, sf_dir):
     spans = catalog.time_bounds(minutes(spark, sf_dir)).withColumnsRenamed({"from": "start", "to": "end"})
-    return cs.fetch_plan(spans).select("symbol", F.lit(names.CODES["1min"]).alias("code"), F.col("low").alias("page_start"), F.col("high").alias("page_end"))
+    return cs.fetch_plan(spans).select("symbol", names.interval_code(F.lit("1min")).alias("code"), F.col("low").alias("page_start"), F.col("high").alias("page_end"))
 
 
 @query
