@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwright.llm import bpe_codec, decontamination, embedding_dedup, licences, line_dedup, ngram_join, pii, prefix_counts, quality, toxicity
+from barwright.llm import bpe_codec, decontamination, embedding_dedup, licences, line_dedup, mixing, ngram_join, periodic_runs, phrases, pii, prefix_counts, quality, toxicity
 from barwright.llm.common import table
 
 
@@ -60,6 +60,18 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_documents(table(spark, sf_dir, "documents"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=100, top=2000)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -72,6 +84,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": op8_pii,
         "op9_toxicity": op9_toxicity,
         "op10_bpe_codec": op10_bpe_codec,
+        "op11_periodic_runs": op11_periodic_runs,
+        "op12_source_mix": op12_source_mix,
+        "op13_phrases": op13_phrases,
     }
 
 
@@ -90,7 +105,18 @@ COSINE = f"""WITH RECURSIVE nodes AS (SELECT vec_id AS id, label, CAST(embedding
     {REACHED}, linked AS (SELECT a AS id, count(*) AS n_links FROM links GROUP BY a)
     SELECT id AS vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, id = component_id AS kept FROM nodes JOIN least USING (id) LEFT JOIN linked USING (id)"""
 
+PHRASES = """WITH words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+    total AS (SELECT lang, sum(len(w)) AS n FROM words GROUP BY lang),
+    grams AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS g FROM words, range(1, 6) AS t(k) WHERE len(w) >= k),
+    f AS (SELECT lang, k, g, count(*) AS c FROM grams GROUP BY ALL HAVING count(*) >= 100),
+    kept AS (SELECT * FROM f x WHERE k > 1 AND NOT EXISTS (SELECT 1 FROM f y WHERE y.lang = x.lang AND y.k > x.k AND y.c >= x.c AND contains(' ' || y.g || ' ', ' ' || x.g || ' '))),
+    cuts AS (SELECT lang, g, c, cut, array_to_string(string_split(g, ' ')[:cut], ' ') AS head, array_to_string(string_split(g, ' ')[cut + 1:], ' ') AS rest FROM kept, range(1, 5) AS t(cut) WHERE cut < k),
+    scores AS (SELECT lang, cuts.g AS g, cuts.c AS a, h.c AS l, r.c AS r, n, cut, (1000::HUGEINT * cuts.c * n) // (h.c::HUGEINT * r.c) AS score FROM cuts JOIN f h USING (lang) JOIN f r USING (lang) JOIN total USING (lang) WHERE h.g = head AND r.g = rest),
+    best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM best)
+    SELECT lang, rank, g AS phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000"""
+
 
 def oracle_sql() -> dict[str, str]:
-    """SQL of the exact joins; it compares all pairs, so it is for small tables."""
-    return {"op2_ngram_jaccard": JACCARD, "op6_embedding_dedup": COSINE}
+    """SQL of the exact joins and counts; it compares all pairs, so it is for small tables."""
+    return {"op2_ngram_jaccard": JACCARD, "op6_embedding_dedup": COSINE, "op13_phrases": PHRASES}
