@@ -6,8 +6,8 @@ pieces that end with it, and the counts of three and two words follow from those
 Phrases through which all flow goes on in one extension lie inside a unary path: they are compacted into it. paths() joins
 the edges of a unary path, so a passage that repeats is one path however long it is.
 
-Before edges are made, pieces are cut where no phrase that is frequent enough can go on: at words whose exact count, and between neighbours
-whose count's upper bound, is below the threshold. The bounds come from saturating counters of hashed pairs, a table of
+Before edges are made, pieces are cut where no phrase that is frequent enough can go on: at words whose exact count, and at two or three
+neighbours whose count's upper bound, is below the threshold. The bounds come from saturating counters of hashed pairs and triples, two tables of
 fixed size (`slots`, a power of two: a byte each in a task, a bit each when broadcast), so all counts from the threshold on stay exact. When a corpus has so many
 pairs that all counters are full nothing is cut between neighbours, and the edges of all pieces are shuffled.
 
@@ -97,12 +97,14 @@ class _Codes(dict):
         return code
 
 
-def _slots(codes: np.ndarray, slots: int) -> np.ndarray:
-    """For each place the counter of the pair that begins there, -1 if there is none."""
-    x, y = codes[:-1].astype(np.uint64), codes[1:].astype(np.uint64)
-    mixed = (x * np.uint64(0x9E3779B97F4A7C15) ^ y) * np.uint64(0xBF58476D1CE4E5B9)
-    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) >> np.uint64(65 - slots.bit_length())
-    return np.where((x > 0) & (y > 0), mixed.astype(np.int64), -1)
+def _slots(codes: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the counters of the two and of the three words that begin there, -1 if a piece ends within them."""
+    x = codes.astype(np.uint64)
+    shift, good = np.uint64(65 - slots.bit_length()), x > 0
+    mix = lambda a, b: (a * np.uint64(0x9E3779B97F4A7C15) ^ b) * np.uint64(0xBF58476D1CE4E5B9)
+    spread = lambda h: ((h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) >> shift).astype(np.int64)
+    two, pair = mix(x[:-1], x[1:]), good[:-1] & good[1:]
+    return np.where(pair, spread(two), -1), np.where(pair[:-1] & pair[1:], spread(mix(two[:-1], x[2:])), -1)
 
 
 def _coded(batches: Iterator[pd.DataFrame], table: np.ndarray) -> Iterator[tuple[str, list[bytes], np.ndarray]]:
@@ -142,29 +144,29 @@ def _word_table(frequent: DataFrame) -> np.ndarray:
     return _bits(frequent.select("lang", "phrase").mapInPandas(run, "at long"), WORD_BITS)
 
 
-def _pair_table(texts: DataFrame, words: np.ndarray, least: int, slots: int) -> np.ndarray:
-    """Bits of the counters that reach `least`. Counters stop at the greatest number of their kind, which is at least `least`."""
+def _tables(texts: DataFrame, words: np.ndarray, least: int, slots: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of the counters of two and of three words that reach `least`. Counters stop at the greatest number of their kind, which is at least `least`."""
     kind = np.uint8 if least <= 255 else np.uint32
     most, block = np.iinfo(kind).max, 1 << 13
     shared = texts.sparkSession.sparkContext.broadcast(words)  # WORD_BITS bits
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, waiting, size = np.zeros(slots, kind), [], 0
+        held, waiting, size = np.zeros(2 * slots, kind), [], 0
 
         def add() -> None:
             at, n = np.unique(np.concatenate(waiting), return_counts=True)
             held[at] = np.minimum(held[at].astype(np.int64) + n, most).astype(kind)
 
         for _, _, codes in _coded(batches, shared.value):
-            at = _slots(codes, slots)
-            waiting.append(at[at >= 0])
-            size += len(waiting[-1])
+            two, three = _slots(codes, slots)
+            waiting += [two[two >= 0], three[three >= 0] + slots]
+            size += len(waiting[-2]) + len(waiting[-1])
             if size >= 2_000_000:
                 add()
                 waiting, size = [], 0
         if waiting:
             add()
-        for k in range(slots // block):
+        for k in range(2 * slots // block):
             own = held[k * block : (k + 1) * block]
             if own.any():
                 yield pd.DataFrame({"block": [k], "counts": [own.tobytes()]})
@@ -180,26 +182,32 @@ def _pair_table(texts: DataFrame, words: np.ndarray, least: int, slots: int) ->
             yield pd.DataFrame({"block": list(held), "bits": [np.packbits(own >= least, bitorder="little").tobytes() for own in held.values()]})
 
     blocks = texts.mapInPandas(count, "block int, counts binary").repartition(F.col("block"))
-    out = np.zeros(slots // 8, np.uint8)
-    for r in blocks.mapInPandas(total, "block int, bits binary").toLocalIterator():  # a bit for each slot
+    out = np.zeros(2 * slots // 8, np.uint8)
+    for r in blocks.mapInPandas(total, "block int, bits binary").toLocalIterator():  # two bits for each slot
         out[r["block"] * block // 8 : (r["block"] + 1) * block // 8] = np.frombuffer(r["bits"], np.uint8)
-    return out
+    return out[: slots // 8], out[slots // 8 :]
+
 
+def edges(texts: DataFrame, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray) -> DataFrame:
+    """(lang, phrase, n) of the five-word edges, and of what the last four words of each cut piece are, or all of a shorter one.
 
-def edges(texts: DataFrame, words: np.ndarray, pairs: np.ndarray) -> DataFrame:
-    """(lang, phrase, n) of the five-word edges, and of what the last four words of each cut piece are, or all of a shorter one."""
-    shared = texts.sparkSession.sparkContext.broadcast((words, pairs))  # WORD_BITS bits, and one for each slot
+    Cut pieces go on from pair to pair of words; where three words can't be frequent the next piece begins with the middle one, so no pair is in two.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast((words, pairs, triples))  # WORD_BITS bits, and two for each slot
+    held_in = lambda bits, at: (at >= 0) & (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, good = shared.value
+        table, two, three = shared.value
         counts: dict[str, Counter] = {}
         for lang, own, codes in _coded(batches, table):
-            at = _slots(codes, 8 * len(good))
-            on = (at >= 0) & (good[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-            bounds = np.flatnonzero(np.diff(np.concatenate([[False], on, [False]]).astype(np.int8)))
+            pair, triple = (held_in(bits, at) for bits, at in zip((two, three), _slots(codes, 8 * len(two))))
+            on = np.concatenate([[False], pair[:-1] & pair[1:] & triple, [False]])[: len(pair) + 1]  # the pair goes on from the one before
+            first, last = np.flatnonzero(pair & ~on[: len(pair)]), np.flatnonzero(pair & ~on[1:])
+            short = first[first == last]
             held = counts.setdefault(lang, Counter())
-            for a, b in zip(bounds[::2].tolist(), (bounds[1::2] + 1).tolist()):  # words a to b - 1 go on
-                held.update(b" ".join(own[i : i + LONGEST]) for i in range(a, b - LONGEST + 1))
+            held.update([own[i] + b" " + own[i + 1] for i in short.tolist()])
+            for a, b in zip(first[first < last].tolist(), (last[first < last] + 2).tolist()):  # words a to b - 1
+                held.update([b" ".join(own[i : i + LONGEST]) for i in range(a, b - LONGEST + 1)])
                 held[b" ".join(own[max(a, b - LONGEST + 1) : b])] += 1
             if sum(map(len, counts.values())) > HELD:
                 yield from _counted(counts)
@@ -225,7 +233,7 @@ def phrase_counts(docs: DataFrame, least: int, keep: Scratch, slots: int = SLOTS
     words = keep(word_counts(docs, lang, text))
     frequent = words.where(F.col("n") >= least)
     table = _word_table(frequent)
-    held = keep(edges(texts, table, _pair_table(texts, table, least, slots)))
+    held = keep(edges(texts, table, *_tables(texts, table, least, slots)))
     longest, tails = held.where(length(F.col("phrase")) == LONGEST), held.where(length(F.col("phrase")) < LONGEST)
     levels, longer = [longest.select("*", F.lit(LONGEST).alias("k"))], longest
     for k in range(LONGEST - 1, 1, -1):
