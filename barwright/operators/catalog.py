@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwright.sources.candles import KEYS, PRICES
+from barwright.sources.candles import KEYS, PRICES, stored_days
+from barwright.sources.folders import exists
 
 SCHEMA = "exchange string, category string, symbol string, interval string, from long, to long, record_count long, approx_size_bytes long, last_updated timestamp, version int, generated_at timestamp"
 #: Fixed value: the version of a saved snapshot.
@@ -20,6 +21,12 @@ def last_timestamp(candles: DataFrame) -> DataFrame:
     return candles.groupBy(*KEYS).agg(F.max("timestamp").alias("last_ts"))
 
 
+def of_store(spark: SparkSession, path: str, sizes: DataFrame | None = None) -> DataFrame:
+    """snapshot() of a store by its files' footers."""
+    out = stored_days(spark, path).groupBy(*KEYS).agg(F.min("from").alias("from"), F.max("to").alias("to"), F.sum("record_count").alias("record_count"))
+    return out if sizes is None else out.join(sizes, KEYS, "left")
+
+
 def snapshot(candles: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     """Coverage of every series that has rows; bytes and the time of the last write are joined on where sizes (dataset_bytes) are given."""
     out = candles.groupBy(*KEYS).agg(F.min("timestamp").alias("from"), F.max("timestamp").alias("to"), F.count("*").alias("record_count"))
@@ -34,13 +41,8 @@ def save(catalog: DataFrame, path: str) -> None:
 
 
 def load(spark: SparkSession, path: str) -> DataFrame | None:
-    """None if nothing was saved."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.schema(SCHEMA).json(path)
-    except AnalysisException:
-        return None
+    """None if there is no such path; other faults are raised."""
+    return spark.read.schema(SCHEMA).json(path) if exists(spark, path) else None
 
 
 def totals(catalog: DataFrame) -> DataFrame:

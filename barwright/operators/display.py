@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barwright.operators.chunks import last_rows
 from barwright.operators.dedup import keep_one
-from barwright.operators.windows import last_n
 from barwright.sources.candles import KEYS, PRICES
 
 
@@ -53,4 +53,4 @@ def volume_bars(bars: DataFrame) -> DataFrame:
 
 def trim_warmup(bars: DataFrame, shown: int) -> DataFrame:
     """The newest bars, taken after indicators have used the older ones."""
-    return last_n(bars, shown)
+    return last_rows(bars, shown)

@@ -1,5 +1,6 @@
 """SMA, EMA and RSI for all series at once.
 
+SMA looks back on a few bars: series are cut into chunks with a halo (chunks.py).
 EMA and RSI are linear recurrences y[t] = a * y[t-1] + b[t]. They are solved in chunks of a day's bars, in parallel
 within a series: each chunk sums its own part, one small row for each chunk carries the value over, and the
 carried value is added back. No task holds a series.
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from barwright.functions.logic import nan_to_null
+from barwright.operators.chunks import ROWS, along, in_chunk
 from barwright.sources.candles import DAY_MS, KEYS
 
 
@@ -28,13 +30,21 @@ def check_period(period: int) -> int:
     return period
 
 
-def sma(value: Column, period: int) -> Column:
-    """Mean of the last `period` bars; null before there are as many, and while one of them has no value (null or NaN)."""
+def sma(value: Column, period: int, w: WindowSpec | None = None) -> Column:
+    """Mean of the last `period` bars; null before there are as many, and while one of them has no value (null or NaN).
+
+    The window is by series, or by chunk (in_chunk) where series are cut into chunks with a halo of period - 1 bars.
+    """
     value = nan_to_null(value)
-    frame = in_series().rowsBetween(1 - check_period(period), 0)
+    frame = (w or in_series()).rowsBetween(1 - check_period(period), 0)
     return F.when(F.count(value).over(frame) == period, F.avg(value).over(frame))
 
 
+def with_sma(df: DataFrame, value: str, period: int, out: str, rows: int = ROWS) -> DataFrame:
+    """df with sma(), by chunks: no task holds a series."""
+    return along(df, check_period(period) - 1, lambda cut: cut.withColumn(out, sma(F.col(f"`{value}`"), period, in_chunk())), rows)
+
+
 def placed(df: DataFrame, at: str) -> DataFrame:
     """df with `at`, the place of each bar in its series from 0."""
     day = F.floor(F.col("timestamp") / DAY_MS)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barwright.functions.interval import Interval
+from barwright.operators.chunks import last_rows
 from barwright.operators.resample import resample
-from barwright.sources.candles import KEYS, PRICES, scan
+from barwright.sources.candles import KEYS, PRICES, SCHEMA, day_of, stored_days
+from barwright.sources.folders import settled
 
 # Bars without a limit, and bars by which a derived window is longer.
 DEFAULT_LIMIT, BUFFER = 1000, 50
@@ -31,13 +35,6 @@ def resolve(requests: DataFrame, interval: str, start: str = "start", end: str =
     return requests.withColumns({"start_ms": F.when(good, first_ms), "end_ms": F.when(good, last_ms), "row_limit": F.when(good, most), "error": error})
 
 
-def last_n(df: DataFrame, n: int | str, keys: list[str] = KEYS, order: str = "timestamp") -> DataFrame:
-    """The last rows of each series; n is a number or the name of a column that holds it (null: all)."""
-    back = Window.partitionBy(*keys).orderBy(F.desc(order))
-    most = F.lit(n) if isinstance(n, int) else F.col(n)
-    return df.withColumn("_back", F.row_number().over(back)).where(most.isNull() | (F.col("_back") <= most)).drop("_back")
-
-
 def load(candles: DataFrame, requests: DataFrame, interval: str = "1min", request: str | None = None, bounds: DataFrame | None = None) -> DataFrame:
     """Bars of every request (keys, start, end, limit): windows resolved by the series' bounds, then range, resampling and limit, in that order.
 
@@ -49,27 +46,60 @@ def load(candles: DataFrame, requests: DataFrame, interval: str = "1min", reques
         bounds = candles.groupBy(*KEYS).agg(F.min("timestamp").alias("from"), F.max("timestamp").alias("to"))
     own = [] if request is None else [request]
     windows = resolve(requests.join(bounds.select(*KEYS, "from", "to"), KEYS, "left"), interval).where("error IS NULL").select(*own, *KEYS, "start_ms", "end_ms", "row_limit").distinct()
-    each = (*own, "start_ms", "end_ms", "row_limit")
-    bars = candles.join(windows, KEYS).where("timestamp BETWEEN start_ms AND end_ms").select(*each, *candles.columns)
+    each = [*own, "start_ms", "end_ms", "row_limit"]
+    return _answered(candles.join(windows, KEYS).where("timestamp BETWEEN start_ms AND end_ms").select(*each, *candles.columns), each, interval)
+
+
+def _answered(bars: DataFrame, each: list[str], interval: str, limited: bool = True) -> DataFrame:
+    """Resampled and limited bars of requests."""
     if Interval.parse(interval) != Interval(1, "m"):
-        bars = resample(bars, interval, also=each)
-        bars = bars.select(*each, *KEYS, "timestamp", *PRICES)
-    return last_n(bars, "row_limit", [*each, *KEYS]).drop("start_ms", "end_ms", "row_limit")
+        bars = resample(bars, interval, also=tuple(each)).select(*each, *KEYS, "timestamp", *PRICES)
+    return (last_rows(bars, "row_limit", [*each, *KEYS]) if limited else bars).drop("start_ms", "end_ms", "row_limit")
+
+
+#: Rows of (series, day) that are broadcast at most; with more, the join shuffles.
+FEW_DAYS = 200_000
+NO_DAY = datetime.date(1970, 1, 1)
 
 
 def load_stored(spark: SparkSession, path: str, requests: DataFrame, bounds: DataFrame, interval: str = "1min", request: str | None = None) -> DataFrame:
-    """load() of a store whose catalog has the bounds: only days between the first and the last that a request asks for are read."""
-    windows = resolve(requests.join(bounds.select(*KEYS, "from", "to"), KEYS, "left"), interval).where("error IS NULL")
-    low, high = windows.agg(F.min("start_ms"), F.max("end_ms")).first()  # one row
-    if low is None:
-        low, high = 1, 0  # no request is good
-    return load(scan(spark, path, None, low, high) if low <= high else scan(spark, path).limit(0), requests, interval, request, bounds)
+    """load() of a store whose catalog has the bounds: an interval join on days.
+
+    Windows are cut into their days, which meet the store's folders by series and day: requests of ranges that lie far apart
+    read only their own days, each of its own series.
+    """
+    own = [] if request is None else [request]
+    each = [*own, "start_ms", "end_ms", "row_limit"]
+    # a series without bounds has nothing stored
+    windows = resolve(requests.join(bounds.select(*KEYS, "from", "to"), KEYS), interval).where("error IS NULL AND start_ms <= end_ms").select(*each, *KEYS).distinct()
+    days = F.explode(F.sequence(day_of(F.col("start_ms")), day_of(F.col("end_ms")))).alias("day")
+    wanted = settled(windows.select("*", days))
+    low, high, n, limits = wanted.agg(F.min("day"), F.max("day"), F.count("*"), F.count("row_limit")).first()  # one row
+    inside = F.col("day").between(F.lit(low or NO_DAY), F.lit(high or NO_DAY))
+    wanted = wanted.where(inside)
+    held = spark.read.schema(f"{SCHEMA}, day date").parquet(path).where(inside)
+    bars = held.join(F.broadcast(wanted) if n <= FEW_DAYS else wanted, [*KEYS, "day"]).where("timestamp BETWEEN start_ms AND end_ms")  # FEW_DAYS rows at most
+    return _answered(bars.select(*each, *KEYS, "timestamp", *PRICES), each, interval, limits > 0)
+
+
+def latest_stored(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """The last n candles of each stored series: days are counted backwards by the footers of their files, and only those needed are read."""
+    back = Window.partitionBy(*KEYS).orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
+    after = F.coalesce(F.sum("record_count").over(back), F.lit(0))
+    quota = (F.lit(n) - after).alias("_quota")
+    needed = settled(stored_days(spark, path).select(*KEYS, "day", quota).where("_quota > 0"))
+    low, high, days = needed.agg(F.min("day"), F.max("day"), F.count("*")).first()  # one row
+    inside = F.col("day").between(F.lit(low or NO_DAY), F.lit(high or NO_DAY))
+    needed = needed.where(inside)
+    held = spark.read.schema(f"{SCHEMA}, day date").parquet(path).where(inside).join(F.broadcast(needed) if days <= FEW_DAYS else needed, [*KEYS, "day"])  # FEW_DAYS rows at most
+    place = F.row_number().over(Window.partitionBy(*KEYS, "day").orderBy(F.desc("timestamp")))
+    return held.withColumn("_place", place).where("_place <= _quota").select(*KEYS, "timestamp", *PRICES)
 
 
 def page(bars: DataFrame, before: int | None, count: int, warmup: int = 0) -> DataFrame:
     """The newest count + warmup bars of each series before a time, and has_more: whether older ones are left."""
     older = bars if before is None else bars.where(F.col("timestamp") < before)
     first = older.groupBy(*KEYS).agg(F.min("timestamp").alias("_first"))
-    taken = last_n(older, count + warmup)
+    taken = last_rows(older, count + warmup)
     oldest = taken.groupBy(*KEYS).agg(F.min("timestamp").alias("_oldest")).join(first, KEYS).select(*KEYS, (F.col("_oldest") > F.col("_first")).alias("has_more"))
     return taken.join(oldest, KEYS)

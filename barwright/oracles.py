@@ -104,6 +104,7 @@ ORACLES: dict[str, str] = {
     "write_roundtrip": bars(MINUTES),
     "candles_resampled": bars(last(candles(f"SELECT * FROM ({TICKS}) WHERE ms - ms % 60000 BETWEEN {START} AND {END}", every(14_400_000), "4h"), 10)),
     "candles_latest": bars(LATEST),
+    "candles_last": bars(last(MINUTES, 700)),
     "incremental_upsert": bars(f"""WITH m AS ({MINUTES}), top AS (SELECT symbol, max("timestamp") AS t FROM m WHERE "timestamp" <= {END} GROUP BY symbol)
         SELECT m.* REPLACE (CASE WHEN "timestamp" >= coalesce(t, 0) AND "timestamp" >= {START} THEN close + 1 ELSE close END AS close) FROM m LEFT JOIN top USING (symbol)"""),
     "kline_decode": f"""SELECT symbol, 'spot' AS product_class, "timestamp", round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(volume, 6) AS volume
@@ -124,12 +125,14 @@ ORACLES: dict[str, str] = {
     "time_bounds": f'SELECT symbol, min("timestamp") AS from_ts, max("timestamp") AS to_ts FROM ({MINUTES}) GROUP BY symbol',
     "last_timestamp": f'SELECT symbol, max("timestamp") AS last_ts FROM ({MINUTES}) GROUP BY symbol',
     "catalog_snapshot": CATALOG,
+    "catalog_store": CATALOG,
     "catalog_totals": f"SELECT count(*) AS datasets, CAST(sum(record_count) AS BIGINT) AS candles, max(to_ts) AS latest FROM ({CATALOG})",
     "catalog_search": f"SELECT * FROM ({CATALOG}) WHERE lower(symbol) LIKE '%ic%'",
-    "catalog_lookup": f'SELECT symbol, min("timestamp") AS from_ts, max("timestamp") AS to_ts FROM ({BOTH}) GROUP BY symbol',
+    "catalog_lookup": f"""SELECT symbol, min("timestamp") AS from_ts, max("timestamp") AS to_ts FROM ({MINUTES}) WHERE "timestamp" BETWEEN {START} AND {END} GROUP BY symbol
+        UNION ALL SELECT symbol, min("timestamp"), max("timestamp") FROM ({ORDER_MINUTES}) GROUP BY symbol""",
     "market_symbols": "SELECT DISTINCT event_type AS symbol FROM events UNION SELECT DISTINCT o_orderpriority FROM orders",
     "missing_symbols": "SELECT DISTINCT o_orderpriority AS symbol FROM orders EXCEPT SELECT event_type FROM events",
-    "selected_symbols": "SELECT DISTINCT o_orderpriority AS symbol FROM orders",
+    "selected_symbols": "SELECT DISTINCT symbol FROM (SELECT event_type AS symbol FROM events UNION SELECT o_orderpriority FROM orders) WHERE contains(symbol, 'i')",
     "null_audit": "".join(f"{'' if i == 0 else ' UNION ALL '}SELECT '{c}' AS column_name, count(*) FILTER (WHERE \"{c}\" IS NULL) AS nulls FROM ({GAPPY})" for i, c in enumerate(("timestamp", "open", "high", "low", "close", "volume"))),
     "bar_duration": f'SELECT symbol, CASE WHEN count(*) <= 1 THEN 60000 ELSE greatest(1, (max("timestamp") - min("timestamp")) // (count(*) - 1)) END AS bar_ms FROM ({MINUTES}) GROUP BY symbol',
     "dedup_keep_last": "SELECT event_type, (epoch_us(ts) // 1000) // 3600000 * 3600000 AS hour, max(event_id) AS event_id, round(arg_max(value, event_id), 6) AS value FROM events GROUP BY ALL",
@@ -196,5 +199,13 @@ ORACLES: dict[str, str] = {
         fault("unwired_input", "x.slow", "k IN (8, 9)"),
         fault("unknown_port", "x.medium", "k = 9"),
     ]),
+    "study_bad_params": """WITH given AS (
+        SELECT event_id AS id, 's' AS node, 'period' AS param, trim(['20', '0', '-3', 'x', NULL, '2.5', ' 14 '][event_id % 7 + 1]) AS v FROM events
+        UNION ALL SELECT event_id, 'l', 'value', ['30', '1e2', 'abc', NULL, 'NaN', '-.5'][user_id % 6 + 1] FROM events
+        UNION ALL SELECT event_id, 'b', 'value', ['true', 'False', 'yes', NULL][event_id % 4 + 1] FROM events)
+        SELECT id, node, param, fault FROM (SELECT *, CASE WHEN v IS NULL THEN CASE WHEN node = 's' THEN 'missing' END
+            WHEN node = 's' THEN CASE WHEN try_cast(v AS BIGINT) IS NULL OR contains(v, '.') THEN 'wrong_type' WHEN try_cast(v AS BIGINT) < 1 THEN 'out_of_bounds' END
+            WHEN node = 'l' THEN CASE WHEN try_cast(v AS DOUBLE) IS NULL OR isnan(try_cast(v AS DOUBLE)) THEN 'wrong_type' END
+            WHEN lower(v) NOT IN ('true', 'false') THEN 'wrong_type' END AS fault FROM given) WHERE fault IS NOT NULL""",
     "study_warmup": f"SELECT id, CAST(CASE WHEN hidden AND k = 1 THEN 0 ELSE greatest(20, CASE WHEN NOT hidden THEN v + 1 ELSE 0 END, CASE k WHEN 1 THEN 0 WHEN 2 THEN u - 30 ELSE u + 1 END) END AS BIGINT) AS warmup_bars FROM {K}",
 }

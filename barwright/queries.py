@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barwright.functions import interval as iv
 from barwright.functions import logic, names
 from barwright.operators import catalog, display, indicators, runlog, windows
+from barwright.operators.chunks import along, in_chunk, last_rows
 from barwright.operators.dedup import keep_one, merge
 from barwright.operators.resample import resample
 from barwright.plans import audit, study
@@ -73,7 +74,7 @@ def candles_all(spark, sf_dir):
 @query
 def candles_range(spark, sf_dir):
     path = stored(spark, minutes(spark, sf_dir))
-    return bars_out(windows.last_n(cs.scan(spark, path, {"symbol": "click"}, START, END), 500))
+    return bars_out(last_rows(cs.scan(spark, path, {"symbol": "click"}, START, END), 500))
 
 
 @query
@@ -84,21 +85,29 @@ def write_roundtrip(spark, sf_dir):
 @query
 def candles_resampled(spark, sf_dir):
     held = cs.scan(spark, stored(spark, minutes(spark, sf_dir)), None, START, END)
-    return bars_out(windows.last_n(resample(held, "4h"), 10))
+    return bars_out(last_rows(resample(held, "4h"), 10))
 
 
 @query
 def candles_latest(spark, sf_dir):
-    held = minutes(spark, sf_dir)
+    """The latest hourly bars of every series of a store, whose footers give series and bounds."""
+    path = stored(spark, minutes(spark, sf_dir))
+    bounds = catalog.of_store(spark, path)
     wanted = {"start": F.lit(None).cast("long"), "end": F.lit(None).cast("long"), "limit": F.lit(24).cast("long")}
-    return bars_out(windows.load(held, held.select(*KEYS).distinct().withColumns(wanted), "1h"))
+    return bars_out(windows.load_stored(spark, path, bounds.select(*KEYS).withColumns(wanted), bounds, "1h"))
+
+
+@query
+def candles_last(spark, sf_dir):
+    """The last 700 candles of every stored series; only the days that hold them are read."""
+    return bars_out(windows.latest_stored(spark, stored(spark, minutes(spark, sf_dir)), 700))
 
 
 @query
 def load_many_requests(spark, sf_dir):
     """Four requests for every stored series: a range, the same again, the latest bars, and bars from a start on."""
     path = stored(spark, minutes(spark, sf_dir))
-    bounds = catalog.time_bounds(cs.scan(spark, path))
+    bounds = catalog.of_store(spark, path)
     kinds = F.array(*(F.struct(F.lit(k).alias("request"), *(F.lit(v).cast("long").alias(c) for c, v in zip(("start", "end", "limit"), w))) for k, w in enumerate([(START, END, None), (START, END, None), (None, None, 24), (START, None, 10)])))
     requests = bounds.select(*KEYS, F.inline(kinds))
     got = windows.load_stored(spark, path, requests, bounds, "1h", "request")
@@ -205,11 +214,17 @@ def catalog_snapshot(spark, sf_dir):
 def catalog_bytes(spark, sf_dir):
     """The catalog of a store, saved and loaded, with bytes and the time of the last write."""
     path, at = stored(spark, minutes(spark, sf_dir).union(order_bars(spark, sf_dir))), cs.scratch(spark)
-    catalog.save(catalog.snapshot(cs.scan(spark, path), cs.dataset_bytes(spark, path)), at)
+    catalog.save(catalog.of_store(spark, path, cs.dataset_bytes(spark, path)), at)
     held = catalog.load(spark, at)
     return held.select(*KEYS, "record_count", (F.col("approx_size_bytes") > 0).alias("has_bytes"), (F.col("last_updated") <= F.col("generated_at")).alias("written_before"), F.col("version").cast("long").alias("version"))
 
 
+@query
+def catalog_store(spark, sf_dir):
+    """Bounds and counts of a store's series, read from its files' footers."""
+    return catalog_out(catalog.of_store(spark, stored(spark, minutes(spark, sf_dir).union(order_bars(spark, sf_dir)))))
+
+
 @query
 def catalog_totals(spark, sf_dir):
     return catalog.totals(both_markets(spark, sf_dir))
@@ -222,9 +237,9 @@ def catalog_search(spark, sf_dir):
 
 @query
 def catalog_lookup(spark, sf_dir):
-    """The catalog knows the events' series only; bounds of the others come from their candles."""
+    """The catalog knows the events' series only, as of a range that has passed; bounds of the others come from their candles."""
     both = minutes(spark, sf_dir).union(order_bars(spark, sf_dir))
-    found = catalog.lookup(both.select(*KEYS).distinct(), catalog.snapshot(minutes(spark, sf_dir)), both)
+    found = catalog.lookup(both.select(*KEYS).distinct(), catalog.snapshot(cs.time_filter(minutes(spark, sf_dir), START, END)), both)
     return found.select("symbol", F.col("from").alias("from_ts"), F.col("to").alias("to_ts"))
 
 
@@ -242,7 +257,8 @@ def missing_symbols(spark, sf_dir):
 @query
 def selected_symbols(spark, sf_dir):
     chosen = events(spark, sf_dir).select(F.col("event_type").alias("symbol")).distinct().union(order_bars(spark, sf_dir).select("symbol").distinct())
-    return catalog.selected_symbols(chosen, order_bars(spark, sf_dir))
+    offered = minutes(spark, sf_dir).union(order_bars(spark, sf_dir)).where(F.col("symbol").contains("i"))
+    return catalog.selected_symbols(chosen, offered)
 
 
 def gappy(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -286,14 +302,14 @@ def indicated(df: DataFrame, name: str) -> DataFrame:
 
 @query
 def sma_20(spark, sf_dir):
-    return indicated(hours(spark, sf_dir).withColumn("sma", indicators.sma(F.col("close"), 20)), "sma")
+    return indicated(indicators.with_sma(hours(spark, sf_dir), "close", 20, "sma"), "sma")
 
 
 @query
 def sma_nan(spark, sf_dir):
     """A mean and a comparison over closes of which every fifth hour's is no number."""
     gap = F.when(F.floor(F.col("timestamp") / 3_600_000) % 5 == 0, F.lit(float("nan"))).otherwise(F.col("close"))
-    held = hours(spark, sf_dir).withColumn("close", gap).withColumn("sma", indicators.sma(F.col("close"), 3))
+    held = indicators.with_sma(hours(spark, sf_dir).withColumn("close", gap), "close", 3, "sma")
     return rounded(held.select("symbol", "timestamp", "sma", logic.gt(F.round("close", 6), F.round("sma", 6)).alias("signal")), "sma")
 
 
@@ -307,13 +323,15 @@ def rsi_14(spark, sf_dir):
     return indicated(indicators.rsi(hours(spark, sf_dir), "close", 14, "rsi"), "rsi")
 
 
-def crossing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hours(spark, sf_dir).withColumns({"fast": F.round(indicators.sma(F.col("close"), 3), 6), "slow": F.round(indicators.sma(F.col("close"), 8), 6)})
+def crossing(spark: SparkSession, sf_dir: str, **signals: Column) -> DataFrame:
+    """Hourly bars with a fast and a slow mean, and signals over them and the bar before."""
+    means = lambda cut: cut.withColumns({n: F.round(indicators.sma(F.col("close"), p, in_chunk()), 6) for n, p in (("fast", 3), ("slow", 8))})
+    return along(hours(spark, sf_dir), 8, lambda cut: means(cut).withColumns(signals))
 
 
 def _signal(name: str, make: Callable[[], Column]) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return crossing(spark, sf_dir).select("symbol", "timestamp", make().alias("signal"))
+        return crossing(spark, sf_dir, signal=make()).select("symbol", "timestamp", "signal")
 
     QUERIES[name] = run
 
@@ -323,8 +341,8 @@ for _name, _make in {
     "lt_threshold": lambda: logic.lt(F.col("fast"), F.lit(50.0)),
     "and_strict": lambda: logic.and_(logic.gt(F.col("close"), F.lit(50.0)), logic.gt(F.col("fast"), F.col("slow"))),
     "or_strict": lambda: logic.or_(logic.gt(F.col("close"), F.lit(50.0)), logic.gt(F.col("fast"), F.col("slow"))),
-    "crossover_sma": lambda: logic.crossover(F.col("fast"), F.col("slow"), indicators.in_series()),
-    "crossunder_sma": lambda: logic.crossunder(F.col("fast"), F.col("slow"), indicators.in_series()),
+    "crossover_sma": lambda: logic.crossover(F.col("fast"), F.col("slow"), in_chunk()),
+    "crossunder_sma": lambda: logic.crossunder(F.col("fast"), F.col("slow"), in_chunk()),
 }.items():
     _signal(_name, _make)
 
@@ -337,7 +355,7 @@ def two_source_align(spark, sf_dir):
 
 @query
 def warmup_trim(spark, sf_dir):
-    return indicated(display.trim_warmup(hours(spark, sf_dir).withColumn("sma", indicators.sma(F.col("close"), 20)), 50), "sma")
+    return indicated(display.trim_warmup(indicators.with_sma(hours(spark, sf_dir), "close", 20, "sma"), 50), "sma")
 
 
 @query
@@ -355,7 +373,7 @@ def complete_candles(spark, sf_dir):
 
 @query
 def signal_markers(spark, sf_dir):
-    marked = crossing(spark, sf_dir).withColumn("signal", logic.crossover(F.col("fast"), F.col("slow"), indicators.in_series()))
+    marked = crossing(spark, sf_dir, signal=logic.crossover(F.col("fast"), F.col("slow"), in_chunk()))
     return display.markers(marked, "signal").select("symbol", "time", "shape", "position")
 
 
@@ -457,18 +475,19 @@ def stream_resample(spark, sf_dir):
 def stream_upsert(spark, sf_dir):
     held = minutes(spark, sf_dir).where(F.col("timestamp") < START).withColumn("close", F.lit(0.0))
     store = stored(spark, held)
-    streams.upsert_stream(_streamed(spark, sf_dir), store, cs.scratch(spark), "event_type", "ts", "value", "event_id").awaitTermination()
+    streams.upsert_stream(_streamed(spark, sf_dir), store, cs.scratch(spark), "event_type", "ts", "value", "event_id", "60 days").awaitTermination()
     return bars_out(cs.scan(spark, store))
 
 
 @query
 def stream_upsert_two_batches(spark, sf_dir):
-    """Ticks landed in two files, which split most minutes, and read as two micro-batches."""
+    """Ticks landed in two files, which split most minutes, and read as two micro-batches; every tenth tick of the first comes again in the second."""
     landed, store = cs.scratch(spark), stored(spark, minutes(spark, sf_dir).where(F.col("timestamp") < START).withColumn("close", F.lit(0.0)))
     for half in (0, 1):
-        events(spark, sf_dir).where(F.col("event_id") % 2 == half).coalesce(1).write.mode("append").parquet(landed)
+        again = (F.col("event_id") % 20 == 0) & F.lit(half == 1)
+        events(spark, sf_dir).where((F.col("event_id") % 2 == half) | again).coalesce(1).write.mode("append").parquet(landed)
     ticks = spark.readStream.schema(events(spark, sf_dir).schema).option("maxFilesPerTrigger", 1).parquet(landed)
-    streams.upsert_stream(ticks, store, cs.scratch(spark), "event_type", "ts", "value", "event_id").awaitTermination()
+    streams.upsert_stream(ticks, store, cs.scratch(spark), "event_type", "ts", "value", "event_id", "60 days").awaitTermination()
     return bars_out(cs.scan(spark, store))
 
 
@@ -573,6 +592,24 @@ def study_audit(spark, sf_dir):
     return audit.audit(specs(spark, sf_dir), study.node_kinds(spark))
 
 
+def param_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A study for each event, of a mean and two literals whose parameters are texts of all kinds."""
+    pick = lambda column, *texts: F.get(F.array(*(F.lit(t) for t in texts)), (F.col(column) % len(texts)).cast("int"))
+    node = lambda i, kind, name, value: F.struct(F.lit(i).alias("id"), F.lit(kind).alias("kind"), F.map_from_arrays(F.array(F.lit(name)), F.array(value)).alias("params"))
+    nodes = F.array(
+        node("s", "indicator.sma", "period", pick("event_id", "20", "0", "-3", "x", None, "2.5", " 14 ")),
+        node("l", "literal.number", "value", pick("user_id", "30", "1e2", "abc", None, "NaN", "-.5")),
+        node("b", "literal.bool", "value", pick("event_id", "true", "False", "yes", None)),
+        node("u", "nope.thing", "period", F.lit("x")),
+    )
+    return events(spark, sf_dir).select(F.col("event_id").alias("id"), nodes.alias("nodes"))
+
+
+@query
+def study_bad_params(spark, sf_dir):
+    return audit.bad_params(param_specs(spark, sf_dir), study.kind_params(spark))
+
+
 @query
 def study_warmup(spark, sf_dir):
     return study.warmup_bars(specs(spark, sf_dir), study.node_kinds(spark)).select("id", F.col("warmup_bars").cast("long").alias("warmup_bars"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barwright.operators.dedup import keep_one
+from barwright.sources import folders
+from barwright.sources.folders import new_scratch as scratch
 
 KEYS = ["exchange", "category", "symbol", "interval"]
 PRICES = ["open", "high", "low", "close", "volume"]
@@ -15,12 +15,6 @@ SCHEMA = ", ".join([*(f"{k} string" for k in KEYS), "timestamp long", *(f"{p} do
 DAY_MS = 86_400_000
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder under the shared one that the session names for checkpoints, else in its warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/warehouse-{uuid.uuid4().hex}"
-
-
 def day_of(ts: Column) -> Column:
     return F.to_date(F.timestamp_millis(ts))
 
@@ -81,27 +75,56 @@ def dataset_bytes(spark: SparkSession, path: str) -> DataFrame:
     return files.select(*keys, "length", "modificationTime").groupBy(*KEYS).agg(F.sum("length").alias("approx_size_bytes"), F.max("modificationTime").alias("last_updated"))
 
 
+def stored_days(spark: SparkSession, path: str) -> DataFrame:
+    """(keys, day, from, to, record_count) of every stored day, from the footers of its files: no row group is read.
+
+    Aggregates are pushed to Parquet when they group by all partition columns, in a session of its own that reads files by the second source interface.
+    """
+    own = spark.newSession()
+    for name, value in (("spark.sql.sources.useV1SourceList", ""), ("spark.sql.parquet.aggregatePushdown", "true"), ("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))):
+        own.conf.set(name, value)
+    held = own.read.schema(f"{SCHEMA}, day date").parquet(path)
+    return held.groupBy(*KEYS, "day").agg(F.min("timestamp").alias("from"), F.max("timestamp").alias("to"), F.count("*").alias("record_count"))
+
+
+def partitions(spark: SparkSession, path: str, days: DataFrame, low: object, high: object) -> DataFrame:
+    """Stored candles, with their day, of the (keys, day) in days, between two dates; other folders aren't read where days are few enough to be broadcast."""
+    held = spark.read.schema(f"{SCHEMA}, day date").parquet(path)
+    inside = F.col("day").between(F.lit(low), F.lit(high))
+    return held.where(inside).join(days.where(inside), [*KEYS, "day"], "left_semi")
+
+
 def upsert(spark: SparkSession, path: str, fresh: DataFrame) -> None:
     """Adds candles to the store: of rows with the same series and time the fresh one stays, all other rows are kept.
 
-    Only days between the first and the last that fresh rows touch are read, and only touched ones written again; they
-    are staged first, as a path can't be read and overwritten in one plan.
+    Only the series' days that fresh rows touch are read. They are staged beside the store and then swapped in, folder by folder; an upsert
+    that is cut short before the swap leaves the old days, and one cut short in it is finished by the next (folders.recover). One
+    writer at a time. Rows without a key or a time are refused.
     """
-    staged = scratch(spark)
-    fresh = fresh.select(*KEYS, "timestamp", *PRICES).withColumn("day", day_of(F.col("timestamp")))
-    days = fresh.select(*KEYS, "day").distinct()
-    low, high = fresh.agg(F.min("day"), F.max("day")).first()  # one row
-    if low is None:
-        return
-    held = spark.read.schema(f"{SCHEMA}, day date").parquet(path).where(F.col("day").between(F.lit(low), F.lit(high))).join(days, [*KEYS, "day"], "left_semi")
-    both = held.withColumn("arrival", F.lit(0)).unionByName(fresh.withColumn("arrival", F.lit(1)))
-    keep_one(both, [*KEYS, "timestamp"], "arrival", "last").drop("arrival", "day").write.parquet(staged)
-    write(spark.read.schema(SCHEMA).parquet(staged), path)
+    depth = len(KEYS) + 1
+    folders.recover(spark, path, depth)
+    staged = folders.staging(path)
+    with folders.scratch(spark) as once:
+        fresh.select(*KEYS, "timestamp", *PRICES).withColumn("day", day_of(F.col("timestamp"))).write.parquet(once)
+        fresh = spark.read.schema(f"{SCHEMA}, day date").parquet(once)
+        low, high, empty = fresh.agg(F.min("day"), F.max("day"), F.count_if(F.expr(" OR ".join(f"`{c}` IS NULL" for c in (*KEYS, "timestamp"))))).first()  # one row
+        if empty:
+            raise ValueError(f"{empty} rows have no key or no time")
+        if low is None:
+            return
+        held = partitions(spark, path, fresh.select(*KEYS, "day").distinct(), low, high)
+        both = held.withColumn("arrival", F.lit(0)).unionByName(fresh.withColumn("arrival", F.lit(1)))
+        try:
+            write(keep_one(both, [*KEYS, "timestamp"], "arrival", "last").drop("arrival", "day"), staged)
+            folders.swap(spark, path, staged, depth)
+        except Exception:
+            folders.recover(spark, path, depth)
+            raise
 
 
 def incremental(spark: SparkSession, path: str, fresh: DataFrame) -> None:
-    """Upserts what is not older than each series' last stored time."""
-    last = spark.read.schema(f"{SCHEMA}, day date").parquet(path).groupBy(*KEYS).agg(F.max("timestamp").alias("last_ts"))
+    """Upserts what is not older than each series' last stored time, which the footers of its files give."""
+    last = stored_days(spark, path).groupBy(*KEYS).agg(F.max("to").alias("last_ts"))
     newer = fresh.join(last, KEYS, "left").where("last_ts IS NULL OR timestamp >= last_ts").drop("last_ts")
     upsert(spark, path, newer)
 

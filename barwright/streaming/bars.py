@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from barwright.functions.interval import Interval
-from barwright.sources.candles import KEYS, PRICES, day_of, upsert
+from barwright.sources.candles import PRICES, upsert
 
 LENGTHS = {"s": "second", "m": "minute", "h": "hour", "d": "day", "w": "week"}
 
@@ -31,46 +31,26 @@ def write_bars(bars: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return bars.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def candle_parts(ticks: DataFrame, symbol: str, time: str, price: str, tie: str) -> DataFrame:
-    """1-minute candles of some of a stream's ticks, with the order of their first and last tick, so that parts of a minute can be merged."""
-    order = F.struct(F.col(time).alias("time"), F.col(tie).alias("tie"))
-    ms = F.unix_millis(F.col(time).cast("timestamp"))
-    minute = (ms - F.pmod(ms, F.lit(60_000))).alias("timestamp")
-    return (
-        ticks.groupBy(F.col(symbol).alias("symbol"), minute)
-        .agg(F.min(order).alias("first"), F.max(order).alias("last"), F.min_by(price, order).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, order).alias("close"), F.count("*").cast("double").alias("volume"))
-        .withColumn("day", day_of(F.col("timestamp")))
-    )
-
+def candle_updates(ticks: DataFrame, symbol: str, time: str, price: str, tie: str, delay: str, exchange: str = "x", category: str = "spot") -> DataFrame:
+    """1-minute candles of a stream of ticks, for update mode: each batch gives the minutes that it changes, made of all their ticks so far.
 
-def merged_parts(parts: DataFrame, exchange: str = "x", category: str = "spot") -> DataFrame:
-    """Candles of whole minutes from candle_parts of disjoint ticks."""
-    return (
-        parts.groupBy("symbol", "timestamp")
-        .agg(F.min_by("open", "first").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "last").alias("close"), F.sum("volume").alias("volume"))
-        .select(F.lit(exchange).alias("exchange"), F.lit(category).alias("category"), "symbol", F.lit("1min").alias("interval"), "timestamp", *PRICES)
+    The state holds minutes and tick identities (symbol and tie) until the watermark, the greatest time less the delay, has passed them.
+    Ticks that are sent again within the delay count once; ticks older than the watermark are dropped.
+    """
+    timed = ticks.select(F.col(symbol).alias("symbol"), F.col(time).cast("timestamp").alias("_ts"), F.col(price).alias("_price"), F.col(tie).alias("_tie")).withWatermark("_ts", delay)
+    order = F.struct("_ts", "_tie")
+    bars = timed.dropDuplicatesWithinWatermark(["symbol", "_tie"]).groupBy("symbol", F.window("_ts", "1 minute").alias("w")).agg(
+        F.min_by("_price", order).alias("open"), F.max("_price").alias("high"), F.min("_price").alias("low"), F.max_by("_price", order).alias("close"), F.count("*").cast("double").alias("volume")
     )
+    return bars.select(F.lit(exchange).alias("exchange"), F.lit(category).alias("category"), "symbol", F.lit("1min").alias("interval"), F.unix_millis("w.start").alias("timestamp"), *PRICES)
 
 
-def upsert_stream(ticks: DataFrame, store: str, checkpoint: str, symbol: str, time: str, price: str, tie: str, exchange: str = "x", category: str = "spot") -> StreamingQuery:
-    """Upserts the 1-minute candles that each micro-batch touches, made of all ticks of the stream so far.
+def upsert_stream(ticks: DataFrame, store: str, checkpoint: str, symbol: str, time: str, price: str, tie: str, delay: str, exchange: str = "x", category: str = "spot") -> StreamingQuery:
+    """Upserts the 1-minute candles that each micro-batch changes.
 
-    Each batch's part of a minute is kept by day and batch under the checkpoint, and a batch's minutes are merged from
-    the parts of all batches. A batch that is run again replaces its own parts, so it gives the same store.
+    A candle is whole in every batch that changes it, so a batch that is run again gives the same store, and nothing
+    but the stream's own state is kept between batches.
     """
-    kept = f"{checkpoint.rstrip('/')}/candle_parts"
-
-    def batch(rows: DataFrame, number: int) -> None:
-        parts = candle_parts(rows, symbol, time, price, tie).withColumn("batch", F.lit(number).cast("long"))
-        parts.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(kept)
-        held = rows.sparkSession.read.schema(parts.schema).parquet(kept)
-        touched = held.where(F.col("batch") == number)
-        days = [r["day"] for r in touched.select("day").distinct().collect()]
-        if not days:
-            return
-        near = held.where(F.col("batch") <= number).where(F.col("day").isin([d for d in days if d is not None]) | F.col("day").isNull())
-        same = F.col("p.symbol").eqNullSafe(F.col("t.symbol")) & F.col("p.timestamp").eqNullSafe(F.col("t.timestamp"))
-        whole = near.alias("p").join(touched.select("symbol", "timestamp").alias("t"), same, "left_semi")
-        upsert(rows.sparkSession, store, merged_parts(whole, exchange, category).select(*KEYS, "timestamp", *PRICES))
-
-    return ticks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    updates = candle_updates(ticks, symbol, time, price, tie, delay, exchange, category)
+    batch = lambda rows, number: upsert(rows.sparkSession, store, rows)
+    return updates.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
