@@ -6,9 +6,9 @@ block only, so the number of differing blocks is at most the symmetric differenc
 than the largest symmetric difference that its threshold allows; hence linked sets agree in at least one
 block (pigeonhole), and joining on block values finds every link. A second sketch toggles one bit for each
 shingle; its Hamming distance bounds the symmetric difference from below and discards most false
-candidates before the sets themselves are compared. That bound says nothing of sets of many more shingles than bits; from LARGE
-shingles on, one bit of the least hash in each of 256 bins is compared too. Linked sets differ in such a bit with a chance of half of
-1 - similarity at most, and pairs beyond six deviations of that are left out: one linked pair in a billion.
+candidates before the sets themselves are compared. That bound says little of sets of many more shingles than bits, so sets from LARGE
+shingles on have a wide sketch too, of two to four bits a shingle: the same bound, so no linked pair is lost. Sketches are
+powers of two long, and the longer of two is folded to the shorter.
 
 Equal sets become one class. Within a block value's group, members are first compared with three leaders
 only; a second join compares what is still in different components, and only that, so a huge group of near
@@ -37,8 +37,8 @@ from barwright.llm.graph import linked_components, maybe_in
 BAND = 1.6
 #: Times that a set with many empty blocks is dealt into blocks anew.
 LEVELS = 4
-#: Words of 64 bits in the parity sketch, and in the sketch of least hashes that sets of LARGE shingles or more have too.
-SKETCH, LEAST, LARGE = 8, 4, 400
+#: Words of 64 bits in the parity sketch, and shingles from which a set has a wide one too.
+SKETCH, LARGE = 8, 400
 #: Rows whose keys a task holds at a time.
 ROWS = 500
 U64 = np.uint64
@@ -120,14 +120,13 @@ def parity(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def least_bits(tokens: np.ndarray) -> np.ndarray:
-    """A bit of the least hash in each bin; zeros for empty bins and small sets."""
-    bits = np.zeros(64 * LEAST, np.uint8)
-    if len(tokens) >= LARGE:
-        hashes = np.sort(mix(tokens, 9))
-        bins, first = np.unique(hashes >> U64(64 - (64 * LEAST - 1).bit_length()), return_index=True)
-        bits[bins.astype(np.int64)] = mix(hashes[first], 13) & U64(1)
-    return np.packbits(bits).view(np.int64)
+def wide_parity(tokens: np.ndarray) -> np.ndarray:
+    """parity() of a large set in two to four bits for each token, as a power of two of 64-bit words; empty for other sets."""
+    if len(tokens) < LARGE:
+        return np.zeros(0, np.int64)
+    bits = 1 << (2 * len(tokens) - 1).bit_length()
+    odd = np.bincount((mix(tokens, 9) & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 @lru_cache(maxsize=64)
@@ -136,7 +135,7 @@ def _remembered(text: str, n: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, n: int, percent: int, key: str, text: str) -> DataFrame:
-    """id, n_shingles, cls (hash of the set; null if empty), sketch, keys (empty where the task has given the class's keys before)."""
+    """id, n_shingles, cls (hash of the set; null if empty), sketch, wide, keys (the last two empty where the task has given the class's before)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
@@ -146,33 +145,57 @@ def sketches(docs: DataFrame, n: int, percent: int, key: str, text: str) -> Data
             for i, t in zip(batch["id"], batch["t"]):
                 tokens = shingles(t, n)
                 if not len(tokens):
-                    rows.append((i, 0, None, [], []))
+                    rows.append((i, 0, None, [], [], []))
                     continue
                 cls = class_of(tokens)
                 known = cls in seen
                 if len(seen) < 500_000:
                     seen.add(cls)
-                rows.append((i, len(tokens), cls, np.concatenate([parity(tokens), least_bits(tokens)]), [] if known else block_keys(tokens, percent)))
-            _, sizes, names, odd, keys = zip(*rows) if rows else ((),) * 5
+                rows.append((i, len(tokens), cls, parity(tokens), [] if known else wide_parity(tokens), [] if known else block_keys(tokens, percent)))
+            _, sizes, names, odd, wide, keys = zip(*rows) if rows else ((),) * 6
             # nullable integers: a null beside them must not turn hashes into floats
-            yield pd.DataFrame({"id": batch["id"].values, "n_shingles": sizes, "cls": pd.array(names, dtype="Int64"), "sketch": list(odd), "keys": list(keys)})
+            yield pd.DataFrame({"id": batch["id"].values, "n_shingles": sizes, "cls": pd.array(names, dtype="Int64"), "sketch": list(odd), "wide": list(wide), "keys": list(keys)})
 
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("t"))
-    return rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, n_shingles long, cls long, sketch array<long>, keys array<long>")
+    return rows.mapInPandas(run, f"id {dict(rows.dtypes)['id']}, n_shingles long, cls long, sketch array<long>, wide array<long>, keys array<long>")
+
+
+def _within(apart: F.Column, na: F.Column, nb: F.Column, percent: int) -> F.Column:
+    """Whether sets of these sizes that differ in at least `apart` shingles can be linked."""
+    return apart * (100 + percent) <= (na + nb) * (100 - percent)
 
 
 def _plausible(percent: int, a: str, b: str) -> F.Column:
     """Whether sizes and parity sketches allow a link: the distance bounds the symmetric difference from below."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
     apart = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(SKETCH)), F.lit(0))
-    bits, chance = 64 * LEAST, (100 - percent) / 200
-    most = bits * chance + 6 * (bits * chance * (1 - chance)) ** 0.5
-    differ = sum((F.bit_count(F.col(f"{a}.s{i}").bitwiseXOR(F.col(f"{b}.s{i}"))) for i in range(SKETCH, SKETCH + LEAST)), F.lit(0))
-    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (apart * (100 + percent) <= (na + nb) * (100 - percent)) & ((F.least(na, nb) < LARGE) | (differ <= most))
+    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & _within(apart, na, nb, percent)
+
+
+def _wide_apart(x: F.Column, y: F.Column) -> F.Column:
+    """Hamming distance of two wide sketches, the longer folded to the shorter."""
+    n = F.least(F.size(x), F.size(y))
+    # places are taken modulo the bits, so a fold adds up the words that are a power of two apart
+    folded = lambda s: F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.aggregate(F.sequence(i, F.size(s) - 1, n), F.lit(0).cast("long"), lambda a, j: a.bitwiseXOR(F.get(s, j))))
+    same = lambda s: F.when(F.size(s) == n, s).otherwise(folded(s))
+    return F.aggregate(F.zip_with(same(x), same(y), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda a, b: a + b)
+
+
+def _likely(pairs: DataFrame, classes: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) but those of large sets whose wide sketches are too far apart for a link."""
+    sized = pairs.join(classes.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a").join(classes.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b")
+    sized = cut(sized.select("a", "b", "na", "nb"))
+    large = sized.where(F.least("na", "nb") >= LARGE)
+    ends = large.select(F.col("a").alias("cls")).union(large.select("b"))
+    wide = maybe_in(heads.where("size(wide) > 0").select("cls", "wide"), "cls", ends).groupBy("cls").agg(F.any_value("wide").alias("wide"))
+    both = large.join(wide.toDF("b", "wb"), "b").join(wide.toDF("a", "wa"), "a")
+    near = both.where(_within(_wide_apart(F.col("wa"), F.col("wb")), F.col("na"), F.col("nb"), percent))
+    return sized.where(F.least("na", "nb") < LARGE).select("a", "b").union(near.select("a", "b"))
 
 
-def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int, key: str, text: str) -> DataFrame:
+def _links(pairs: DataFrame, classes: DataFrame, heads: DataFrame, docs: DataFrame, n: int, percent: int, key: str, text: str) -> DataFrame:
     """The pairs (a, b) of classes whose sets reach the threshold; each set is made from the text of a row of its class."""
+    pairs = _likely(pairs, classes, heads, percent)
     reps = classes.select("cls", "rep")
     named = cut(pairs.join(reps.toDF("a", "ra"), "a").join(reps.toDF("b", "rb"), "b"))
     ends = named.select(F.col("ra").alias(key)).union(named.select("rb"))
@@ -204,14 +227,14 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, key: str = "d
             heads.where("cls IS NOT NULL")
             .groupBy("cls")
             .agg(F.min("id").alias("rep"), F.min("n_shingles").alias("n"), F.any_value("sketch").alias("sketch"))
-            .select("cls", "rep", "n", *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH + LEAST)))
+            .select("cls", "rep", "n", *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH)))
             .where("rep IS NOT NULL")
         )
         joined = linked_components(
             heads.select(F.explode("keys").alias("key"), "cls"),
             classes,
             lambda a, b: _plausible(percent, a, b),
-            lambda pairs: _links(pairs, classes, docs, n, percent, key, text),
+            lambda pairs: _links(pairs, classes, heads, docs, n, percent, key, text),
         )
         named = joined.join(classes.select("cls", "rep"), "cls")
         least = named.groupBy("component").agg(F.min("rep").alias("component_id"))

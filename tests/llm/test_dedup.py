@@ -95,20 +95,42 @@ def test_sets_within_the_bound_share_a_key():
             assert keys[0] & keys[1], size
 
 
-def test_bits_of_least_hashes_follow_the_similarity():
-    rnd = np.random.default_rng(4)
-    for size in (400, 900, 5000):
-        for percent in (80, 85, 95):
-            apart = []
-            for _ in range(40):
-                pool = np.unique(rnd.integers(0, 1 << 63, 3 * size).astype(np.uint64))
-                both = size * 2 * percent // (100 + percent)
-                a, b = (np.sort(np.concatenate([pool[:both], pool[k : k + size - both]])) for k in (size, 2 * size))
-                x, y = ngram_join.least_bits(a), ngram_join.least_bits(b)
-                apart.append(sum(int(v).bit_count() for v in (x ^ y).view(np.uint64)))
-            chance = (100 - percent) / 200
-            assert np.mean(apart) < 256 * chance * 1.15 and max(apart) < 256 * chance + 6 * (256 * chance * (1 - chance)) ** 0.5
-    assert not ngram_join.least_bits(np.arange(399, dtype=np.uint64)).any()
+def test_wide_sketches_bound_the_difference_and_tell_others_apart(spark):
+    rnd, rows = np.random.default_rng(4), []
+    for size in (400, 511, 513, 1030, 5000, 40_000):
+        for percent in (30, 75, 85, 100):
+            pool = np.unique(rnd.integers(0, 1 << 63, 4 * size).astype(np.uint64))
+            both = size * 2 * percent // (100 + percent)
+            a, b = (np.sort(np.concatenate([pool[:both], pool[k : k + (size - both) * m // 8]])) for k, m in ((size, 8), (2 * size, 5)))
+            if min(len(a), len(b)) >= ngram_join.LARGE:
+                rows.append((percent, len(a), len(b), 2 * both, *([int(v) for v in ngram_join.wide_parity(x)] for x in (a, b))))
+    df = spark.createDataFrame(rows, "percent int, na long, nb long, common long, x array<long>, y array<long>")
+    got = df.withColumn("apart", ngram_join._wide_apart(F.col("x"), F.col("y"))).collect()
+    assert len({len(r["x"]) == len(r["y"]) for r in got}) == 2 and all(r["apart"] <= r["na"] + r["nb"] - r["common"] for r in got)
+    for r in got:  # linked sets stay, others of size go
+        assert r["percent"] != 100 or r["apart"] == 0
+        assert r["percent"] > 75 or 185 * r["apart"] > 15 * (r["na"] + r["nb"])
+    assert not len(ngram_join.wide_parity(np.arange(399, dtype=np.uint64)))
+
+
+def test_large_sets_link_exactly_at_the_threshold(spark):
+    """Texts of 1,000 to 2,000 shingles whose similarity is just at or just under the threshold."""
+    texts, want = [], []
+    for k, n in enumerate((997, 1200, 1999)):
+        for percent in (80, 85):
+            union = n
+            common = -(-union * percent // 100)
+            for short in (0, 1):
+                words = [f"g{k}p{percent}s{short}w{i}" for i in range(union + 3)]  # n + 3 words: n shingles of four
+                texts += [" ".join(words), " ".join(words[: common + 3 - short])]
+                want.append((percent, not short))
+    for percent in (80, 85):
+        own = [t for i, t in enumerate(texts) if want[i // 2][0] == percent]
+        docs = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string")
+        got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_groups(docs, 4, percent).collect()}
+        flags = [w for p, w in want if p == percent]
+        for j, linked in enumerate(flags):
+            assert got[2 * j] == 2 * j and (got[2 * j + 1] == 2 * j) == linked, (percent, j)
 
 
 def test_edit_distance():
