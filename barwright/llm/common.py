@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import gc
+import re
+import secrets
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,10 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir, else one in the warehouse."""
+    """The shared folder named in spark.checkpoint.dir; where it is unset, one in the warehouse of a session on one machine, on a cluster an error."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(where)
@@ -41,6 +45,24 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shared_secret(spark: SparkSession, name: str) -> str:
+    """A random secret kept under a name in the shared folder: made once, the same for all later jobs that use the folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir(spark).rstrip('/')}/barwright-secret-{name}")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        draft = spark._jvm.org.apache.hadoop.fs.Path(f"{at.toString()}.{uuid.uuid4().hex}")
+        out = fs.create(draft)
+        out.write(secrets.token_hex(32).encode())
+        out.close()
+        if not fs.rename(draft, at):
+            fs.delete(draft, False)  # another job was first
+    held = fs.open(at)
+    try:
+        return bytes(held.readAllBytes()).decode()
+    finally:
+        held.close()
+
+
 def release(spark: SparkSession) -> None:
     """Spark drops the shuffle files of finished plans when the driver collects its garbage; this asks it to, before more are written."""
     gc.collect()

@@ -4,8 +4,8 @@ E-mail names, card and account numbers, phone and social-security numbers, IPv4
 found by one pattern, validated by kind, and replaced by a keyed permutation of the values of the same format:
 digits stay digits, letters keep their case, punctuation, country codes, domains and lengths stay, and check
 digits are made anew. What is permuted is the value without its punctuation, blanks and case, which are put back, so
-equal values get equal pseudonyms in all documents however they are written, and different values different ones. The
-permutation depends on the key and the kind only. The key reaches the plan as "bw8:" and its SHA-256, which stands for it: set
+equal values get equal pseudonyms in all documents however they are written, and different values different ones: valid numbers are
+permuted among the valid ones, and the others among the others. The permutation depends on the key and the kind only. The key reaches the plan as "bw8:" and its SHA-256, which stands for it: set
 spark.sql.redaction.string.regex to bw8:[0-9a-f]{64} to keep it out of plans and event logs.
 
 A string is split in halves; in each of ROUNDS rounds one half is shifted, character by character within its
@@ -20,6 +20,7 @@ columns are kept, but one with the count's name is replaced.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -80,10 +81,20 @@ def _digits(body: str) -> str:
     return _refit(_bound("regexp_replace(m, '[^0-9]', '')", "d", body))
 
 
+def _walked(s: str, kind: str, key: str, good: Callable[[str], str], most: int) -> str:
+    """SQL that walks the permutation's cycle until a good value comes, so good values are permuted among themselves.
+
+    Each step is good with the share that good ones have of all; after `most` steps the value itself is
+    taken, which is good: a chance of 1 in 10 ** 35 or less, so the walk's end isn't met in practice.
+    """
+    step = f"IF(a.k > 0 AND {good('a.s')}, a, named_struct('s', {permuted('a.s', kind, key)}, 'k', a.k + 1))"
+    return f"aggregate(sequence(1, {most}), named_struct('s', {s}, 'k', 0), (a, w) -> {step}, a -> IF({good('a.s')}, a.s, {s}))"
+
+
 def _card(key: str) -> str:
     plain = "concat(b, CAST(element_at(filter(sequence(0, 9), k -> luhn_check(concat(b, k))), 1) AS STRING))"
     checked = _bound(permuted("substring(d, 1, length(d) - 1)", "card", key), "b", plain)
-    return _digits(f"IF(luhn_check(d), {checked}, {permuted('d', 'number', key)})")
+    return _digits(f"IF(luhn_check(d), {checked}, {_walked('d', 'number', key, lambda s: f'NOT luhn_check({s})', 40)})")
 
 
 def _remainder(s: str) -> str:
@@ -100,9 +111,8 @@ def _iban(key: str) -> str:
 
 def _social(key: str) -> str:
     valid = lambda s: f"NOT {s} RLIKE r'^(000|666|9)|^...00|0000$'"
-    # walk the permutation's cycle until a valid number comes; one in seven isn't
-    walked = f"aggregate(sequence(1, 48), {permuted('d', 'social', key)}, (s, k) -> IF({valid('s')}, s, {permuted('s', 'social', key)}))"
-    return _digits(f"IF({valid('d')}, {walked}, {permuted('d', 'number', key)})")
+    # one number in nine isn't valid
+    return _digits(f"IF({valid('d')}, {_walked('d', 'social', key, valid, 48)}, {_walked('d', 'social', key, lambda s: f'NOT ({valid(s)})', 700)})")
 
 
 def _phone(key: str) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barwright.llm import bpe_codec, decontamination, embedding_dedup, licences, line_dedup, mixing, ngram_join, periodic_runs, phrases, pii, prefix_counts, quality, toxicity
-from barwright.llm.common import table
+from barwright.llm.common import shared_secret, table
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,8 +45,8 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The key is that of spark.barwright.pii.key; without it, one that is no secret and for tests only."""
-    key = spark.conf.get("spark.barwright.pii.key", "for tests only")
+    """The key is that of spark.barwright.pii.key; without it, a random one that is kept in the shared folder."""
+    key = spark.conf.get("spark.barwright.pii.key", None) or shared_secret(spark, "pii")
     return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), key)
 
 
