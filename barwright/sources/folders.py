@@ -7,6 +7,7 @@ cut short is finished by the next one (or by recover()) if it was ready, else it
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -32,10 +33,12 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; an error where it is unset, as other folders may be local to a machine."""
+    """The shared folder of spark.checkpoint.dir. Where it is unset, the warehouse of a session on one machine; on a cluster an error, as that may be local to a machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir")
     return root.rstrip("/")
 
 

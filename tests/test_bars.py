@@ -362,7 +362,7 @@ def test_stream_upsert_merges_a_minute_split_over_batches(spark, tmp_path):
 
     assert run() == want
     commits = sorted(p.name for p in (tmp_path / "mark/commits").iterdir() if p.name.isdigit())
-    assert len(commits) == 3
+    assert len(commits) in (3, 4)  # a last batch without rows may move the watermark
     for name in (commits[-1], f".{commits[-1]}.crc"):  # as if the run had ended before the last commit: the batch runs again
         (tmp_path / "mark/commits" / name).unlink()
     assert run() == want

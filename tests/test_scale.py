@@ -207,9 +207,13 @@ def test_upsert_leaves_nothing_in_the_scratch_folder(spark):
     assert len(folders._children(fs, at)) == before and cs.scan(spark, path).count() == 11
 
 
-def test_scratch_needs_a_shared_folder():
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        folders.scratch_root(SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: default)))
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    values = {"spark.sql.warehouse.dir": "/w/"}
+    session = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda name, *default: values.get(name, *default)), sparkContext=SimpleNamespace(master=master))
+    assert folders.scratch_root(session("local[4]")) == "/w"
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            folders.scratch_root(session(master))
 
 
 def test_stream_drops_ticks_sent_again_and_its_state_is_bounded(spark, tmp_path):
