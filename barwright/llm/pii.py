@@ -103,10 +103,13 @@ def _remainder(s: str) -> str:
 
 
 def _iban(key: str) -> str:
-    rest = "substring(x, 5, length(x))"
-    made = _bound(permuted(rest, "iban", key), "b", f"concat(substring(x, 1, 2), lpad(CAST(98 - {_remainder('concat(b, substring(x, 1, 2), ' + chr(39) + '00' + chr(39) + ')')} AS STRING), 2, '0'), b)")
+    rest, country = "substring(x, 5, length(x))", "substring(x, 1, 2)"
+    check = lambda s: f"lpad(CAST(98 - {_remainder(f'concat({s}, {country}, {chr(39)}00{chr(39)})')} AS STRING), 2, '0')"
     valid = f"{_remainder('concat(' + rest + ', substring(x, 1, 4))')} = 1"
-    return _refit(_bound("replace(m, ' ', '')", "x", f"IF({valid}, {made}, concat(substring(x, 1, 4), {permuted(rest, 'iban', key)}))"), "A-Z0-9")
+    # wrong check digits stay, unless they are right for the new number: then they become those that the old one should have
+    wrong = f"IF(substring(x, 3, 2) = k, {check(rest)}, substring(x, 3, 2))"
+    made = _bound(permuted(rest, "iban", key), "b", _bound(check("b"), "k", f"concat({country}, IF({valid}, k, {wrong}), b)"))
+    return _refit(_bound("replace(m, ' ', '')", "x", made), "A-Z0-9")
 
 
 def _social(key: str) -> str:

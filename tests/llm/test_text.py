@@ -256,6 +256,25 @@ def test_pseudonyms_are_valid_and_distinct(spark):
     assert spark.range(10000).selectExpr(f"{pii.permuted('format_string(' + chr(39) + '%04d' + chr(39) + ', id)', 't', 'k')} p").distinct().count() == 10000
 
 
+def test_pseudonyms_of_numbers_that_are_not_valid_stay_apart(spark):
+    def valid_social(s):
+        return not re.match(r"000|666|9", s) and s[4:6] != "00" and s[7:] != "0000"
+
+    socials = [f"{a:03d}-{b:02d}-{c:04d}" for a in (0, 1, 665, 666, 899, 900, 999) for b in (0, 1, 57) for c in (0, 1, 2024)] + [f"{a:03d}-12-3456" for a in range(1000)]
+    got = pii.pseudonymised(spark.createDataFrame([(x, x) for x in socials], "raw string, text string"), "k").collect()
+    assert len({r["text"] for r in got}) == len(set(socials)) and all(valid_social(r["raw"]) == valid_social(r["text"]) for r in got)
+    cards = [str(4000000000000000 + 7 * i) for i in range(1500)]
+    got = pii.pseudonymised(spark.createDataFrame([(x, x) for x in cards], "raw string, text string"), "k")
+    assert got.select("text").distinct().count() == 1500 and got.where("luhn_check(raw) <> luhn_check(text)").count() == 0
+    accounts = [f"DE{c:02d}{b:018d}" for c in range(100) for b in (370400440532013000, 5, 123456789)]
+    got = pii.pseudonymised(spark.createDataFrame([(x,) for x in accounts], "text string"), "k")
+    assert got.select("text").distinct().count() == 300 and got.where("text RLIKE '^DE[0-9]{20}$'").count() == 300
+
+
+def test_secret_is_made_once(spark):
+    assert len(common.shared_secret(spark, "test")) == 64 and common.shared_secret(spark, "test") == common.shared_secret(spark, "test") != common.shared_secret(spark, "other")
+
+
 def test_pseudonyms_leave_the_rest(spark):
     rows = [("version 2.0 of 1984",), ("",), (None,), ("bad 2024-99-99 and 300.1.2.3",)]
     got = pii.pseudonymised(spark.createDataFrame(rows, "text string").withColumn("m", F.lit(1)), "k")
