@@ -11,8 +11,8 @@ verified by their exact edit distance. recall() estimates the chance of a candid
 
 Items are taken in blocks of a bounded number of characters, each against all documents.
 
-Items shorter than MIN_CHARS after normalisation would be found by chance within edits or inside words: they are
-searched for as they are, between word ends.
+Items shorter than `shortest` after normalisation would be found by chance within edits or inside words: they are
+searched for as they are, between word ends. An item of n characters takes 64 n bytes and some 10 n microseconds to embed.
 
 Edge cases: null and empty texts match nothing; null or empty items are not searched for; equal items each match; a document that holds an item several times gives
 one row with the least edits; rows with the same key are taken together; a null key is kept; extra columns are ignored.
@@ -40,6 +40,8 @@ PERCENT = 10
 MIN_CHARS = 24
 #: Pieces of an item that must be there unedited.
 WHOLE = 5
+#: Steps after which a walk's random bits come again; characters that are embedded at a time, which take 64 bytes each, and of windows that are held for it.
+CYCLE, CELLS, HELD = 8192, 400_000, 4_000_000
 #: Characters of the items in one block: what one task holds in memory is a few times as much.
 BLOCK_CHARS = 4_000_000
 
@@ -50,7 +52,7 @@ def normalised(text: str | None) -> str:
 
 @lru_cache(maxsize=4)
 def _walks(steps: int) -> np.ndarray:
-    """Random bits for (walk, step, character modulo 256)."""
+    """Random bits for (walk, step, character modulo 256); from CYCLE steps on they come again."""
     return np.random.default_rng(7).integers(0, 2, (steps, WALKS, 256), dtype=np.uint8).transpose(1, 0, 2)
 
 
@@ -67,19 +69,19 @@ def embedded_hashes(codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     rows, width = codes.shape
     padded = np.concatenate([codes, np.zeros((rows, 1), codes.dtype)], axis=1)
     steps = int(2 * sizes.max())
-    bits = _walks(1 << max(10, (steps - 1).bit_length()))
+    bits = _walks(min(CYCLE, 1 << max(10, (steps - 1).bit_length())))
     out = np.zeros((rows, WALKS, SAMPLES), np.uint64)
-    at = np.arange(rows)
+    at, walk, last = np.arange(rows), np.arange(WALKS)[:, None], np.minimum(sizes, width)
     wanted = (_places()[None] * (2 * sizes)[:, None, None, None]).astype(np.int64)
-    for walk in range(WALKS):
-        i, seen = np.zeros(rows, np.int64), np.empty((rows, steps), codes.dtype)
-        for step in range(steps):
-            c = padded[at, i]
-            seen[:, step] = c
-            i = np.minimum(i + bits[walk, step][c & 255], np.minimum(sizes, width))
-        got = np.take_along_axis(seen[:, None, :], wanted[:, walk].reshape(rows, 1, -1), axis=2).reshape(rows, SAMPLES, PLACES)
+    i, seen = np.zeros((WALKS, rows), np.int64), np.empty((WALKS, rows, steps), codes.dtype)
+    for step in range(steps):
+        c = padded[at, i]
+        seen[:, :, step] = c
+        i = np.minimum(i + bits[:, step % bits.shape[1]][walk, c & 255], last)
+    for k in range(WALKS):
+        got = np.take_along_axis(seen[k][:, None, :], wanted[:, k].reshape(rows, 1, -1), axis=2).reshape(rows, SAMPLES, PLACES)
         for p in range(PLACES):
-            out[:, walk] = out[:, walk] * np.uint64(1_000_003) + got[:, :, p].astype(np.uint64) + np.uint64(1)
+            out[:, k] = out[:, k] * np.uint64(1_000_003) + got[:, :, p].astype(np.uint64) + np.uint64(1)
     tables = np.arange(WALKS * SAMPLES, dtype=np.uint64)
     return out.reshape(rows, -1) * np.uint64(WALKS * SAMPLES) + tables
 
@@ -91,14 +93,26 @@ def _codes(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw, np.uint32).reshape(len(strings), width), sizes
 
 
+def hashes_of(strings: list[str]) -> np.ndarray:
+    """embedded_hashes() of strings of any lengths: those of like length together, at most CELLS characters with their padding at a time."""
+    out = np.zeros((len(strings), WALKS * SAMPLES), np.uint64)
+    order = sorted(range(len(strings)), key=lambda k: len(strings[k]))
+    first = 0
+    for k in range(1, len(order) + 1):
+        if k == len(order) or (k + 1 - first) * len(strings[order[k]]) > CELLS:
+            out[order[first:k]] = embedded_hashes(*_codes([strings[x] for x in order[first:k]]))
+            first = k
+    return out
+
+
 class Index:
     """Pieces and hashes of one block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], percent: int):
-        self.items, self.percent = items, percent
+    def __init__(self, items: list[tuple[int, str]], percent: int, shortest: int = MIN_CHARS):
+        self.items, self.percent, self.shortest = items, percent, shortest
         self.pieces, self.short = ahocorasick.Automaton(), ahocorasick.Automaton()
         for n, (_, text) in enumerate(items):
-            if len(text) < MIN_CHARS:
+            if len(text) < shortest:
                 self.short.get(text, None) is None and self.short.add_word(text, (len(text), []))
                 self.short.get(text)[1].append(n)
                 continue
@@ -111,8 +125,8 @@ class Index:
         self.short.make_automaton()
         self.table: dict[tuple[int, int], list[int]] = {}
         for at in range(0, len(items), 256):
-            part = [(n, items[n][1]) for n in range(at, min(at + 256, len(items))) if len(items[n][1]) >= MIN_CHARS]
-            for (n, t), hashes in zip(part, embedded_hashes(*_codes([t for _, t in part])) if part else ()):
+            part = [(n, items[n][1]) for n in range(at, min(at + 256, len(items))) if len(items[n][1]) >= shortest]
+            for (n, t), hashes in zip(part, hashes_of([t for _, t in part])):
                 for h in hashes.tolist():
                     self.table.setdefault((len(t), h), []).append(n)
 
@@ -147,6 +161,18 @@ class Index:
                     out.update((k, size) for k in starts if k + size <= len(text) + slack)
         return out
 
+    def _parts(self, windows: list[tuple[int, int, int]]) -> Iterator[list[tuple[int, int, int]]]:
+        """Windows in parts of about HELD characters."""
+        part, size = [], 0
+        for w in windows:
+            part.append(w)
+            size += w[2]
+            if size >= HELD:
+                yield part
+                part, size = [], 0
+        if part:
+            yield part
+
     def matches(self, texts: list[str]) -> list[tuple[int, int, int]]:
         """(text's place, item's place, least edits) for the items found in normalised texts."""
         windows = sorted((k, *w) for k, t in enumerate(texts) for w in self.windows(t))
@@ -157,9 +183,8 @@ class Index:
                 inside = first > 0 and t[first - 1].isalnum() and t[first].isalnum() or t[last].isalnum() and t[last + 1 : last + 2].isalnum()
                 if not inside:
                     best.update(((k, n), 0) for n in found)
-        for at in range(0, len(windows), 2048):
-            part = windows[at : at + 2048]
-            hashes = embedded_hashes(*_codes([texts[k][s : s + n].ljust(n, "\0") for k, s, n in part]))
+        for part in self._parts(windows):
+            hashes = hashes_of([texts[k][s : s + n].ljust(n, "\0") for k, s, n in part])
             for (k, start, size), row in zip(part, hashes.tolist()):
                 for n in {n for h in row for n in self.table.get((size, h), ())}:
                     slack = self.edits(self.items[n][1])
@@ -179,8 +204,8 @@ def _all(text: str, what: str, low: int, high: int) -> Iterator[int]:
 
 
 @lru_cache(maxsize=2)
-def _index(items: tuple, percent: int) -> Index:
-    return Index(list(items), percent)
+def _index(items: tuple, percent: int, shortest: int) -> Index:
+    return Index(list(items), percent, shortest)
 
 
 def recall(items: list[str], percent: int = PERCENT, trials: int = 5, seed: int = 1) -> float:
@@ -215,8 +240,8 @@ def blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[int, st
             yield found
 
 
-def leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(key, item_key, edits, similarity): every item that a document holds within percent edits per hundred characters."""
+def leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", shortest: int = MIN_CHARS) -> DataFrame:
+    """(key, item_key, edits, similarity): every item that a document holds within percent edits per hundred characters; items under `shortest` characters between word ends and without edits."""
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t IS NOT NULL")
     kinds = dict(rows.dtypes)["k"], dict(items.dtypes)[item_key]
     spark, found = docs.sparkSession, None
@@ -224,7 +249,7 @@ def leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT, key: str =
         shared = spark.sparkContext.broadcast(tuple(block))  # at most about BLOCK_CHARS characters
 
         def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = _index(shared.value, percent)
+            index = _index(shared.value, percent, shortest)
             for batch in batches:
                 out = index.matches([normalised(t) for t in batch["t"]])
                 at = [o[0] for o in out]

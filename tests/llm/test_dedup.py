@@ -95,6 +95,23 @@ def test_sets_within_the_bound_share_a_key():
             assert keys[0] & keys[1], size
 
 
+def test_long_items_are_found_in_bounded_memory(spark):
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(2, 9))) for _ in range(400)]
+    text = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    items = [text(12) for _ in range(60)] + [text(3000)]
+    edited = list(items[-1])
+    for k in range(40, len(edited), 90):
+        edited[k] = "z"
+    docs = spark.createDataFrame([(1, text(50) + " " + "".join(edited) + " " + text(50)), (2, text(4000)), (3, text(5) + " " + items[3])], "doc_id long, text string")
+    got = decontamination.leaks(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), percent=2)
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(1, 60), (3, 3)}
+    whole = decontamination.hashes_of(items)
+    assert all((whole[k] == decontamination.hashes_of([t])[0]).all() for k, t in enumerate(items))
+    short = decontamination.leaks(docs, spark.createDataFrame([(7, items[3])], "item_id long, text string"), shortest=10_000)
+    assert [(r["doc_id"], r["edits"]) for r in short.collect()] == [(3, 0)]
+
+
 def test_wide_sketches_bound_the_difference_and_tell_others_apart(spark):
     rnd, rows = np.random.default_rng(4), []
     for size in (400, 511, 513, 1030, 5000, 40_000):
