@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from barwright.functions.interval import Interval
 from barwright.operators.chunks import last_rows
 from barwright.operators.resample import resample
-from barwright.sources.candles import KEYS, PRICES, SCHEMA, day_of, stored_days
+from barwright.sources.candles import KEYS, PRICES, day_of, opened, stored_days
 from barwright.sources.folders import settled
 
 # Bars without a limit, and bars by which a derived window is longer.
@@ -77,7 +77,7 @@ def load_stored(spark: SparkSession, path: str, requests: DataFrame, bounds: Dat
     low, high, n, limits = wanted.agg(F.min("day"), F.max("day"), F.count("*"), F.count("row_limit")).first()  # one row
     inside = F.col("day").between(F.lit(low or NO_DAY), F.lit(high or NO_DAY))
     wanted = wanted.where(inside)
-    held = spark.read.schema(f"{SCHEMA}, day date").parquet(path).where(inside)
+    held = opened(spark, path).where(inside)
     bars = held.join(F.broadcast(wanted) if n <= FEW_DAYS else wanted, [*KEYS, "day"]).where("timestamp BETWEEN start_ms AND end_ms")  # FEW_DAYS rows at most
     return _answered(bars.select(*each, *KEYS, "timestamp", *PRICES), each, interval, limits > 0)
 
@@ -91,7 +91,7 @@ def latest_stored(spark: SparkSession, path: str, n: int) -> DataFrame:
     low, high, days = needed.agg(F.min("day"), F.max("day"), F.count("*")).first()  # one row
     inside = F.col("day").between(F.lit(low or NO_DAY), F.lit(high or NO_DAY))
     needed = needed.where(inside)
-    held = spark.read.schema(f"{SCHEMA}, day date").parquet(path).where(inside).join(F.broadcast(needed) if days <= FEW_DAYS else needed, [*KEYS, "day"])  # FEW_DAYS rows at most
+    held = opened(spark, path).where(inside).join(F.broadcast(needed) if days <= FEW_DAYS else needed, [*KEYS, "day"])  # FEW_DAYS rows at most
     place = F.row_number().over(Window.partitionBy(*KEYS, "day").orderBy(F.desc("timestamp")))
     return held.withColumn("_place", place).where("_place <= _quota").select(*KEYS, "timestamp", *PRICES)
 

@@ -34,6 +34,22 @@ def in_memory(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, SCHEMA)
 
 
+class NoStore(LookupError):
+    """There is no store, or no such series in it."""
+
+
+def opened(spark: SparkSession, path: str, keys: dict[str, str] | None = None) -> DataFrame:
+    """Stored candles with their day, of the series given by keys; NoStore if there is no folder, or none of the series named by all keys."""
+    series = "/".join(f"{k}={(keys or {})[k]}" for k in KEYS) if keys and all(keys.get(k) is not None for k in KEYS) else ""
+    for place in (path, f"{path.rstrip('/')}/{series}"):
+        if not folders.exists(spark, place):
+            raise NoStore(f"nothing is stored at {place}")
+    df = spark.read.schema(f"{SCHEMA}, day date").parquet(path)
+    for k, v in (keys or {}).items():
+        df = df.where(F.col(k) == v)
+    return df
+
+
 def time_filter(df: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
     """Both ends inclusive, either may be open."""
     if start is not None:
@@ -56,10 +72,11 @@ def write(candles: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def scan(spark: SparkSession, path: str, keys: dict[str, str] | None = None, start: int | None = None, end: int | None = None) -> DataFrame:
-    """Stored candles of the series given by keys (all if none), with day folders pruned to the range and a day around it."""
-    df = spark.read.schema(f"{SCHEMA}, day date").parquet(path)
-    for k, v in (keys or {}).items():
-        df = df.where(F.col(k) == v)
+    """Stored candles of the series given by keys (all if none), with day folders pruned to the range and a day around it.
+
+    A range without candles gives none; without a store, or the series that all keys name, NoStore is raised.
+    """
+    df = opened(spark, path, keys)
     low, high = (start, end) if start is None or end is None or start <= end else (end, start)
     if low is not None:
         df = df.where(F.col("day") >= F.date_sub(day_of(F.lit(low)), 1))
@@ -83,13 +100,14 @@ def stored_days(spark: SparkSession, path: str) -> DataFrame:
     own = spark.newSession()
     for name, value in (("spark.sql.sources.useV1SourceList", ""), ("spark.sql.parquet.aggregatePushdown", "true"), ("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))):
         own.conf.set(name, value)
+    opened(spark, path)
     held = own.read.schema(f"{SCHEMA}, day date").parquet(path)
     return held.groupBy(*KEYS, "day").agg(F.min("timestamp").alias("from"), F.max("timestamp").alias("to"), F.count("*").alias("record_count"))
 
 
 def partitions(spark: SparkSession, path: str, days: DataFrame, low: object, high: object) -> DataFrame:
     """Stored candles, with their day, of the (keys, day) in days, between two dates; other folders aren't read where days are few enough to be broadcast."""
-    held = spark.read.schema(f"{SCHEMA}, day date").parquet(path)
+    held = opened(spark, path)
     inside = F.col("day").between(F.lit(low), F.lit(high))
     return held.where(inside).join(days.where(inside), [*KEYS, "day"], "left_semi")
 

@@ -152,6 +152,22 @@ def test_study_of_a_store_reads_prices_once(spark, store):
         assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str) and got.count() == n
 
 
+def test_what_is_not_stored_is_a_stated_error(spark, store):
+    keys = dict(zip(cs.KEYS, KEY))
+    assert cs.scan(spark, store, keys, 0, 9 * MIN).count() == 10
+    none = cs.scan(spark, store, keys, 300 * cs.DAY_MS, 301 * cs.DAY_MS)
+    assert none.count() == 0 and none.columns == [*cs.KEYS, "timestamp", *cs.PRICES]
+    for call in (
+        lambda: cs.scan(spark, f"{store}-gone"),
+        lambda: cs.scan(spark, store, keys | {"symbol": "NONE"}),
+        lambda: catalog.of_store(spark, f"{store}-gone"),
+        lambda: windows.latest_stored(spark, f"{store}-gone", 3),
+        lambda: cs.upsert(spark, f"{store}-gone", cs.in_memory(spark, ramp(1, 0))),
+    ):
+        with pytest.raises(cs.NoStore, match="nothing is stored at"):
+            call()
+
+
 def test_upsert_reads_two_days_of_series_years_apart(spark, store):
     fresh = cs.in_memory(spark, ramp(1, 0) + ramp(1, 365 * cs.DAY_MS, "ETHUSDT"))
     days = fresh.select(*cs.KEYS, cs.day_of(F.col("timestamp")).alias("day"))
