@@ -198,22 +198,20 @@ def edges(texts: DataFrame, words: np.ndarray, pairs: np.ndarray, triples: np.nd
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, two, three = shared.value
-        counts: dict[str, Counter] = {}
         for lang, own, codes in _coded(batches, table):
             pair, triple = (held_in(bits, at) for bits, at in zip((two, three), _slots(codes, 8 * len(two))))
             on = np.concatenate([[False], pair[:-1] & pair[1:] & triple, [False]])[: len(pair) + 1]  # the pair goes on from the one before
             first, last = np.flatnonzero(pair & ~on[: len(pair)]), np.flatnonzero(pair & ~on[1:])
-            short = first[first == last]
-            held = counts.setdefault(lang, Counter())
-            held.update([own[i] + b" " + own[i + 1] for i in short.tolist()])
+            held = Counter([own[i] + b" " + own[i + 1] for i in first[first == last].tolist()])
             for a, b in zip(first[first < last].tolist(), (last[first < last] + 2).tolist()):  # words a to b - 1
                 held.update([b" ".join(own[i : i + LONGEST]) for i in range(a, b - LONGEST + 1)])
                 held[b" ".join(own[max(a, b - LONGEST + 1) : b])] += 1
-            if sum(map(len, counts.values())) > HELD:
-                yield from _counted(counts)
-        yield from _counted(counts)
+            if held:
+                yield pd.DataFrame({"lang": [lang], "phrases": [[k.decode() for k in held]], "counts": [list(held.values())]})
 
-    return texts.mapInPandas(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+    parts = texts.mapInPandas(run, "lang string, phrases array<string>, counts array<long>")  # a row for about PART characters
+    each = parts.select("lang", F.explode(F.arrays_zip("phrases", "counts")).alias("x"))
+    return each.groupBy("lang", F.col("x.phrases").alias("phrase")).agg(F.sum("x.counts").alias("n"))
 
 
 def length(phrase: Column) -> Column:
