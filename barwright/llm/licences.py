@@ -1,10 +1,11 @@
 """Licence scan: sparse TF-IDF cosine of header lines and licence files to templates, then inheritance by path.
 
 Units of a text are its lines and header blocks that hold a cue, a word that licence texts are made of, and the whole
-text of a file with a licence file's name. A header block is a run of two or more neighbouring lines, without their comment marks,
+text of a file with a licence file's name; so is its beginning, the first three lines that aren't blank, as licence texts begin with their title. A header block is a run of two or more neighbouring lines, without their comment marks,
 of at most WRAP characters each. Every unit is compared with all statements, identifiers and licence texts known; a token's weight
 comes from the number of distinct units and templates that hold it. A file's own licence is that of its best unit, if the
-cosine reaches THRESHOLD; "all rights reserved" alone names none. A file with a licence file's name, or whose words are mostly licence lines, licenses its
+cosine reaches THRESHOLD; a unit that gives version numbers isn't compared with licences of other versions. "All rights reserved" without any
+other licence is PROPRIETARY, which stops inheritance. A file with a licence file's name, or whose words are mostly licence lines, licenses its
 directory; files without a licence of their own take that of the nearest directory above them that has one.
 
 Edge cases: null and empty texts have no licence of their own and may inherit; a null path is the root directory;
@@ -20,7 +21,7 @@ from barwright.llm.common import cut
 
 THRESHOLD = 0.6
 #: Every template holds one of these.
-CUE = r"(?i)licen[sc]e|copyright|spdx|public domain|all rights reserved|redistribut|permission|unencumbered|\bCC[ -]BY|\bCC0"
+CUE = r"(?i)licen[sc]e|copyright|spdx|public domain|all rights reserved|redistribut|permission|unencumbered|\b[AL]?GPL|\bCC[ -]BY|\bCC0"
 #: Longest line of a wrapped header.
 WRAP = 100
 #: Short statements by which files name their licence.
@@ -63,7 +64,36 @@ STYLES = (
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
     ("MIT", "Use of this source code is governed by an MIT-style license that can be found in the LICENSE file."),
 )
-KNOWN = (*TEMPLATES, *IDENTIFIERS, *STYLES, *HEADERS)
+#: Titles of licence texts, and further ways to name licences.
+TITLES = (
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("GPL-1.0", "GNU General Public License Version 1, February 1989"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU Lesser General Public License Version 2.1, February 1999"),
+    ("LGPL-2.0", "GNU Library General Public License Version 2, June 1991"),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("GFDL-1.3", "GNU Free Documentation License Version 1.3, 3 November 2008"),
+    ("GFDL-1.2", "GNU Free Documentation License Version 1.2, November 2002"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-1.1", "Mozilla Public License Version 1.1"),
+    ("Artistic-1.0", "The Artistic License Preamble"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("MIT", "The MIT License (MIT)"),
+    ("ISC", "ISC License"),
+    ("GPL-3.0", "Distributed under the terms of the GNU GPL v3"),
+    ("GPL-2.0", "Distributed under the terms of the GNU GPL v2"),
+    ("LGPL-2.1", GNU.format("Lesser General Public License", "2.1")),
+    ("LGPL-2.1", "This library is licensed under the GNU Lesser General Public License, version 2.1"),
+    ("Apache-2.0 OR MIT", "Dual licensed under MIT or Apache-2.0"),
+    ("Apache-2.0 OR MIT", "Licensed under either of the Apache License, Version 2.0 or the MIT license at your option"),
+)
+KNOWN = (*TEMPLATES, *IDENTIFIERS, *STYLES, *HEADERS, *TITLES)
+#: The name of what isn't licensed to others, and the words for it.
+PROPRIETARY, RESERVED = "LicenseRef-Proprietary", r"(?i)all rights reserved"
+#: Version numbers of licences in lower-cased texts.
+VERSION = r"(?:version|\bv\.?|licen[sc]e,?|gpl|mpl|apache|cc0|attribution|\bby|-nc|-sa)[ ,-]*v?\.?([0-9]{1,2}(?:\.[0-9]{1,2})?)(?![0-9])"
 MARKS = r"(?m)^[\s/*#;%!<>|-]+|[ \t\r*/>-]+$"
 FILE = r"(?i)(^|/)(licen[sc]e|copying|unlicense)(\.[a-z]+)?$"
 
@@ -82,7 +112,13 @@ def _blocks(text: Column, path: Column) -> Column:
     wrapped = F.transform(plain, lambda x: F.when(F.length(x) <= WRAP, x).otherwise(""))
     blocks = F.filter(F.transform(F.split(F.array_join(wrapped, "\n"), r"\n{2,}"), lambda x: F.trim(x)), lambda x: x.rlike(CUE) & x.contains("\n"))
     whole = F.when(path.rlike(FILE), F.array(F.array_join(plain, "\n"))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.transform(F.concat(blocks, whole), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))))
+    title = F.filter(F.array(F.array_join(F.slice(F.filter(plain, lambda x: x != ""), 1, 3), " ")), lambda x: x.rlike(CUE))
+    return F.array_distinct(F.transform(F.concat(blocks, whole, title), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))))
+
+
+def _versions(line: Column) -> Column:
+    """Version numbers that a text gives, with a point."""
+    return F.transform(F.regexp_extract_all(F.lower(line), F.lit(VERSION), F.lit(1)), lambda v: F.when(v.contains("."), v).otherwise(F.concat(v, F.lit(".0"))))
 
 
 def line_matches(lines: DataFrame, known_lines: tuple = TEMPLATES) -> DataFrame:
@@ -103,6 +139,8 @@ def line_matches(lines: DataFrame, known_lines: tuple = TEMPLATES) -> DataFrame:
 
     known = F.broadcast(cut(unit(weighted(templates, "k", "licence"), "k", "licence")).withColumnRenamed("w", "v"))  # fixed: some 1,000 rows
     shared = unit(weighted(units, "u"), "u").join(known, "token").groupBy("u", "k", "licence").agg(F.sum(F.col("w") * F.col("v")).alias("cosine"))
+    named = F.regexp_extract("licence", r"-([0-9]+\.[0-9]+)$", 1)
+    shared = shared.join(units.select("u", _versions(F.col("line")).alias("versions")), "u").where((named == "") | (F.size("versions") == 0) | F.array_contains("versions", named))
     best = shared.groupBy("u").agg(F.min(F.struct((-F.round("cosine", 9)).alias("c"), "licence")).alias("best"))
     return best.join(units, "u").select("line", "best.licence", (-F.col("best.c")).alias("cosine"))
 
@@ -112,7 +150,7 @@ def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str =
     rows = files.select(F.col(key).alias("k"), F.coalesce(path, F.lit("")).alias("path"), F.col(text).alias("t"))
     cued = F.when(F.col("t").rlike(CUE), F.filter(F.transform(F.split("t", "\n", -1), F.trim), lambda x: x.rlike(CUE))).otherwise(F.array().cast("array<string>"))
     words = F.size(F.filter(F.split("t", r"\s+"), lambda w: w != ""))
-    held = cut(rows.where(F.col("t").rlike(CUE)).select("k", "path", F.array_distinct(cued).alias("lines"), _blocks(F.col("t"), F.col("path")).alias("blocks"), words.alias("words")).distinct())
+    held = cut(rows.where(F.col("t").rlike(CUE)).select("k", "path", F.array_distinct(cued).alias("lines"), _blocks(F.col("t"), F.col("path")).alias("blocks"), words.alias("words"), F.col("t").rlike(RESERVED).alias("reserved")).distinct())
     every = held.select(F.explode(F.concat("lines", "blocks")).alias("line"))
     sized = cut(line_matches(every, KNOWN).where(F.col("cosine") >= threshold).withColumn("own", F.size(F.split("line", r"\s+"))))
     by_line = held.select("k", "path", "words", F.explode("lines").alias("line")).join(sized, "line").withColumn("kind", F.lit(0))
@@ -121,6 +159,9 @@ def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str =
     found = by_line.unionByName(by_block).groupBy("k", "path", "words", "kind").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("best"), F.sum("own").alias("own"))
     own = found.groupBy("k", "path", "words").agg(F.min("best").alias("best"), F.max("own").alias("own"))
     is_file = F.col("path").rlike(FILE) | (F.col("own") * 2 >= F.col("words"))
+    # any licence that is named comes before words that reserve all rights
+    kept_back = held.where("reserved").select("k", "path", "words", F.struct(F.lit(0.0).alias("c"), F.lit(PROPRIETARY).alias("licence")).alias("best"), F.lit(0).alias("own"))
+    own = own.unionByName(kept_back)
     # rows that repeat with the same key, path and length are one file here; the licence is the same for all
     own = cut(own.select("k", "path", F.col("best.licence").alias("licence"), (-F.col("best.c")).alias("cosine"), is_file.alias("is_file")).groupBy("k", "path").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence", "is_file")).alias("x")).select("k", "path", "x.licence", (-F.col("x.c")).alias("cosine"), "x.is_file"))
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -112,7 +113,7 @@ def test_licences(spark):
         4: (None, None, None),
         5: ("GPL-3.0", "file", None),
         6: (None, None, None),
-        7: ("MIT", "inherited", "a"),
+        7: (licences.PROPRIETARY, "header", None),
     }
     assert licences.scan(df).count() == len(rows) and licences.scan(df.limit(0)).count() == 0
 
@@ -132,6 +133,11 @@ def test_each_template_finds_itself(spark):
         ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "GPL-3.0"),
         ("Copyright 2020 X\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n1. Redistributions of source code must retain the above copyright notice,\nthis list of conditions and the following disclaimer.\n2. Redistributions in binary form must reproduce the above copyright\nnotice, this list of conditions and the following disclaimer in the\ndocumentation and/or other materials provided with the distribution.\n3. Neither the name of the copyright holder nor the names of its\ncontributors may be used to endorse or promote products derived from\nthis software without specific prior written permission.", "BSD-3-Clause"),
         ("# Use of this source code is governed by a BSD-style license that can be\n# found in the LICENSE file.", "BSD-3-Clause"),
+        ("Distributed under the terms of the GNU GPL v3", "GPL-3.0"),
+        ("Dual licensed under MIT or Apache-2.0.", "Apache-2.0 OR MIT"),
+        ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License, version 2.1", "LGPL-2.1"),
+        ("Copyright 1999 A House. All rights reserved.", licences.PROPRIETARY),
+        ("Copyright 1999 A House. All rights reserved.\nReleased under the MIT License", "MIT"),
         ("a license to speak, as they say, was never granted to the old man in the village", None),
     ],
 )
@@ -168,7 +174,9 @@ def brute_cosines(units, known):
     out = {}
     for line in units:
         v = vector(line)
-        best = max(((sum(x * u.get(t, 0) for t, x in v.items()), name) for u, name in ((vector(x), name) for name, x in known)), key=lambda b: (round(b[0], 9), [-ord(c) for c in b[1]]))
+        said = {v if "." in v else v + ".0" for v in re.findall(licences.VERSION, line.lower())}
+        fits = [(name, x) for name, x in known if not said or not (m := re.search(r"-([0-9]+\.[0-9]+)$", name)) or m[1] in said]
+        best = max(((sum(x * u.get(t, 0) for t, x in v.items()), name) for u, name in ((vector(x), name) for name, x in fits)), key=lambda b: (round(b[0], 9), [-ord(c) for c in b[1]]))
         if best[0] > 0:
             out[line] = (best[1], round(best[0], 6))
     return out
@@ -304,6 +312,19 @@ def test_pipeline(spark):
     assert empty.count() == 0
 
 
+@pytest.mark.parametrize(
+    "file, licence",
+    [("Apache-2.0", "Apache-2.0"), ("GPL-1", "GPL-1.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2", "LGPL-2.0"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3", "LGPL-3.0"), ("MPL-1.1", "MPL-1.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0"), ("Artistic", "Artistic-1.0"), ("GFDL-1.3", "GFDL-1.3"), ("GFDL-1.2", "GFDL-1.2")],
+)
+def test_whole_licence_texts(spark, file, licence):
+    path = Path("/usr/share/common-licenses") / file
+    if not path.exists():
+        pytest.skip("no such text here")
+    rows = [(1, "x/LICENSE", path.read_text(errors="replace")), (2, "x/y/code", "code"), (3, "x/y/own", "All rights reserved."), (4, "z/code", "code")]
+    got = {r["doc_id"]: (r["licence"], r["origin"]) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {1: (licence, "file"), 2: (licence, "inherited"), 3: (licences.PROPRIETARY, "header"), 4: (None, None)}
+
+
 def test_licences_of_headers_over_several_lines(spark):
     gnu = "/*\n * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU %s as published by\n * the Free Software Foundation, either version %s of the License, or\n * (at your option) any later version.\n *\n * It is given without any warranty.\n */\n\nint main() { return 0; }\n" + "more = code + of + this + file;\n" * 30
     mit = 'Copyright (c) 2020 Someone\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above notice shall be included in all copies.'
