@@ -68,6 +68,69 @@ def test_quality(spark):
     assert (got.keep.astype(int) == got.quality).mean() > 0.95 and (got.keep | (got.quality == 0)).all()
 
 
+def quality_by_hand(texts):
+    """Votes, posteriors and scores, document by document."""
+    import itertools
+    import math
+
+    import xxhash
+
+    place = lambda x: xxhash.xxh3_64_intdigest(x) % quality.DIM
+    cast, rows = [], []
+    for text in texts:
+        text = text or ""
+        words, raw, lines = text.split(), text.encode(), text.split("\n")
+        n = len(words)
+        share = lambda k, of: k / of if n else 0.0
+        symbols = share(sum(c in "#$%&*|!~^<>{}=\\" for c in text), len(raw))
+        marked = share(sum(w[-1] in "#$%&*|!~^<>{}=\\" for w in words), n)
+        capitals = share(sum("A" <= c <= "Z" for c in text), len(raw))
+        distinct, stutter = share(len(set(words)), n), share(sum(a == b for a, b in zip(words, words[1:])), n)
+        length, repeated = share(len(text) - n, n), share(len(lines) - len(set(lines)), len(lines))
+        ends = share(sum(w[-1] in ".!?" for w in words), n)
+        bad = [symbols > 0.03, marked > 0.15, capitals > 0.3, n >= 20 and distinct < 0.4, n >= 8 and stutter > 0.2, length > 8.5 or length < 2, len(lines) >= 3 and repeated > 0.4, n >= 20 and (ends > 0.5 or ends == 0), n == 0]
+        good = [symbols < 0.01, marked < 0.05, capitals < 0.1, n < 20 or distinct > 0.55, stutter < 0.08, 3 <= length <= 7, len(lines) >= 3 and repeated < 0.1, 0.01 < ends < 0.4, n >= 30]
+        cast.append([0 if b or not n else 2 if g else 1 for b, g in zip(bad, good)])
+        x = [0.0] * quality.DIM
+        for w in words:
+            kinds = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in w]
+            x[place("".join(k for k, _ in itertools.groupby(kinds)) + f"|{min(len(w), 12) // 3}")] += 1 / n
+        for k, v in enumerate((symbols, marked, capitals, distinct, stutter, length, repeated, ends)):
+            x[place(f"{k}:{min(20, int(v)) if k == 5 else min(quality.BINS, int(v * quality.BINS))}")] += 1
+        x[place(f"n:{n.bit_length()}")] += 1
+        rows.append(x)
+    good = [1 / (1 + math.exp(-1.5 * sum(v - 1 for v in c) + 3 * (0 in c))) for c in cast]
+    for _ in range(100):
+        prior, chance = (sum(good) + 1) / (len(good) + 2), {}
+        for side in (0, 1):
+            for k in range(9):
+                held = [0.5 + sum((g if side else 1 - g) for g, c in zip(good, cast) if c[k] == v) for v in range(3)]
+                chance[side, k] = [h / sum(held) for h in held]
+        log = lambda c, side: math.log(prior if side else 1 - prior) + sum(math.log(chance[side, k][v]) for k, v in enumerate(c))
+        new = [1 / (1 + math.exp(max(-50, min(50, log(c, 0) - log(c, 1))))) for c in cast]
+        if max(abs(a - b) for a, b in zip(new, good)) < 1e-9:
+            break
+        good = new
+    x, y, w, b = np.array(rows), np.array(good), np.zeros(quality.DIM), 0.0
+    for _ in range(300):
+        off = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y
+        w, b = w - 2.0 * (off @ x / len(y) + 1e-4 * w), b - 2.0 * off.mean()
+    scores = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30)))
+    return [sum(v * 3**k for k, v in enumerate(c)) for c in cast], good, scores.tolist()
+
+
+def test_quality_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    odd = spark.createDataFrame([(-1, ""), (-2, None), (-3, "A A A A A A A A A #!"), (-4, "\n\n\n")], "doc_id long, text string")
+    held = docs.union(odd)
+    texts = {r["doc_id"]: r["text"] for r in held.collect()}
+    got = {r["doc_id"]: r for r in quality.classify(held).collect()}
+    votes, chances, scores = quality_by_hand(list(texts.values()))
+    for k, v, c, z in zip(texts, votes, chances, scores):
+        assert got[k]["votes"] == v and got[k]["posterior"] == pytest.approx(c, abs=1e-6) and got[k]["score"] == pytest.approx(z, abs=1e-3)
+        assert got[k]["keep"] == (got[k]["score"] >= 0.5)
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(None, None, 1), (1, "", 1), (2, "Fine words here.", 1), (2, "Fine words here.", 1)], "doc_id long, text string, score long")
     got = quality.classify(docs).collect()
