@@ -40,15 +40,17 @@ def day_number(order: str = "timestamp") -> Column:
     return F.floor(F.col(order) / DAY_MS)
 
 
-def along(df: DataFrame, lookback: int, add: Callable[[DataFrame], DataFrame], rows: int = ROWS) -> DataFrame:
+def along(df: DataFrame, lookback: int, add: Callable[[DataFrame], DataFrame], rows: int = ROWS, bars: DataFrame | None = None) -> DataFrame:
     """add(df), where its windows over in_chunk() may look at a bar and at the `lookback` bars before it.
 
-    add() keeps the columns and the bars. Bars without a time are the first of their series.
+    add() keeps the columns and the bars. Bars without a time are the first of their series. `bars` is a table of the same bars
+    in which the days are counted; where df's columns cost work, the table before them spares it.
     """
     if lookback < 1:
         return add(df.withColumn("_chunk", F.lit(0))).drop("_chunk")
     names = [f"_c_{k}" for k in (*KEYS, "day")]
-    days = df.select(*(F.col(k).alias(n) for k, n in zip(KEYS, names)), day_number().alias(names[-1])).groupBy(*names).agg(F.count("*").alias("_n"))
+    counted = df if bars is None else bars
+    days = counted.select(*(F.col(k).alias(n) for k, n in zip(KEYS, names)), day_number().alias(names[-1])).groupBy(*names).agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*names[:-1]).orderBy(names[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     own, end = F.floor(F.col("_before") / rows), F.col("_before") + F.col("_n")
     placed = days.withColumn("_before", before).withColumns({"_own": own, "_next": F.greatest(own + 1, F.floor(end / rows)), "_last": F.floor((end + lookback - 1) / rows)})

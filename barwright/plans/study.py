@@ -354,8 +354,9 @@ def run_study(study: Study, source: Source, outputs: list[str], rows: int = ROWS
                 df = kind.apply(df, {p: wires[f"{n.id}.{p}"] for p in kind.inputs}, kind.values(n.params), lambda port, i=n.id: f"{i}.{port}")
         return df
 
+    bars = df  # nodes keep them, so days are counted before indicators
     for step, lookback in _staged([n for n in order if n.id in needed], wires):
-        df = applied(df, step) if lookback is None else along(df, lookback, lambda cut, step=step: applied(cut, step), rows)
+        df = applied(df, step) if lookback is None else along(df, lookback, lambda cut, step=step: applied(cut, step), rows, bars)
     return df.select(*KEYS, "timestamp", *(F.col(f"`{o}`") for o in outputs))
 
 
