@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from barwright.functions.interval import Interval
 from barwright.sources.candles import PRICES, upsert
@@ -27,8 +27,27 @@ def stream_bars(ticks: DataFrame, symbol: str, time: str, price: str, tie: str,
     return bars.select(F.lit(exchange).alias("exchange"), F.lit(category).alias("category"), "symbol", F.lit(str(ivl)).alias("interval"), F.unix_millis("w.start").alias("timestamp"), *PRICES)
 
 
-def write_bars(bars: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    return bars.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+def state_parts(spark: SparkSession) -> int:
+    """Two for each core, but not more than a shuffle has."""
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+
+def _started(spark: SparkSession, writer: DataStreamWriter, parts: int | None) -> StreamingQuery:
+    """Starts a stream that keeps its state in so many partitions, state_parts() if None; a checkpoint keeps the number that it began with.
+
+    Each partition of each stateful step writes its files in every micro-batch, however few rows it has, and nothing merges small ones in a stream.
+    """
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(parts or state_parts(spark)))
+    try:
+        return writer.trigger(availableNow=True).start()  # which copies the session
+    finally:
+        spark.conf.set(name, before)
+
+
+def write_bars(bars: DataFrame, path: str, checkpoint: str, parts: int | None = None) -> StreamingQuery:
+    return _started(bars.sparkSession, bars.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append"), parts)
 
 
 def candle_updates(ticks: DataFrame, symbol: str, time: str, price: str, tie: str, delay: str, exchange: str = "x", category: str = "spot") -> DataFrame:
@@ -45,12 +64,13 @@ def candle_updates(ticks: DataFrame, symbol: str, time: str, price: str, tie: st
     return bars.select(F.lit(exchange).alias("exchange"), F.lit(category).alias("category"), "symbol", F.lit("1min").alias("interval"), F.unix_millis("w.start").alias("timestamp"), *PRICES)
 
 
-def upsert_stream(ticks: DataFrame, store: str, checkpoint: str, symbol: str, time: str, price: str, tie: str, delay: str, exchange: str = "x", category: str = "spot") -> StreamingQuery:
+def upsert_stream(ticks: DataFrame, store: str, checkpoint: str, symbol: str, time: str, price: str, tie: str, delay: str, exchange: str = "x", category: str = "spot", parts: int | None = None) -> StreamingQuery:
     """Upserts the 1-minute candles that each micro-batch changes.
 
     A candle is whole in every batch that changes it, so a batch that is run again gives the same store, and nothing
-    but the stream's own state is kept between batches.
+    but the stream's own state is kept between batches. The upsert's jobs run in the session of the ticks, with that one's shuffle partitions.
     """
+    spark = ticks.sparkSession
     updates = candle_updates(ticks, symbol, time, price, tie, delay, exchange, category)
-    batch = lambda rows, number: upsert(rows.sparkSession, store, rows)
-    return updates.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    batch = lambda rows, number: upsert(spark, store, rows)
+    return _started(spark, updates.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", checkpoint), parts)

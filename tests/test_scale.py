@@ -250,6 +250,27 @@ def test_stream_drops_ticks_sent_again_and_its_state_is_bounded(spark, tmp_path)
     assert sorted(p.name for p in (tmp_path / "mark").iterdir() if not p.name.startswith(".")) == ["commits", "metadata", "offsets", "sources", "state"]
 
 
+def test_stream_state_has_partitions_by_cores(spark, tmp_path):
+    spark.range(20).select(F.timestamp_millis(F.lit(1717804800000) + F.col("id") * 20_000).alias("ts"), "id", F.lit(1.0).alias("price"), F.lit("A").alias("sym")).write.parquet(f"{tmp_path}/in/0")
+    store = cs.scratch(spark)
+    cs.write(cs.in_memory(spark, ramp(1, 0)), store)
+    ticks = spark.readStream.schema("ts timestamp, id long, price double, sym string").parquet(f"{tmp_path}/in/*")
+    used = lambda run: {o["numShufflePartitions"] for p in run.recentProgress for o in p["stateOperators"]}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "48")
+    try:
+        run = streams.upsert_stream(ticks, store, f"{tmp_path}/a", "sym", "ts", "price", "id", "1 hour")
+        run.awaitTermination()
+        assert used(run) == {2 * spark.sparkContext.defaultParallelism} and spark.conf.get("spark.sql.shuffle.partitions") == "48"
+        bars = streams.stream_bars(ticks, "sym", "ts", "price", "id", "1m", "1 minute")
+        run = streams.write_bars(bars, f"{tmp_path}/out", f"{tmp_path}/b", parts=3)
+        run.awaitTermination()
+        assert used(run) == {3}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert cs.scan(spark, store).where("symbol = 'A'").agg(F.sum("volume")).first()[0] == 20
+
+
 # studies
 
 
