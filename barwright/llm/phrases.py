@@ -9,7 +9,8 @@ the edges of a unary path, so a passage that repeats is one path however long it
 Before edges are made, pieces are cut where no phrase that is frequent enough can go on: at words whose exact count, and at two or three
 neighbours whose count's upper bound, is below the threshold. The bounds come from saturating counters of hashed pairs and triples, two tables of
 fixed size (`slots`, a power of two: a byte each in a task, a bit each when broadcast), so all counts from the threshold on stay exact. When a corpus has so many
-pairs that all counters are full nothing is cut between neighbours, and the edges of all pieces are shuffled.
+pairs that all counters are full nothing is cut between neighbours, and the edges of all pieces are shuffled. A task adds up its
+own phrases (HELD at a time) before they leave, so a word gives at most one row, and a phrase one for each task that holds it.
 
 Edge cases: a null text is empty; a null language is `und`; empty pieces and pieces of one word have no edges but count as
 words; rows that repeat count each time; occurrences that overlap count each; extra columns are ignored; without words the result is empty.
@@ -188,29 +189,42 @@ def _tables(texts: DataFrame, words: np.ndarray, least: int, slots: int) -> tupl
     return out[: slots // 8], out[slots // 8 :]
 
 
-def edges(texts: DataFrame, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray) -> DataFrame:
-    """(lang, phrase, n) of the five-word edges, and of what the last four words of each cut piece are, or all of a shorter one.
+def own_edges(texts: DataFrame, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray) -> DataFrame:
+    """(lang, phrases, counts) of each task: its five-word edges, and what the last four words of each cut piece are, or all of a shorter one.
 
     Cut pieces go on from pair to pair of words; where three words can't be frequent the next piece begins with the middle one, so no pair is in two.
     """
     shared = texts.sparkSession.sparkContext.broadcast((words, pairs, triples))  # WORD_BITS bits, and two for each slot
     held_in = lambda bits, at: (at >= 0) & (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
+    def given(counts: dict[str, Counter]) -> Iterator[pd.DataFrame]:
+        for lang, own in counts.items():
+            if own:
+                yield pd.DataFrame({"lang": [lang], "phrases": [[k.decode() for k in own]], "counts": [list(own.values())]})
+        counts.clear()
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, two, three = shared.value
+        counts: dict[str, Counter] = {}
         for lang, own, codes in _coded(batches, table):
             pair, triple = (held_in(bits, at) for bits, at in zip((two, three), _slots(codes, 8 * len(two))))
             on = np.concatenate([[False], pair[:-1] & pair[1:] & triple, [False]])[: len(pair) + 1]  # the pair goes on from the one before
             first, last = np.flatnonzero(pair & ~on[: len(pair)]), np.flatnonzero(pair & ~on[1:])
-            held = Counter([own[i] + b" " + own[i + 1] for i in first[first == last].tolist()])
+            held = counts.setdefault(lang, Counter())
+            held.update([own[i] + b" " + own[i + 1] for i in first[first == last].tolist()])
             for a, b in zip(first[first < last].tolist(), (last[first < last] + 2).tolist()):  # words a to b - 1
                 held.update([b" ".join(own[i : i + LONGEST]) for i in range(a, b - LONGEST + 1)])
                 held[b" ".join(own[max(a, b - LONGEST + 1) : b])] += 1
-            if held:
-                yield pd.DataFrame({"lang": [lang], "phrases": [[k.decode() for k in held]], "counts": [list(held.values())]})
+            if sum(map(len, counts.values())) > HELD:
+                yield from given(counts)
+        yield from given(counts)
 
-    parts = texts.mapInPandas(run, "lang string, phrases array<string>, counts array<long>")  # a row for about PART characters
-    each = parts.select("lang", F.explode(F.arrays_zip("phrases", "counts")).alias("x"))
+    return texts.mapInPandas(run, "lang string, phrases array<string>, counts array<long>")  # a row for each language of a task, or for about HELD phrases
+
+
+def edges(texts: DataFrame, words: np.ndarray, pairs: np.ndarray, triples: np.ndarray) -> DataFrame:
+    """(lang, phrase, n) of the tasks' edges and ends of pieces, added up."""
+    each = own_edges(texts, words, pairs, triples).select("lang", F.explode(F.arrays_zip("phrases", "counts")).alias("x"))
     return each.groupBy("lang", F.col("x.phrases").alias("phrase")).agg(F.sum("x.counts").alias("n"))
 
 

@@ -230,3 +230,16 @@ def test_phrases_query_equals_sql(spark):
     got = queries.op13_phrases(spark, SF).select(*want.columns)
     rows = want.fetchall()
     assert sorted(map(tuple, got.collect())) == sorted(rows) and len(rows) > 50
+
+
+def test_a_task_gives_each_of_its_phrases_once(spark):
+    texts = spark.createDataFrame([("en", "a b c d e f g. x y")] * 6, "lang string, t string").coalesce(1)
+    full = [np.full(size // 8, 255, np.uint8) for size in (phrases.WORD_BITS, 1 << 14, 1 << 14)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")  # three batches
+    try:
+        rows = phrases.own_edges(texts, *full).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    got = [dict(zip(r["phrases"], r["counts"])) for r in rows]
+    assert got == [{"a b c d e": 6, "b c d e f": 6, "c d e f g": 6, "d e f g": 6, "x y": 6}]
