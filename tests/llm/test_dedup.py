@@ -345,6 +345,35 @@ def test_distances_of_many_pairs():
     assert len(edits.distances([], [])) == 0
 
 
+def test_pairs_within_a_distance():
+    rnd = random.Random(23)
+    left, right = [""], ["abc"]
+    for _ in range(900):
+        a = [rnd.choice("abcd \u00e9\u4e2d") for _ in range(rnd.choice((1, 9, 63, 200, 700)))]
+        b = list(a)
+        for _ in range(rnd.randrange(len(a) // 2 + 1)):
+            k = rnd.randrange(len(b) + 1)
+            b[k : k + rnd.randrange(2)] = rnd.choice(["", "x", "y"])
+        left.append("".join(a))
+        right.append("".join(b) if rnd.random() < 0.7 else left[rnd.randrange(len(left))])
+    exact, longest = edits.distances(left, right), np.array([max(len(a), len(b)) for a, b in zip(left, right)])
+    for most in (exact, exact - 1, exact // 2, longest // 5, longest // 2):
+        assert edits.within(left, right, most).tolist() == (exact <= most).tolist()
+    assert len(edits.within([], [], np.zeros(0, np.int64))) == 0
+
+
+def test_lines_are_compared_in_portions(spark, monkeypatch):
+    rnd = random.Random(24)
+    lines = [" ".join(rnd.choice(VOCABULARY) + rnd.choice("abc") for _ in range(12)) for _ in range(10)]
+    texts = [" ".join(w if rnd.random() < 0.95 else "new" for w in rnd.choice(lines).split()) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    named = lambda: sorted(map(tuple, line_dedup.line_groups(df).collect()))
+    want, given, similar = named(), [], line_dedup._similar
+    monkeypatch.setattr(line_dedup, "PORTION", 10)
+    monkeypatch.setattr(line_dedup, "_similar", lambda percent: given.append(percent) or similar(percent))
+    assert named() == want and len(want) > 20 and len(given) > 3  # three rounds, and some of them in portions
+
+
 def test_groups_of_unlinked_and_linked_members(spark):
     """Groups whose leaders are linked with nobody, a hub, and keys given twice."""
     rnd = random.Random(31)
