@@ -400,3 +400,30 @@ def test_without_keeps_nulls_and_columns_of_any_name(spark):
     df = spark.createDataFrame([(1, 5), (2, 6), (None, 7)], "k long, _slot long").withColumns({"__word": F.lit(1), "_bits": F.lit(2)})
     got = graph.without(df, "k", spark.createDataFrame([(1,), (None,)], "k long"))
     assert got.columns == df.columns and sorted(r["_slot"] for r in got.collect()) == [6, 7]
+
+
+def test_unlike_pairs_are_told_and_like_ones_never(monkeypatch):
+    monkeypatch.setattr(edits, "FEW", 1)
+    rnd = random.Random(25)
+    text = lambda n: "".join(rnd.choice("etaoin shrdlué中") for _ in range(n))
+    strings, left, right, near = [text(0), text(5)], [0, 0, 1], [1, 0, 1], [False, True, True]
+    for size in (1, 9, 40, 63, 64, 65, 100, 128, 129, 300, 450, 900):
+        for k in range(60):
+            a = text(size)
+            b = list(a) if k % 2 else list(text(size + rnd.randrange(-(size // 9), size // 9 + 1)))
+            for _ in range(rnd.randrange(size // 4 + 1) if k % 2 else 0):
+                at = rnd.choice((0, rnd.randrange(len(b) + 1), len(b)))  # edits at the ends move the rest
+                b[at : at + rnd.randrange(2)] = rnd.choice(["", "x", "yz"])
+            strings += [a, "".join(b)]
+            left.append(len(strings) - 2 + k % 3 // 2)
+            right.append(len(strings) - 1 - k % 3 // 2)
+            near.append(bool(k % 2))
+    left, right, near = map(np.array, (left, right, near))
+    exact = edits.distances([strings[i] for i in left], [strings[i] for i in right])
+    longest = np.array([max(len(strings[a]), len(strings[b])) for a, b in zip(left, right)])
+    for most in (exact, longest // 5, exact - 1, np.zeros_like(exact)):
+        told = edits.unlike(edits.packed(strings), left, right, most)
+        assert not (told & (exact <= most)).any()
+    told = edits.unlike(edits.packed(strings), left, right, longest // 5)
+    assert told[~near & (longest >= 40)].mean() > 0.9  # random text is told without the exact distance
+    assert len(edits.unlike(edits.packed([]), *np.zeros((3, 0), np.int64))) == 0
